@@ -27,17 +27,19 @@ def _grams(tokens: Column, n: int) -> Column:
 
 def _all_grams(tokens: Column, sign: int) -> Column:
     """Every n-gram of one side as ``(n, gram, in_hyp, in_ref)``."""
-    per_order = [
-        F.transform(
+
+    def tagged(n: int) -> Column:
+        return F.transform(
             _grams(tokens, n),
-            lambda g, n=n: F.struct(
-                F.lit(n).alias("n"), g.alias("gram"),
-                F.lit(int(sign > 0)).alias("in_hyp"), F.lit(int(sign < 0)).alias("in_ref"),
+            lambda gram: F.struct(
+                F.lit(n).alias("n"),
+                gram.alias("gram"),
+                F.lit(int(sign > 0)).alias("in_hyp"),
+                F.lit(int(sign < 0)).alias("in_ref"),
             ),
         )
-        for n in range(1, MAX_ORDER + 1)
-    ]
-    return F.concat(*per_order)
+
+    return F.concat(*[tagged(n) for n in range(1, MAX_ORDER + 1)])
 
 
 def bleu_ngram_stats(aligned: DataFrame) -> DataFrame:

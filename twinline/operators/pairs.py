@@ -68,10 +68,9 @@ def split_counts(pairs: DataFrame) -> DataFrame:
     """Pairs per split and origin, with a subtotal row (origin ``all``) per split."""
     if "origin" not in pairs.columns:
         pairs = pairs.withColumn("origin", F.lit("base"))
-    cells = pairs.groupBy("split", "origin").count()
-    return cells.groupBy(
-        "split", F.explode(F.array("origin", F.lit("all"))).alias("origin")
-    ).agg(F.sum("count").alias("n_pairs"))
+    cells = pairs.groupBy("split", "origin").agg(F.count("*").alias("n"))
+    both = cells.select("split", F.explode(F.array("origin", F.lit("all"))).alias("origin"), "n")
+    return both.groupBy("split", "origin").agg(F.sum("n").alias("n_pairs"))
 
 
 def batch_counts(
