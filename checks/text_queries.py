@@ -346,12 +346,20 @@ def _sides(spark: SparkSession, sf: str) -> DataFrame:
     return views.pairs(spark, sf).select("pair_id", both.alias("s")).select("pair_id", "s.side", "s.text")
 
 
+_DICTIONARY = {
+    "m_dict": f"SELECT word, {_sql_ids('[word]')} AS ids FROM train_words, m_map",
+    "tok": f"""SELECT pair_id, side, generate_subscripts(ws,1) AS pos, unnest(ws) AS word FROM
+                 (SELECT pair_id, 0 AS side, {sql_words('src')} AS ws FROM pairs
+                  UNION ALL SELECT pair_id, 1, {sql_words('tgt')} FROM pairs)""",
+}
+
+
 @check(
     "c6_known_word_encode",
-    _LEARNED + f"""SELECT pair_id, side, concat('2 ', {_sql_ids(
-        f"[CASE WHEN w IN (SELECT word FROM train_words) THEN w ELSE repeat(chr(1), length(w)) END for w in {sql_words('text')}]"
-    )}, ' 3') AS ids
-    FROM (SELECT pair_id, 0 AS side, src AS text FROM pairs UNION ALL SELECT pair_id, 1, tgt FROM pairs), m_map""",
+    with_views("pairs", "train_words", more=_unrolled_merges() | _DICTIONARY)
+    + """SELECT pair_id, side,
+                concat('2 ', string_agg(coalesce(ids, trim(repeat('1 ', length(word)))), ' ' ORDER BY pos), ' 3') AS ids
+         FROM tok LEFT JOIN m_dict USING (word) GROUP BY pair_id, side""",
 )
 def c6(spark, sf):
     # A small hot list, so that both the broadcast and the shuffled part do work.

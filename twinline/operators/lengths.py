@@ -46,7 +46,8 @@ def token_length_histogram(lengths: DataFrame, length: str = "n_tokens", bins: i
     )
     filled = placed.groupBy("bin").agg(F.sum("n").alias("n"))
     width = (F.col("hi") - F.col("lo")) / bins
-    axis = bounds.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long").alias("bin"), "lo", width.alias("w"))
+    numbers = F.sequence(F.lit(0), F.lit(bins - 1)).cast("array<bigint>")
+    axis = bounds.select(F.explode(numbers).alias("bin"), "lo", width.alias("w"))
     return axis.join(filled, "bin", "left").select(
         "bin",
         (F.col("lo") + F.col("bin") * F.col("w")).alias("lo"),

@@ -151,7 +151,9 @@ def train_bpe(
     state, path = write_stage(words.select("n", framed.alias("s")), "bpe-words")
     characters = sorted(
         row.s
-        for row in state.select(F.explode(F.array_distinct(F.split(F.trim("s"), "  "))).cast("int").alias("s"))
+        for row in state.select(
+            F.explode(F.array_distinct(F.split(F.trim("s"), "  ")).cast("array<int>")).alias("s")
+        )
         .distinct()
         .collect()
     )
