@@ -8,6 +8,7 @@ from twinline.functions.text import EXTRA_LINE_BREAKS, split_physical_lines
 from twinline.operators.codec import encode
 from twinline.operators.vocab import Vocabulary, character_vocabulary, word_counts
 from twinline.plans.row_index import with_row_index
+from twinline.plans.sizing import spread
 
 RE2_WORDS = (
     r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}]+"
@@ -23,6 +24,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def joined(ids: Column | str) -> Column:
     """An id array as text, so that both engines hash it alike."""
     ids = F.col(ids) if isinstance(ids, str) else ids
@@ -161,7 +166,7 @@ TRANSITIONS = ("kinds", "walk", "steps", "transitions", "starts")
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    turns = table(spark, sf, "conversations")
+    turns = spread(table(spark, sf, "conversations"))
     users = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("src"))
     replies = turns.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("tgt")
@@ -176,7 +181,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", F.posexplode(split_physical_lines(F.col("text"))).alias("at", "line")
     ).select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), "line")
 
@@ -227,7 +232,7 @@ def epoch_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select(
+    return spread(table(spark, sf, "embeddings")).select(
         "vec_id", F.col("embedding").cast("array<double>").alias("logits"), F.col("label").alias("target")
     )
 

@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from .text import PAD
 
 
-def _exp_sum(xs: Column) -> Column:
-    top = F.array_max(xs)
-    return F.aggregate(xs, F.lit(0.0), lambda total, x: total + F.exp(x - top))
-
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
 
-def softmax(xs: Column) -> Column:
-    """Probabilities, shifted by the maximum."""
-    top, total = F.array_max(xs), _exp_sum(xs)
-    return F.transform(xs, lambda x: F.exp(x - top) / total)
+    A lambda evaluates everything inside it per element, so what does not depend on
+    the element is bound outside as the only element of an array.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def log_sum_exp(xs: Column) -> Column:
-    return F.array_max(xs) + F.ln(_exp_sum(xs))
+    """Logarithm of the sum of exponentials, shifted by the maximum."""
+
+    def shifted(top: Column) -> Column:
+        return F.aggregate(
+            xs, F.lit(0.0), lambda total, x: total + F.exp(x - top), lambda total: top + F.ln(total)
+        )
+
+    return _bind(F.array_max(xs), shifted)
+
+
+def softmax(xs: Column) -> Column:
+    """Probabilities, shifted by the maximum."""
+    return _bind(log_sum_exp(xs), lambda norm: F.transform(xs, lambda x: F.exp(x - norm)))
 
 
 def log_softmax(xs: Column) -> Column:
     """Log-probabilities, shifted by the maximum."""
-    norm = log_sum_exp(xs)
-    return F.transform(xs, lambda x: x - norm)
+    return _bind(log_sum_exp(xs), lambda norm: F.transform(xs, lambda x: x - norm))
 
 
 def argmax_id(xs: Column) -> Column:
@@ -41,12 +52,15 @@ def position_loss(logits: Column, target: Column, smoothing: float = 0.1) -> Col
     normaliser, the sum of the logits, and the logits at the target and at PAD.
     """
     size = F.size(logits)
-    norm = log_sum_exp(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + x) - size * norm
-    at_target = F.element_at(logits, target + 1) - norm
-    at_pad = F.element_at(logits, PAD + 1) - norm
-    loss = -((1 - smoothing) * at_target + smoothing / (size - 2) * (total - at_target - at_pad))
-    return F.when(target == PAD, F.lit(0.0)).otherwise(loss)
+
+    def loss(norm: Column) -> Column:
+        total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + x) - size * norm
+        at_target = F.element_at(logits, target + 1) - norm
+        at_pad = F.element_at(logits, PAD + 1) - norm
+        spread = smoothing / (size - 2) * (total - at_target - at_pad)
+        return -((1 - smoothing) * at_target + spread)
+
+    return F.when(target == PAD, F.lit(0.0)).otherwise(_bind(log_sum_exp(logits), loss))
 
 
 def perplexity(loss: Column) -> Column:

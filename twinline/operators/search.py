@@ -114,11 +114,11 @@ def beam_search(
     A finished hypothesis takes no slot of the beam. A sentence stops once ``beam_width``
     hypotheses are finished; those still live are then kept as they are and may win.
     """
-    anywhere = broadcast_if_small(topk_tokens(transitions, ["prev_id"], beam_width))
-    early = (
-        broadcast_if_small(topk_tokens(ban_eos(transitions, 0), ["prev_id"], beam_width))
-        if min_len > 0 else anywhere
-    )
+    # One spare candidate per state is enough to fill the beam when EOS is banned. The
+    # small table is written once, as every step joins with it.
+    spare, _ = write_stage(topk_tokens(transitions, ["prev_id"], beam_width + 1), "candidates")
+    anywhere = broadcast_if_small(spare.filter(F.col("token_rank") <= beam_width))
+    early = broadcast_if_small(topk_tokens(ban_eos(spare, 0), ["prev_id"], beam_width))
     sentence = Window.partitionBy("sent_id")
     by_score = sentence.orderBy(F.desc("live"), F.desc("score"), "place")
 
@@ -175,7 +175,8 @@ def greedy_decode(starts: DataFrame, transitions: DataFrame, max_len: int = 128)
 
     The start ids' first entry (SOS) and everything from EOS on are removed.
     """
-    best = broadcast_if_small(topk_tokens(transitions, ["prev_id"], 1).drop("token_rank"))
+    stage, _ = write_stage(topk_tokens(transitions, ["prev_id"], 1).drop("token_rank"), "candidates")
+    best = broadcast_if_small(stage)
 
     def step_fn(state: DataFrame, step: int) -> DataFrame:
         grown = state.join(

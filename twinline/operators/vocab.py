@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Container, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -93,40 +93,36 @@ def pair_counts(words: DataFrame) -> DataFrame:
 
 
 def choose_merges(
-    ranked: Sequence[tuple[int, int, int]],
-    complete: bool,
-    spelling: dict[int, str],
-    known: dict[str, int],
+    ranked: Sequence[tuple[int, int]], spelling: Mapping[int, str], known: Container[str]
 ) -> list[tuple[int, int]]:
     """How many of the best pairs may be merged in one pass with the same outcome.
 
-    ``ranked`` holds ``(left, right, count)``, best first; ``complete`` says that no
-    other pair qualifies. A merge of (a, b) lowers only pairs that end in a or start
-    with b, and the pairs it creates count no more than those; so the run of best
-    pairs that avoids both may be merged together. The run also ends before a pair of
-    equal symbols or one that spells a known token. Pairs that tie with the pair that
-    ended the run are left for the next pass, since new pairs may tie with them.
+    ``ranked`` holds pairs by falling count, ties by rising symbols. The answer is the
+    longest run of leading pairs in which no pair ends with the start, or starts with the
+    end, of one before it. Why that is exact: merging (a, b) into a new symbol c changes
+    only pairs that end in a or start with b, and creates only (x, c), at most as often
+    as (x, a), and (c, y), at most as often as (b, y). The run stops before any (x, a) or
+    (b, y), so a created pair never counts more than a pair of the run; and where it
+    counts the same it still comes later, because c is greater than every older symbol.
+    A pair of equal symbols, or one that spells a known token (whose symbol is then
+    reused, so it is not the greatest), goes alone.
     """
-    taken: list[tuple[int, int, int]] = []
+    taken: list[tuple[int, int]] = []
     starts: set[int] = set()
     ends: set[int] = set()
     spelled: set[str] = set()
-    stopped_at = None if complete else ranked[-1][2]
-    for left, right, count in ranked:
+    for left, right in ranked:
         token = spelling[left] + spelling[right]
         alone = left == right or token in known or token in spelled
         if taken and (alone or right in starts or left in ends):
-            stopped_at = count
             break
-        taken.append((left, right, count))
+        taken.append((left, right))
         if alone:
-            return [(left, right)]
+            break
         starts.add(left)
         ends.add(right)
         spelled.add(token)
-    while len(taken) > 1 and taken[-1][2] == stopped_at:
-        taken.pop()
-    return [(left, right) for left, right, _ in taken]
+    return taken
 
 
 def train_bpe(
@@ -134,7 +130,7 @@ def train_bpe(
     vocab_size: int = 16_000,
     min_frequency: int = 2,
     fetch: int = 1_000,
-    rewrite_after: int = 48,
+    rewrite_after: int = 16,
 ) -> Vocabulary:
     """Learn merges from ``(word, n)``: best pair first, ties to the smaller ids.
 
@@ -148,11 +144,15 @@ def train_bpe(
     framed = F.concat(
         F.lit(" "), F.array_join(F.transform(F.split("word", ""), lambda c: F.ascii(c)), "  "), F.lit(" ")
     )
-    state, path = write_stage(words.select("n", framed.alias("s")), "bpe-words")
+    # Every pass scans this table, so it is laid out in one even part per core; words
+    # are distinct, so hashing them is balanced.
+    cores = spark.sparkContext.defaultParallelism
+    even = words.repartition(cores, "word").select("n", framed.alias("s"))
+    state, path = write_stage(even, "bpe-words")
     characters = sorted(
         row.s
         for row in state.select(
-            F.explode(F.array_distinct(F.split(F.trim("s"), "  ")).cast("array<int>")).alias("s")
+            F.explode(F.array_distinct(_symbols(F.trim("s")))).alias("s")
         )
         .distinct()
         .collect()
@@ -169,7 +169,7 @@ def train_bpe(
         ranked = _best_pairs(state, pending, min_frequency, fetch)
         if not ranked:
             break
-        batch = choose_merges(ranked, len(ranked) < fetch, spelling, known)
+        batch = choose_merges(ranked, spelling, known)
         for left, right in batch[: vocab_size - len(known)]:
             token = spelling[left] + spelling[right]
             if token not in known:
@@ -187,27 +187,39 @@ def train_bpe(
     return _as_vocabulary(spark, order, spelling, merges)
 
 
+def _symbols(s: Column) -> Column:
+    # A split on one character needs no regular expression.
+    return F.split(F.replace(s, F.lit("  "), F.lit(" ")), " ").cast("array<int>")
+
+
 def _merged(merges: Sequence[tuple[int, int, int]]) -> Column:
-    s = F.col("s")
-    for left, right, new in merges:
-        s = F.replace(s, F.lit(f" {left}  {right} "), F.lit(f" {new} "))
-    return s
+    """The framed word after ``merges``, in order.
+
+    The rules are a constant array that is folded over the word: the expression keeps
+    its shape from pass to pass, so its generated code is compiled only once.
+    """
+    if not merges:
+        return F.col("s")
+    rules = F.array(*[
+        F.struct(F.lit(f" {left}  {right} ").alias("old"), F.lit(f" {new} ").alias("new"))
+        for left, right, new in merges
+    ])
+    return F.aggregate(rules, F.col("s"), lambda s, rule: F.replace(s, rule["old"], rule["new"]))
 
 
 def _best_pairs(state: DataFrame, pending, min_frequency: int, fetch: int):
     # A word that has become one symbol has no pairs left, so it is dropped early.
     symbols = state.select("n", F.trim(_merged(pending)).alias("s")).filter(F.contains("s", F.lit(" ")))
     rows = (
-        symbols.select("n", F.inline(_adjacent(F.split("s", "  "))).alias("left", "right"))
+        symbols.select("n", F.inline(_adjacent(_symbols(F.col("s")))).alias("left", "right"))
         .groupBy("left", "right")
         .agg(F.sum("n").alias("n"))
         .filter(F.col("n") >= min_frequency)
-        .select(F.col("left").cast("int").alias("left"), F.col("right").cast("int").alias("right"), "n")
         .orderBy(F.desc("n"), "left", "right")
         .limit(fetch)
         .collect()
     )
-    return [(row.left, row.right, row.n) for row in rows]
+    return [(row.left, row.right) for row in rows]
 
 
 def _as_vocabulary(spark: SparkSession, order, spelling, merges) -> Vocabulary:

@@ -16,3 +16,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when a scan yields fewer tasks than there are cores.
+
+    Few large unsplittable files, or one small file, would otherwise leave the rest
+    of the cluster idle through costly text work. A scan that already has enough
+    tasks is returned unchanged, so large inputs are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

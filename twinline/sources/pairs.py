@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.pairs import cap_pairs, drop_empty_pairs, strip_pairs
+from ..plans.sizing import spread
 
 SPLITS = ("train", "validation", "test")
 
@@ -23,7 +24,7 @@ def read_pairs(
 
     ``split`` may be a partition column of the path; a filter on it then prunes.
     """
-    return spark.read.format(fmt).load(path).select(
+    return spread(spark.read.format(fmt).load(path)).select(
         F.col("pair_id").cast("long").alias("pair_id"), "split", _as(source, "src"), _as(target, "tgt")
     )
 
@@ -57,7 +58,7 @@ def read_extra(
     raw = spark.read.format(entry.fmt).load(entry.path)
     if entry.split is not None:
         raw = raw.filter(F.col("split") == entry.split)
-    pairs = raw.select(
+    pairs = spread(raw).select(
         _as(entry.key, "pair_id"),
         F.lit("train").alias("split"),
         _as(entry.source, "src"),
