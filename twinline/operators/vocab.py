@@ -130,7 +130,7 @@ def train_bpe(
     vocab_size: int = 16_000,
     min_frequency: int = 2,
     fetch: int = 1_000,
-    rewrite_after: int = 16,
+    rewrite_after: int = 32,
 ) -> Vocabulary:
     """Learn merges from ``(word, n)``: best pair first, ties to the smaller ids.
 
