@@ -45,8 +45,9 @@ def _all_grams(tokens: Column, sign: int) -> Column:
 def bleu_ngram_stats(aligned: DataFrame) -> DataFrame:
     """One row per order: ``(n, correct, total, ref_total)``.
 
-    Both sides of a sentence go through one grouping on (sentence, n-gram), with no
-    join; counts combine before the shuffle, and a sentence is never gathered whole.
+    Both sides of a sentence go through one grouping on (sentence, n-gram) instead of a
+    join of two. After an alignment join the rows already lie by sentence, so that the
+    grouping moves no data; otherwise counts combine before the shuffle.
     """
     cut = aligned.select(
         "sent_id",

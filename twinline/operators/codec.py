@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import attention_mask, pad_ids, strip_special_ids, truncate_ids, wrap_special
 from ..functions.text import SPECIAL_TOKENS, UNK, words_for_encoding
-from ..plans.sizing import broadcast_if_small
+from ..plans.sizing import small_side
+from ..plans.stages import write_stage
 from .vocab import Vocabulary
 
 WORD_CACHE = 500_000
@@ -160,17 +161,17 @@ def encode_batch(
 ) -> DataFrame:
     """Encode, pad to the longest row of the batch, and add ``attention_mask``.
 
-    ``batch`` names the columns of a batch; none means that ``df`` is one batch.
-    The longest row comes from an aggregate and a join, as a batch may be large.
+    ``batch`` names the columns of a batch; none means that ``df`` is one batch. The
+    longest row comes from an aggregate and a join, as a batch may be large; the ids are
+    written once, so that the text is encoded once.
     """
-    encoded = encode(df, vocabulary, {text: "ids"}, max_len)
+    encoded, _ = write_stage(encode(df, vocabulary, {text: "ids"}, max_len), "encoded-batch")
     if batch:
         longest = encoded.groupBy(*batch).agg(F.max(F.size("ids")).alias("_longest"))
-        joined = encoded.join(longest, list(batch))
+        joined = encoded.join(small_side(longest, "batch-lengths"), list(batch))
     else:
-        # One number, so a join on a constant is a broadcast of a single row.
-        longest = encoded.agg(F.max(F.size("ids")).alias("_longest")).withColumn("_one", F.lit(1))
-        joined = encoded.withColumn("_one", F.lit(1)).join(F.broadcast(longest), "_one").drop("_one")
+        longest = encoded.agg(F.max(F.size("ids"))).first()[0] or 0
+        joined = encoded.withColumn("_longest", F.lit(longest))
     return joined.withColumn("ids", pad_ids(F.col("ids"), F.col("_longest"))).drop("_longest").withColumn(
         "attention_mask", attention_mask(F.col("ids"))
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.stages import write_stage
+
 
 def token_length_stats(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
     """Mean, median, 95th percentile (both exact, linear) and maximum.
@@ -27,31 +29,26 @@ def first_lines(lines: DataFrame, order_by: list[str], n: int = 10_000) -> DataF
 def token_length_histogram(lengths: DataFrame, length: str = "n_tokens", bins: int = 40) -> DataFrame:
     """Equal-width bins over [min, max] as ``(bin, lo, hi, n)``; the last bin is closed.
 
-    Rows are first counted per length; everything after works on that small table.
-    With a single length the range is widened by one half on both sides.
+    Rows are first counted per length and that table, no longer than the number of
+    different lengths, is written once; bounds and bins come from it. With a single
+    length the range is widened by one half on both sides; with no rows it is [0, 1].
     """
-    counted = lengths.groupBy(F.col(length).cast("double").alias("x")).agg(F.count("*").alias("n"))
-    spread = counted.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    flat = F.col("lo") == F.col("hi")
-    bounds = spread.select(
-        F.lit(1).alias("one"),
-        F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-        F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
-    )
-    placed = counted.withColumn("one", F.lit(1)).join(F.broadcast(bounds), "one").select(
-        F.least(
-            F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)
-        ).alias("bin"),
-        "n",
+    counted, _ = write_stage(
+        lengths.groupBy(F.col(length).cast("double").alias("x")).agg(F.count("*").alias("n")),
+        "length-counts",
     )
-    filled = placed.groupBy("bin").agg(F.sum("n").alias("n"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    numbers = F.sequence(F.lit(0), F.lit(bins - 1)).cast("array<bigint>")
-    axis = bounds.select(F.explode(numbers).alias("bin"), "lo", width.alias("w"))
-    return axis.join(filled, "bin", "left").select(
+    lo, hi = counted.agg(F.min("x"), F.max("x")).first()
+    if lo is None:
+        lo, hi = 0.0, 1.0
+    elif lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
+    place = F.floor((F.col("x") - lo) / (hi - lo) * bins)
+    filled = counted.groupBy(F.least(place, F.lit(bins - 1)).alias("bin")).agg(F.sum("n").alias("n"))
+    width = (hi - lo) / bins
+    return lengths.sparkSession.range(bins).withColumnRenamed("id", "bin").join(filled, "bin", "left").select(
         "bin",
-        (F.col("lo") + F.col("bin") * F.col("w")).alias("lo"),
-        (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("hi"),
+        (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lo"),
+        (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("hi"),
         F.coalesce("n", F.lit(0)).alias("n"),
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import strip_text
 from ..plans.row_index import with_row_index
 
-TOP_N_LIMIT = 100_000
+TOP_N_LIMIT = 1_000
 
 
 def strip_pairs(pairs: DataFrame) -> DataFrame:
@@ -24,8 +24,8 @@ def drop_empty_pairs(pairs: DataFrame) -> DataFrame:
 def cap_pairs(pairs: DataFrame, n: int | None) -> DataFrame:
     """The first ``n`` pairs by ``pair_id``; ``None`` or 0 keeps all.
 
-    A small cap is a top-n; a large one would gather ``n`` rows in one task, so
-    it numbers the rows in place instead.
+    A small cap is a top-n. A large one would send up to ``n`` rows of every scan task
+    to one task, so it numbers the rows in place instead.
     """
     if not n:
         return pairs

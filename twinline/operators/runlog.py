@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scores import noam_lr, perplexity
 from ..plans.running import CHUNK, with_running
-from ..plans.sizing import broadcast_if_small
+from ..plans.sizing import small_side
 
 
 def weighted_loss() -> Column:
@@ -32,7 +32,7 @@ def token_weighted_loss(batch_log: DataFrame, keys: Sequence[str] = ("epoch",))
 def accum_steps(batch_log: DataFrame, k: int, keys: Sequence[str] = ("epoch",)) -> DataFrame:
     """Mark the batches that trigger an update (every k-th and the last) and number the steps."""
     last = batch_log.groupBy(*keys).agg(F.max("batch_idx").alias("_last"))
-    joined = batch_log.join(broadcast_if_small(last), list(keys))
+    joined = batch_log.join(small_side(last, "last-batches"), list(keys))
     return joined.select(
         *batch_log.columns,
         (((F.col("batch_idx") + 1) % k == 0) | (F.col("batch_idx") == F.col("_last"))).alias("is_update"),
@@ -103,8 +103,11 @@ def decode_throughput(
     ``item_log`` is ``(item_no, elapsed_s)`` per key, ``item_no`` from 1; an optional
     boolean ``blank`` marks items that were passed through without a report.
     """
-    total = item_log.groupBy(*keys).agg(F.max("item_no").alias("_total")).withColumn("_one", F.lit(1))
-    joined = item_log.withColumn("_one", F.lit(1)).join(broadcast_if_small(total), [*keys, "_one"])
+    if keys:
+        total = item_log.groupBy(*keys).agg(F.max("item_no").alias("_total"))
+        joined = item_log.join(small_side(total, "item-totals"), list(keys))
+    else:
+        joined = item_log.withColumn("_total", F.lit(item_log.agg(F.max("item_no")).first()[0]))
     due = (F.col("item_no") % every == 0) | (F.col("item_no") == F.col("_total"))
     if "blank" in item_log.columns:
         due = due & ~F.col("blank")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.ids import cut_at_eos
 from ..functions.scores import length_penalised_score
 from ..functions.text import EOS
-from ..plans.sizing import broadcast_if_small
+from ..plans.sizing import broadcast_if_small, small_side
 from ..plans.stages import drop_stage, write_stage
 
 STEPS_PER_STAGE = 8
@@ -38,7 +38,11 @@ def ban_eos(candidates: DataFrame, step: Column | int, min_len: int = 1, token:
 
 
 def expand_beam(beam: DataFrame, transitions: DataFrame) -> DataFrame:
-    """Each live hypothesis with each of its candidates: ``score`` and ``ids`` extended."""
+    """Each live hypothesis with each of its candidates: ``score`` and ``ids`` extended.
+
+    Cut ``transitions`` with :func:`topk_tokens` first when only the best are wanted: the
+    output has one row per hypothesis and candidate.
+    """
     last = F.element_at("ids", -1)
     live = beam.filter(~F.col("done"))
     return live.join(transitions, last == F.col("prev_id")).select(
@@ -175,8 +179,7 @@ def greedy_decode(starts: DataFrame, transitions: DataFrame, max_len: int = 128)
 
     The start ids' first entry (SOS) and everything from EOS on are removed.
     """
-    stage, _ = write_stage(topk_tokens(transitions, ["prev_id"], 1).drop("token_rank"), "candidates")
-    best = broadcast_if_small(stage)
+    best = small_side(topk_tokens(transitions, ["prev_id"], 1).drop("token_rank"), "candidates")
 
     def step_fn(state: DataFrame, step: int) -> DataFrame:
         grown = state.join(

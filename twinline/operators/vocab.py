@@ -67,11 +67,11 @@ def alphabet(words: DataFrame) -> DataFrame:
 
 
 def character_vocabulary(words: DataFrame) -> Vocabulary:
-    """The vocabulary before any merge: the specials and the alphabet."""
+    """The vocabulary before any merge: the specials and the alphabet (bounded by Unicode)."""
     spark = words.sparkSession
-    specials = spark.createDataFrame(list(enumerate(SPECIAL_TOKENS)), "id int, token string")
+    characters = [(row.id, row.token) for row in alphabet(words).collect()]
     return Vocabulary(
-        specials.unionByName(alphabet(words)),
+        spark.createDataFrame(list(enumerate(SPECIAL_TOKENS)) + characters, "id int, token string"),
         spark.createDataFrame([], "rank int, left_id int, right_id int, new_id int"),
     )
 

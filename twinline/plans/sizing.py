@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .stages import write_stage
+
 BROADCAST_ROWS = 500_000
 
 
@@ -18,6 +20,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return df
 
 
+def small_side(df: DataFrame, name: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A derived join side, computed once into a stage table and then size-checked.
+
+    Without the stage, counting it and joining it would each run what it derives from.
+    """
+    stage, _ = write_stage(df, name)
+    return broadcast_if_small(stage, max_rows)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores when a scan yields fewer tasks than there are cores.
 

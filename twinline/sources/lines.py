@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions
 
 from ..functions.text import EXTRA_LINE_BREAKS, strip_text
 from ..operators.pairs import LINE_ORDER, interleave_lines
-from ..plans.sizing import broadcast_if_small
+from ..plans.sizing import small_side
 from ..plans.stages import write_stage
 
 
@@ -61,7 +61,7 @@ def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     offsets = blocks.withColumn(
         "_shift", F.sum("_lines").over(earlier) - F.col("_lines") - F.col("_first") + 1
     ).drop("_lines", "_first")
-    return stage.join(broadcast_if_small(offsets), ["_file", "_block"]).select(
+    return stage.join(small_side(offsets, "block-offsets"), ["_file", "_block"]).select(
         (F.col("_row") + F.col("_shift")).alias("line_no"), "line"
     )
 
