@@ -8,7 +8,7 @@ from twinline.functions import ids as I
 from twinline.functions.text import normalize, pre_tokenize, strip_text
 from twinline.operators import codec, lengths, pairs as P, vocab as V
 from twinline.operators.map_lines import map_lines
-from twinline.plans.stages import new_path
+from twinline.plans.stages import new_path, write_stage
 from twinline.sources import lines as L, pairs as SP, vocab_store
 from twinline.streaming.lines import stream_map_lines
 
@@ -283,8 +283,8 @@ def _sql_ids(words: str) -> str:
     return f"trim(regexp_replace(replace({_in_rank_order(framed)}, '|', ' '), ' +', ' ', 'g'))"
 
 
-def _learned(spark: SparkSession, sf: str, line_source=views.train_lines) -> V.Vocabulary:
-    counts = V.word_counts(line_source(spark, sf))
+def _learned(spark: SparkSession, sf: str) -> V.Vocabulary:
+    counts, _ = write_stage(V.word_counts(views.train_lines(spark, sf)), "train-words")
     size = 4 + V.alphabet(counts).count() + MERGES
     return V.train_bpe(counts, vocab_size=size)
 
@@ -337,7 +337,10 @@ def h3(spark, sf):
 
 
 def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    return codec.encode_words(V.word_counts(views.train_lines(spark, sf)), _learned(spark, sf))
+    counts, _ = write_stage(V.word_counts(views.train_lines(spark, sf)), "train-words")
+    size = 4 + V.alphabet(counts).count() + MERGES
+    dictionary, _ = write_stage(codec.encode_words(counts, V.train_bpe(counts, size)), "dictionary")
+    return dictionary
 
 
 def _sides(spark: SparkSession, sf: str) -> DataFrame:

@@ -32,6 +32,13 @@ def test_assignment(pairs):
         assert [(b, pos) for b, pos, _ in by_split[s]] == [(i // 8, i % 8) for i in range(len(by_split[s]))]
 
 
+def test_origins_may_share_ids(pairs):
+    both = pairs.withColumn("origin", F.lit("base")).unionByName(pairs.withColumn("origin", F.lit("extra")))
+    place = lambda: {(r.origin, r.split, r.pair_id): (r.batch_id, r.pos) for r in B.assign_batches(both, 8, seed=3).collect()}
+    first = place()
+    assert first == place() and len(set((k[1], *v) for k, v in first.items())) == len(first)
+
+
 def test_padding_masks_and_counts(pairs):
     rows = B.build_batches(pairs, 8, seed=1).collect()
     batches = {}

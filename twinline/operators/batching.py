@@ -20,15 +20,17 @@ def assign_batches(
     """Add ``batch_id`` and ``pos`` within each split.
 
     Shuffled splits are ordered by a hash of the seed and ``pair_id`` (repeatable on
-    any cluster), the others by ``pair_id``. The last partial batch is dropped for the
-    splits that ask for it.
+    any cluster), the others by ``pair_id``. Where pairs carry an ``origin``, it is part of
+    the hash and of the order, since two origins may use the same ids. The last partial
+    batch is dropped for the splits that ask for it.
     """
-    shuffled = F.md5(F.concat(F.lit(f"{seed}:"), F.col("pair_id").cast("string")))
+    identity = ["origin", "pair_id"] if "origin" in pairs.columns else ["pair_id"]
+    shuffled = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in identity]))
     keyed = pairs.withColumn(
         "_mix", F.when(F.col("split").isin(*shuffled_splits), shuffled).otherwise(F.lit(""))
     )
     placed = with_row_index(
-        keyed, ["_mix", "pair_id"], within=["split"], out="_idx", total="_total"
+        keyed, ["_mix", *identity], within=["split"], out="_idx", total="_total"
     ).drop("_mix")
     full = F.floor(F.col("_total") / batch_size) * batch_size
     kept = placed.filter(~F.col("split").isin(*drop_last_splits) | (F.col("_idx") < full))

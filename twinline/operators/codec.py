@@ -108,21 +108,22 @@ def known_word_encode(
     text: str,
     hot_words: int = 50_000,
 ) -> DataFrame:
-    """Encode by joining each word with a dictionary ``(word, n, ids)``.
+    """Encode by joining each word with a stored dictionary ``(word, n, ids)``.
 
-    The ``hot_words`` most frequent words (a fixed number) are broadcast, so a word
-    that makes up a large part of the text never meets a shuffle; only the rest is
-    joined by a shuffle on the word. ``keys`` must identify a row. A word that the
-    dictionary lacks becomes one UNK per character.
+    Words that make up more than one in ``hot_words`` of all counted words are broadcast:
+    there can be no more than ``hot_words`` of them, and no remaining word is frequent
+    enough to load one task. Only the rest is joined by a shuffle on the word. ``keys``
+    must identify a row. A word that the dictionary lacks becomes one UNK per character.
     """
     cut = words_for_encoding(F.col(text))
     tokens = df.select(*keys, F.posexplode_outer(cut).alias("pos", "word"))
-    hot = dictionary.orderBy(F.desc("n"), "word").limit(hot_words).select(
-        "word", F.col("ids").alias("hot_ids")
-    )
+    counted = dictionary.agg(F.sum("n")).first()[0] or 0
+    is_frequent = F.col("n") > counted / hot_words
+    hot = dictionary.filter(is_frequent).select("word", F.col("ids").alias("hot_ids"))
     marked = tokens.join(F.broadcast(hot), "word", "left")
-    need = F.when(F.col("hot_ids").isNull(), F.col("word"))
-    rest = dictionary.select(F.col("word").alias("rest_word"), F.col("ids").alias("rest_ids"))
+    rest = dictionary.filter(~is_frequent).select(
+        F.col("word").alias("rest_word"), F.col("ids").alias("rest_ids")
+    )
     is_hot = marked.filter(F.col("hot_ids").isNotNull() | F.col("word").isNull())
     cold = marked.filter(F.col("hot_ids").isNull() & F.col("word").isNotNull())
     special = F.array_position(F.array(*[F.lit(t) for t in SPECIAL_TOKENS]), F.col("word"))
