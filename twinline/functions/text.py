@@ -49,9 +49,16 @@ def pre_tokenize(text: Column) -> Column:
 
 
 def words_for_encoding(text: Column) -> Column:
-    """Pre-tokens of raw text, lower-cased, with literal special tokens kept whole."""
+    """Pre-tokens of raw text, lower-cased, with literal special tokens kept whole.
+
+    The costlier pattern that looks for special tokens runs only on texts that have one.
+    """
     raw = F.regexp_extract_all(F.translate(text, "Σ", "σ"), F.lit(_WORDS_OR_SPECIAL), F.lit(0))
-    return F.transform(raw, lambda w: F.when(w.isin(*SPECIAL_TOKENS), w).otherwise(F.lower(w)))
+    kept = F.transform(raw, lambda w: F.when(w.isin(*SPECIAL_TOKENS), w).otherwise(F.lower(w)))
+    has_special = F.lit(False)
+    for token in SPECIAL_TOKENS:
+        has_special = has_special | F.contains(text, F.lit(token))
+    return F.when(has_special, kept).otherwise(pre_tokenize(normalize(text)))
 
 
 def split_physical_lines(text: Column) -> Column:

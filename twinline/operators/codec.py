@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import attention_mask, pad_ids, strip_special_ids, truncate_ids, wrap_special
@@ -16,7 +17,7 @@ from .vocab import Vocabulary
 WORD_CACHE = 500_000
 
 
-def word_encoder(vocabulary: Vocabulary) -> Column:
+def word_encoder(vocabulary: Vocabulary) -> Callable[[Column], Column]:
     """Arrow UDF: a string of blank-separated words to the array of their ids.
 
     Text is normalised and cut into words by the JVM; Python only looks words up. The
@@ -51,24 +52,26 @@ def word_encoder(vocabulary: Vocabulary) -> Column:
             ids = merged
         return ids
 
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         characters, rules, specials = shared.value
         met = {token: [i] for token, i in specials.items()}
         for lines in batches:
-            out = []
-            for line in lines:
-                ids = []
+            flat, ends = array("i"), array("i", [0])
+            for line in lines.to_pylist():
                 for word in line.split(" ") if line else ():
-                    known = met.get(word)
-                    if known is None:
+                    ids = met.get(word)
+                    if ids is None:
                         if len(met) > limit:
                             met = {token: [i] for token, i in specials.items()}
-                        known = met[word] = encode_word(word, characters, rules)
-                    ids += known
-                out.append(ids)
-            yield pd.Series(out, dtype=object)
+                        ids = met[word] = encode_word(word, characters, rules)
+                    flat.extend(ids)
+                ends.append(len(flat))
+            yield pa.ListArray.from_arrays(
+                pa.Array.from_buffers(pa.int32(), len(ends), [None, pa.py_buffer(ends)]),
+                pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]),
+            )
 
-    return F.pandas_udf(encode, "array<int>")
+    return F.arrow_udf(encode, "array<int>")
 
 
 def encode(

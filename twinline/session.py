@@ -12,6 +12,8 @@ def local_session(cores: int | str = "*", app: str = "twinline", **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8" if cores == "*" else str(cores))
+        # Small tables often feed costly expressions here, so keep their parts small too.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
