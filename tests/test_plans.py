@@ -48,6 +48,15 @@ def test_running_does_not_depend_on_the_chunk(spark, chunk, inclusive):
         assert r.s == sum(seen) and r.m == (max(seen) if seen else None)
 
 
+def test_null_groups_are_kept(spark):
+    rows = [(g, i, 1) for g in ("x", None) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, i int, v int")
+    numbered = row_index.with_row_index(df, ["i"], within=["g"], out="at").collect()
+    assert sorted((r.g or "", r.at) for r in numbered) == [(g, i) for g in ("", "x") for i in range(5)]
+    summed = with_running(df, ["g"], "i", {"s": ("sum", F.col("v"))}, chunk=2).collect()
+    assert sorted((r.g or "", r.s) for r in summed) == [(g, i + 1) for g in ("", "x") for i in range(5)]
+
+
 def test_broadcast_is_bounded(spark):
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
     assert hinted(sizing.broadcast_if_small(spark.range(10), 10))

@@ -31,3 +31,13 @@ def test_query(spark, con, name):
 
 def test_entry_gives_rows(spark):
     assert entry_points.entry(spark).count() == 40
+
+
+@pytest.mark.parametrize("name", ["d15_corpus_bleu", "e1_assign_batches", "f8_show_alternatives", "c5_interpolate", "e7_running_loss_log"])
+def test_results_do_not_depend_on_partitions(spark, con, name):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert compare(entry_points.queries()[name](spark, SF), con, entry_points.oracle_sql()[name]) == ""
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -50,8 +50,8 @@ def test_extra_sources(spark, tmp_path):
     assert read() == [(1, "one", "eins"), (4, "four", "vier"), (5, "five", "fünf")]
     assert read(2) == read()[:2]
     assert read(0) == read()
-    with pytest.raises(ValueError, match="tatoeba"):
-        SP.read_extra(spark, registry, "tatoeba")
+    with pytest.raises(ValueError, match="nowhere"):
+        SP.read_extra(spark, registry, "nowhere")
     plan = SP.read_extra(spark, registry, "books")._jdf.queryExecution().executedPlan().toString()
     assert "unused" not in plan.split("ReadSchema")[1]
 

@@ -99,9 +99,9 @@ def test_rewriting_and_short_fetches_change_nothing(spark, small):
 @pytest.fixture(scope="module")
 def real_lines(spark):
     text = (
-        "Two young, White males are outside near many bushes. Zwei junge weiße Männer sind im Freien "
-        "in der Nähe vieler Büsche. The children are swimming; die Kinder schwimmen im See! "
-        "Straße straße STRASSE Größe größer am größten, 12-year-old 3.14 a_b 🙂🙂 été"
+        "The baker's three small ovens glow near the old harbour wall. Drei kleine Öfen der Bäckerei glühen "
+        "neben der alten Hafenmauer. The gulls are circling; die Möwen kreisen über dem Meer! "
+        "Straße straße STRASSE Größe größer am größten, 12-year-old 3.14 a_b 🙂🙂 été aaaaaaa aaaa aaa"
     ).split(". ")
     return [" ".join(w for w in line.split()) for line in text] * 3 + [line[::-1] for line in text]
 
@@ -123,7 +123,7 @@ def test_training_and_encoding_match_the_tokenizers_package(spark, real_lines):
     mine = V.train_bpe(V.word_counts(_lines(spark, real_lines)), vocab_size=150)
     vocab = tok.get_vocab()
     assert mine.tokens() == sorted(vocab, key=vocab.get)
-    probes = real_lines + ["unseen Wörter ñ 漢字", "[EOS] mid [UNK] x[SOS]y", "", "  \t ", "ΑΣ größeren"]
+    probes = real_lines + ["unseen Wörter ñ 漢字", "[EOS] mid [UNK] x[SOS]y", "", "  \t ", "ΑΣ größeren", "aaaaaaaaaaaaaaaaaaaaaaa hafenmauer" * 40]
     got = codec.encode(_lines(spark, probes), mine, {"line": "ids"}).orderBy("i").collect()
     for row, text in zip(got, probes):
         assert row.ids == tok.encode(text).ids, text

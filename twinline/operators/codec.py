@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Callable, Iterator, Sequence
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import attention_mask, pad_ids, strip_special_ids, truncate_ids, wrap_special
 from ..functions.text import SPECIAL_TOKENS, UNK, words_for_encoding
+from ..plans.joins import join_on_groups
 from ..plans.sizing import small_side
 from ..plans.stages import write_stage
 from .vocab import Vocabulary
 
 WORD_CACHE = 500_000
+LONGEST_CACHED = 64
 
 
 def word_encoder(vocabulary: Vocabulary) -> Callable[[Column], Column]:
@@ -31,26 +34,34 @@ def word_encoder(vocabulary: Vocabulary) -> Callable[[Column], Column]:
     for rank, (left, right, new) in enumerate(vocabulary.merge_rules()):
         rules.setdefault((left, right), (rank, new))
     shared = vocabulary.vocab.sparkSession.sparkContext.broadcast((characters, rules, specials))
-    limit, unknown = WORD_CACHE, UNK
+    limit, longest, unknown = WORD_CACHE, LONGEST_CACHED, UNK
 
     def encode_word(word, characters, rules):
+        # Best rule first, leftmost first; a queue keeps very long words from being slow.
         ids = [characters.get(c, unknown) for c in word]
-        while len(ids) > 1:
-            best = min(
-                (rules[pair] for pair in zip(ids, ids[1:]) if pair in rules), default=None
-            )
-            if best is None:
-                break
-            merged, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and rules.get((ids[i], ids[i + 1])) == best:
-                    merged.append(best[1])
-                    i += 2
-                else:
-                    merged.append(ids[i])
-                    i += 1
-            ids = merged
-        return ids
+        size = len(ids)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        queue = []
+
+        def offer(i):
+            j = after[i] if i >= 0 else size
+            if j < size and (ids[i], ids[j]) in rules:
+                rank, new = rules[ids[i], ids[j]]
+                heappush(queue, (rank, i, ids[i], ids[j], new))
+
+        for i in range(size):
+            offer(i)
+        while queue:
+            _, i, left, right, new = heappop(queue)
+            j = after[i]
+            if ids[i] != left or j >= size or ids[j] != right:
+                continue  # one of the two has been merged since
+            ids[i], ids[j], after[i] = new, -1, after[j]
+            if after[i] < size:
+                before[after[i]] = i
+            offer(i)
+            offer(before[i])
+        return [x for x in ids if x >= 0]
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         characters, rules, specials = shared.value
@@ -61,9 +72,11 @@ def word_encoder(vocabulary: Vocabulary) -> Callable[[Column], Column]:
                 for word in line.split(" ") if line else ():
                     ids = met.get(word)
                     if ids is None:
+                        ids = encode_word(word, characters, rules)
                         if len(met) > limit:
                             met = {token: [i] for token, i in specials.items()}
-                        ids = met[word] = encode_word(word, characters, rules)
+                        if len(word) <= longest:
+                            met[word] = ids
                     flat.extend(ids)
                 ends.append(len(flat))
             yield pa.ListArray.from_arrays(
@@ -172,7 +185,7 @@ def encode_batch(
     encoded, _ = write_stage(encode(df, vocabulary, {text: "ids"}, max_len), "encoded-batch")
     if batch:
         longest = encoded.groupBy(*batch).agg(F.max(F.size("ids")).alias("_longest"))
-        joined = encoded.join(small_side(longest, "batch-lengths"), list(batch))
+        joined = join_on_groups(encoded, small_side(longest, "batch-lengths"), batch)
     else:
         longest = encoded.agg(F.max(F.size("ids"))).first()[0] or 0
         joined = encoded.withColumn("_longest", F.lit(longest))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scores import noam_lr, perplexity
+from ..plans.joins import join_on_groups
 from ..plans.running import CHUNK, with_running
 from ..plans.sizing import small_side
 
@@ -32,7 +33,7 @@ def token_weighted_loss(batch_log: DataFrame, keys: Sequence[str] = ("epoch",))
 def accum_steps(batch_log: DataFrame, k: int, keys: Sequence[str] = ("epoch",)) -> DataFrame:
     """Mark the batches that trigger an update (every k-th and the last) and number the steps."""
     last = batch_log.groupBy(*keys).agg(F.max("batch_idx").alias("_last"))
-    joined = batch_log.join(small_side(last, "last-batches"), list(keys))
+    joined = join_on_groups(batch_log, small_side(last, "last-batches"), keys)
     return joined.select(
         *batch_log.columns,
         (((F.col("batch_idx") + 1) % k == 0) | (F.col("batch_idx") == F.col("_last"))).alias("is_update"),
@@ -105,7 +106,7 @@ def decode_throughput(
     """
     if keys:
         total = item_log.groupBy(*keys).agg(F.max("item_no").alias("_total"))
-        joined = item_log.join(small_side(total, "item-totals"), list(keys))
+        joined = join_on_groups(item_log, small_side(total, "item-totals"), keys)
     else:
         joined = item_log.withColumn("_total", F.lit(item_log.agg(F.max("item_no")).first()[0]))
     due = (F.col("item_no") % every == 0) | (F.col("item_no") == F.col("_total"))
@@ -161,7 +162,7 @@ def interpolate(
     ).filter("_grid")
     left = F.coalesce("_left", "_before")
     right = F.coalesce("_right", "_after")
-    placed = seen.join(carried, cell).select(*series, "x", left.alias("a"), right.alias("b"))
+    placed = join_on_groups(seen, carried, cell).select(*series, "x", left.alias("a"), right.alias("b"))
     slope = (F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x"))
     return placed.select(
         *series,

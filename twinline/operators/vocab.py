@@ -180,7 +180,7 @@ def train_bpe(
             pending.append(merges[-1])
         if len(pending) >= rewrite_after:
             old = path
-            state, path = write_stage(state.select("n", _merged(pending).alias("s")), "bpe-words")
+            state, path = write_stage(_open_words(state, pending), "bpe-words")
             drop_stage(spark, old)
             pending = []
     drop_stage(spark, path)
@@ -207,11 +207,16 @@ def _merged(merges: Sequence[tuple[int, int, int]]) -> Column:
     return F.aggregate(rules, F.col("s"), lambda s, rule: F.replace(s, rule["old"], rule["new"]))
 
 
+def _open_words(state: DataFrame, merges: Sequence[tuple[int, int, int]]) -> DataFrame:
+    """The words after ``merges``, without those that are one symbol and so have no pairs."""
+    return state.select("n", _merged(merges).alias("s")).filter(F.contains("s", F.lit("  ")))
+
+
 def _best_pairs(state: DataFrame, pending, min_frequency: int, fetch: int):
-    # A word that has become one symbol has no pairs left, so it is dropped early.
-    symbols = state.select("n", F.trim(_merged(pending)).alias("s")).filter(F.contains("s", F.lit(" ")))
+    pairs = F.inline(_adjacent(_symbols(F.trim("s")))).alias("left", "right")
     rows = (
-        symbols.select("n", F.inline(_adjacent(_symbols(F.col("s")))).alias("left", "right"))
+        _open_words(state, pending)
+        .select("n", pairs)
         .groupBy("left", "right")
         .agg(F.sum("n").alias("n"))
         .filter(F.col("n") >= min_frequency)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .joins import join_on_groups
 from .sizing import small_side
 from .stages import write_stage
 
@@ -44,7 +45,7 @@ def with_row_index(
     offsets = per_part.withColumn(
         "_shift", F.sum("_rows").over(earlier) - F.col("_rows") - F.col("_first")
     ).withColumn("_total", F.sum("_rows").over(Window.partitionBy(*within))).drop("_rows", "_first")
-    joined = stage.join(small_side(offsets, "row-offsets"), [*within, "_part"])
+    joined = join_on_groups(stage, small_side(offsets, "row-offsets"), [*within, "_part"])
     added = [(F.col("_local") + F.col("_shift")).alias(out)]
     if total is not None:
         added.append(F.col("_total").alias(total))

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .joins import join_on_groups
+
 CHUNK = 65_536
 
 _AGGREGATES = {"sum": F.sum, "max": F.max}
@@ -53,7 +55,7 @@ def with_running(
         "_chunk",
         *[_AGGREGATES[kind](f"_v_{name}").over(frame).alias(f"_l_{name}") for name, (kind, _) in columns.items()],
     )
-    return local.join(carried, cell).select(
+    return join_on_groups(local, carried, cell).select(
         *df.columns,
         *[_COMBINE[kind](F.col(f"_b_{name}"), F.col(f"_l_{name}")).alias(name) for name, (kind, _) in columns.items()],
     )

@@ -31,8 +31,13 @@ def shared_root(spark: SparkSession) -> str:
     return current
 
 
+def run_root(spark: SparkSession) -> str:
+    """The folder that holds all stage tables of this application."""
+    return f"{shared_root(spark)}/twinline/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/twinline/{name}-{uuid.uuid4().hex}"
+    return f"{run_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -49,6 +54,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def drop_run(spark: SparkSession) -> None:
+    """Remove every stage table of this application; call it when no DataFrame needs them."""
+    drop_stage(spark, run_root(spark))
+
+
 def drop_stage(spark: SparkSession, path: str) -> None:
     """Remove a stage table that this run wrote and no longer needs."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
