@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scores import noam_lr, perplexity
 from ..plans.joins import join_on_groups
-from ..plans.running import CHUNK, with_running
+from ..plans.running import CHUNK, chunk_cell, with_running
 from ..plans.sizing import small_side
 
 
@@ -141,28 +141,28 @@ def interpolate(
     rows = known.select(*series, F.col("x").cast("double"), F.col("y").cast("double"), F.lit(False).alias("_grid")).unionByName(
         grid.select(*series, F.col("x").cast("double"), F.lit(None).cast("double").alias("y"), F.lit(True).alias("_grid"))
     )
-    rows = rows.withColumn("_chunk", F.floor(F.col("x") / chunk)).withColumn(
+    rows = rows.withColumn("_cell", chunk_cell(series, F.col("x"), chunk)).withColumn(
         "_known", F.when(~F.col("_grid"), point)
     )
-    cell = [*series, "_chunk"]
-    ends = rows.groupBy(*cell).agg(F.min("_known").alias("_lo"), F.max("_known").alias("_hi"))
-    across = Window.partitionBy(*series)
+    ends = rows.groupBy("_cell").agg(F.min("_known").alias("_lo"), F.max("_known").alias("_hi"))
+    across = Window.partitionBy(*[F.col("_cell")[s] for s in series])
+    place = F.col("_cell")["_chunk"]
     carried = ends.select(
-        *cell,
+        "_cell",
         F.last("_hi", ignorenulls=True)
-        .over(across.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        .over(across.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
         F.last("_lo", ignorenulls=True)
-        .over(across.orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
+        .over(across.orderBy(place.desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
     )
-    inside = Window.partitionBy(*cell)
+    inside = Window.partitionBy("_cell")
     seen = rows.select(
-        *cell, "x", "_grid",
+        *series, "_cell", "x", "_grid",
         F.last("_known", ignorenulls=True).over(inside.orderBy("x")).alias("_left"),
         F.last("_known", ignorenulls=True).over(inside.orderBy(F.desc("x"))).alias("_right"),
     ).filter("_grid")
     left = F.coalesce("_left", "_before")
     right = F.coalesce("_right", "_after")
-    placed = join_on_groups(seen, carried, cell).select(*series, "x", left.alias("a"), right.alias("b"))
+    placed = seen.join(carried, "_cell").select(*series, "x", left.alias("a"), right.alias("b"))
     slope = (F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x"))
     return placed.select(
         *series,

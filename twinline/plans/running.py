@@ -6,8 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .joins import join_on_groups
-
 CHUNK = 65_536
 
 _AGGREGATES = {"sum": F.sum, "max": F.max}
@@ -17,6 +15,14 @@ _COMBINE = {
 }
 
 
+def chunk_cell(keys: Sequence[str], order: Column, chunk: float) -> Column:
+    """Group and chunk as one struct: never null itself, and null fields equal each other.
+
+    Windows, aggregates and joins on this one column share a single shuffle.
+    """
+    return F.struct(*keys, F.floor(order / chunk).alias("_chunk"))
+
+
 def with_running(
     df: DataFrame,
     keys: Sequence[str],
@@ -31,31 +37,36 @@ def with_running(
     into chunks of ``chunk`` consecutive order values; windows run inside a chunk,
     and the chunk totals (a far smaller table) carry the earlier chunks over.
     """
-    base = df.withColumn("_chunk", F.floor(F.col(order_by) / chunk))
+    names = list(columns)
+    base = df.withColumn("_cell", chunk_cell(keys, F.col(order_by), chunk))
     for name, (_, expr) in columns.items():
         base = base.withColumn(f"_v_{name}", expr)
-    cell = [*keys, "_chunk"]
     frame = (
-        Window.partitionBy(*cell)
+        Window.partitionBy("_cell")
         .orderBy(order_by)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
-    totals = base.groupBy(*cell).agg(
-        *[_AGGREGATES[kind](f"_v_{name}").alias(f"_t_{name}") for name, (kind, _) in columns.items()]
+    totals = base.groupBy("_cell").agg(
+        *[_AGGREGATES[columns[name][0]](f"_v_{name}").alias(f"_t_{name}") for name in names]
     )
     before = (
-        Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*[F.col("_cell")[k] for k in keys])
+        .orderBy(F.col("_cell")["_chunk"])
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = totals.select(
-        *cell,
-        *[_AGGREGATES[kind](f"_t_{name}").over(before).alias(f"_b_{name}") for name, (kind, _) in columns.items()],
+        "_cell",
+        *[_AGGREGATES[columns[name][0]](f"_t_{name}").over(before).alias(f"_b_{name}") for name in names],
     )
     local = base.select(
         *df.columns,
-        "_chunk",
-        *[_AGGREGATES[kind](f"_v_{name}").over(frame).alias(f"_l_{name}") for name, (kind, _) in columns.items()],
+        "_cell",
+        *[_AGGREGATES[columns[name][0]](f"_v_{name}").over(frame).alias(f"_l_{name}") for name in names],
     )
-    return join_on_groups(local, carried, cell).select(
+    return local.join(carried, "_cell").select(
         *df.columns,
-        *[_COMBINE[kind](F.col(f"_b_{name}"), F.col(f"_l_{name}")).alias(name) for name, (kind, _) in columns.items()],
+        *[
+            _COMBINE[columns[name][0]](F.col(f"_b_{name}"), F.col(f"_l_{name}")).alias(name)
+            for name in names
+        ],
     )
