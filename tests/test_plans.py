@@ -59,8 +59,8 @@ def test_null_groups_are_kept(spark):
 
 def test_broadcast_is_bounded(spark):
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
-    assert hinted(sizing.broadcast_if_small(spark.range(10), 10))
-    assert not hinted(sizing.broadcast_if_small(spark.range(11), 10))
+    assert hinted(sizing.broadcast_if_small(spark.range(10), 160))
+    assert not hinted(sizing.broadcast_if_small(spark.range(11), 160))
 
 
 def test_spread_leaves_wide_scans_alone(spark):

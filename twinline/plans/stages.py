@@ -8,27 +8,17 @@ filters and know their size (which lets the planner pick broadcast joins).
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder for stage tables: the cluster's setting, else (local master only) a new one."""
+    """Folder for stage tables, as the session names it; every executor must reach it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError(
-                "set spark.checkpoint.dir to a folder that every executor can reach"
-            )
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="twinline-"))
-        current = context.getCheckpointDir()
-    return current
+    if not configured:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    return configured
 
 
 def run_root(spark: SparkSession) -> str:
@@ -48,6 +38,12 @@ def write_stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def stage_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files of a stage table."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop_path).getLength()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())

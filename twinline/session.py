@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def with_checkpoint_dir(spark: SparkSession) -> SparkSession:
+    """Set ``spark.checkpoint.dir`` to a new folder on a local master that has none.
+
+    A cluster must name its shared folder itself; there an unset one is an error.
+    """
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="twinline-"))
+    return spark
+
+
 def local_session(cores: int | str = "*", app: str = "twinline", **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -22,4 +36,4 @@ def local_session(cores: int | str = "*", app: str = "twinline", **conf: str) ->
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return with_checkpoint_dir(spark)
