@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, minhash_dedup
+from . import (
+    bpe, decontaminate, html_blocks, language_id, line_dedup, minhash_dedup, quality_model, quality_rules, sharding, substring_dedup,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +35,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@register("op1_substring_dedup")
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage that an earlier document holds too."""
+    return substring_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 LINE_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                   generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
@@ -71,6 +79,44 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op4_quality_model")
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the probability that it is of good quality."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_model.score_quality(docs, read(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", language_id.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+RULES_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[ \x09-\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ \x09-\x0D]')) AS lines FROM t),
+win AS (SELECT k, s, array_to_string(w[s + 1 : s + 5], ' ') AS win FROM w, unnest(range(0, len(w) - 4)) AS u(s) WHERE len(w) >= 5),
+twice AS (SELECT k, win FROM win GROUP BY k, win HAVING count(*) >= 2),
+rep AS (SELECT k, count(DISTINCT p) AS n FROM win SEMI JOIN twice USING (k, win), unnest(range(s, s + 5)) AS u(p) GROUP BY k),
+b AS (SELECT w.k, doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+             length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+      FROM w LEFT JOIN rep ON rep.k = w.k),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS bad FROM f GROUP BY source),
+m AS (SELECT sum(bad) / sum(n) AS mean, var_pop(bad / n) AS var FROM h),
+p AS (SELECT mean, CASE WHEN var > 1e-12 THEN greatest(1.0, mean * (1 - mean) / var - 1) ELSE 100.0 END AS strength FROM m),
+v AS (SELECT source, (bad + strength * mean) / (n + strength) AS rate FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS host_rate,
+       NOT base_failed AND NOT rate > 0.5 AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
+"""
+
+
+@register("op5_quality_rules", RULES_SQL)
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its base counts and the verdict of the rules and of its host."""
+    return quality_rules.judge(read(spark, sf_dir, "documents"))
+
+
 @register("op6_bpe")
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded; digests of both."""
@@ -113,3 +159,20 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its predicted language."""
     named = language_id.identify_languages(read(spark, sf_dir, "documents"))
     return named.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@register("op9_sharding")
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its place in 24 shards of equal counts."""
+    placed = sharding.reshard(read(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "moved",
+    )
+
+
+@register("op10_html_extraction")
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its main text."""
+    pages = read(spark, sf_dir, "pages")
+    return html_blocks.extract_main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
