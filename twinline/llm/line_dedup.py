@@ -19,29 +19,25 @@ from ..plans.stages import write_stage
 SPACE = "[ \\x09-\\x0D]+"
 BUCKETS = 1 << 16  # rarity is counted per hash bucket of words, a table of fixed size
 DENSE = 200  # a rare word that starts more classes than this is matched through leaders first
-_RANK_SHIFT = 48
+_HASH_BITS = 48  # of a code; the rank stands above them
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE), "")
 
 
 def _rarity(docs: DataFrame, text_col: str) -> Column:
-    """``BUCKETS`` bytes, each the rank (twice the log frequency) of the words that hash there, as a literal."""
+    """``BUCKETS`` ranks (twice the log frequency of the words that hash there), as a constant array."""
+    # explode_outer: for a plain explode the optimizer would cut the text a second time to skip empty arrays.
     counted = (
-        docs.select(F.explode(F.split(F.col(text_col), SPACE)).alias("w"))
-        .groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("bucket"))
+        docs.select(F.explode_outer(F.split(F.col(text_col), SPACE)).alias("w"))
+        .groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket"))
         .agg(F.count("*").alias("n"))
     )
-    ranks = bytearray([1] * BUCKETS)
+    ranks = [1] * BUCKETS
     for row in counted.collect():  # at most BUCKETS rows, whatever the input
-        ranks[row.bucket] = min(127, 1 + int(2 * math.log2(row.n)))
-    return F.lit(bytes(ranks))
-
-
-def _rank(ranks: Column, h: Column) -> Column:
-    byte = F.substring(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1))
-    return F.ascii(byte.cast("string")).cast("long")
+        ranks[row.bucket] = 1 + int(2 * math.log2(row.n))
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
 def _hashed(words: Column) -> Column:
@@ -56,44 +52,47 @@ def _needed(size: Column | str) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The later class of every pair ``(a, b)`` whose sets reach 4/5."""
-    a = sets.select(F.col("key").alias("a"), F.col("set").alias("sa"), F.col("at").alias("ta"))
-    b = sets.select(F.col("key").alias("b"), F.col("set").alias("sb"), F.col("at").alias("tb"))
+    a = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"), F.col("at").alias("ta"))
+    b = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"), F.col("at").alias("tb"))
     joined = pairs.join(a, "a").join(b, "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return joined.filter(9 * common >= 4 * (F.size("sa") + F.size("sb"))).select(
-        F.when(F.col("ta") > F.col("tb"), F.col("a")).otherwise(F.col("b")).alias("key")
+        F.when(F.col("ta") > F.col("tb"), F.col("a")).otherwise(F.col("b")).alias("id")
     ).distinct()
 
 
-def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Word sets of the given classes, cut again from the document where each occurs first."""
-    needed = classes.join(keys, "key").groupBy("at.doc_id", "at.text_hash").agg(
-        F.collect_list(F.struct("key", F.col("at.line_no").alias("line_no"))).alias("wanted")
+def _sets(docs: DataFrame, pairs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Word sets of the classes in pairs, cut again from the document where each occurs first."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = places.join(ids, "id").groupBy("at.doc_id", "at.text_hash").agg(
+        F.collect_list(F.struct("id", F.col("at.line_no").alias("line_no"))).alias("wanted")
     )
     side = small_side(needed, "wanted-lines").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), "wanted")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
     held = rows.join(side, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("_t") == F.col("_h")))
     held = held.withColumn("_lines", F.split("_t", "\n"))
-    one = held.select("doc_id", "_h", F.explode(F.transform("wanted", lambda x: F.struct(
-        x["key"].alias("key"), x["line_no"].alias("line_no"), F.get(F.col("_lines"), x["line_no"]).alias("line")
+    one = held.select("doc_id", "_h", F.explode_outer(F.transform("wanted", lambda x: F.struct(
+        x["id"].alias("id"), x["line_no"].alias("line_no"), F.get(F.col("_lines"), x["line_no"]).alias("line")
     ))).alias("x"))
     return one.select(
-        "x.key", _hashed(words_of(F.col("x.line"))).alias("set"),
+        "x.id", _hashed(words_of(F.col("x.line"))).alias("set"),
         F.struct("doc_id", F.col("_h").alias("text_hash"), "x.line_no").alias("at"),
-    ).dropDuplicates(["key"])
+    ).dropDuplicates(["id"])
 
 
-def _fits(a: str, b: str) -> Column:
-    """Length and positional filters for a shared word at 0-based places ``pa`` and ``pb``."""
-    ahead = f"1 + least({a} - pa - 1, {b} - pb - 1)"
-    return F.expr(f"{b} * 5 >= {a} * 4 AND {a} * 5 >= {b} * 4 AND 9 * ({ahead}) >= 4 * ({a} + {b})")
+#: Length and positional filters for a word shared at the 0-based places ``pa`` and ``pb``.
+_FITS = "nb * 5 >= na * 4 AND na * 5 >= nb * 4 AND 9 * (1 + least(na - pa - 1, nb - pb - 1)) >= 4 * (na + nb)"
+#: Places that lead to every partner of at least the same size.
+_INDEXED = "{place} < {size} - (({size} * 8 + 8) div 9) + 1"
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    x = left.select("code", F.col("key").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"))
-    y = right.select("code", F.col("key").alias("b"), F.col("size").alias("nb"), F.col("place").alias("pb"))
-    # The smaller set is found through its shorter index prefix; equal sizes in either order.
-    found = x.join(y, "code").filter("a <> b AND (nb < na OR (nb = na AND b < a))").filter(_fits("na", "nb"))
+def _pairs(postings: DataFrame) -> DataFrame:
+    x = postings.select("code", F.col("id").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"))
+    y = postings.select("code", F.col("id").alias("b"), F.col("size").alias("nb"), F.col("place").alias("pb"))
+    # The smaller set is found through its shorter index prefix; of equal sizes, the one with the smaller id.
+    # "OR pa < 0" (never true) names both sides, so the test stays in the join and both sides share one shuffle.
+    found = x.join(y, "code").filter("(nb < na OR (nb = na AND b < a))").filter(_FITS)
+    found = found.filter(f"{_INDEXED.format(size='nb', place='pb')} OR pa < 0")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -115,52 +114,48 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ranks = _rarity(docs, text_col)
     lines = docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"),
-        F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"),
+        F.posexplode_outer(F.split(F.col(text_col), "\n")).alias("line_no", "line"),
     )
-    cut = lines.select("doc_id", "text_hash", "line_no", _hashed(words_of(F.col("line"))).alias("set")).filter(F.size("set") > 0)
-    rank = lambda h: F.shiftleft(_rank(ranks, h), _RANK_SHIFT)
-    coded = F.sort_array(F.transform("set", lambda h: rank(h).bitwiseOR(h.bitwiseAND(F.lit((1 << _RANK_SHIFT) - 1)))))
+    cut = lines.select("doc_id", "text_hash", "line_no", _hashed(words_of(F.col("line"))).alias("set"))
+    rank = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), _HASH_BITS)
+    coded = F.sort_array(F.transform("set", lambda h: rank(h).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))))
     kept = F.when(F.col("size") >= 4, F.slice(coded, F.lit(1), F.col("size") - _needed("size").cast("int") + 1))
     keyed = cut.withColumn("size", F.size("set")).select(
         "doc_id", "text_hash", "line_no", F.xxhash64("set").alias("key"), "size", kept.alias("prefix")
     )
-    occurrences, _ = write_stage(keyed, "lines")
-    classed = occurrences.groupBy("key").agg(
+    written, _ = write_stage(keyed, "lines")
+    occurrences = written.filter("size > 0")  # only now: a filter above would cut every line twice
+    grouped = occurrences.groupBy("key").agg(
         F.min(F.struct("doc_id", "text_hash", "line_no")).alias("at"), F.count("*").alias("n"),
         F.first("size").alias("size"), F.first("prefix").alias("prefix"),
     )
-    postings = classed.filter("prefix IS NOT NULL").select("key", "size", F.posexplode("prefix").alias("place", "code"))
-    indexed = F.expr("place < size - ((size * 8 + 8) div 9) + 1")  # a partner of at least this size
-    crowd = postings.filter(indexed).groupBy("code").agg(F.count("*").alias("m")).filter(f"m > {DENSE}").select("code")
-    dense = small_side(crowd, "dense-words")
-    sparse = postings.join(dense, "code", "left_anti")
-    classes = occurrences.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash", "line_no")).alias("at"), F.count("*").alias("n"))
-
-    pairs, _ = write_stage(_pairs(sparse, sparse.filter(indexed)), "line-pairs")
-    crowded, _ = write_stage(
-        postings.join(dense, "code").join(classes.select("key", "at"), "key"), "dense-postings"
-    )
-    leaders = crowded.groupBy("code").agg(F.min(F.struct("at", "key", "size", "place")).alias("first")).select(
-        "code", F.col("first.key").alias("b"), F.col("first.size").alias("nb"), F.col("first.place").alias("pb")
+    # Short ids in place of keys: they compress in the shuffles of the join.
+    classes, _ = write_stage(grouped.withColumn("id", F.monotonically_increasing_id()), "line-classes")
+    postings = classes.filter("prefix IS NOT NULL").select("id", "size", F.posexplode_outer("prefix").alias("place", "code"))
+    places = classes.select("id", "at")
+    crowd = postings.filter(_INDEXED.format(size="size", place="place")).groupBy("code").agg(F.count("*").alias("m"))
+    dense = small_side(crowd.filter(f"m > {DENSE}").select("code"), "dense-words")
+    pairs, _ = write_stage(_pairs(postings.join(dense, "code", "left_anti")), "line-pairs")
+    crowded, _ = write_stage(postings.join(dense, "code").join(places, "id"), "dense-postings")
+    leaders = crowded.groupBy("code").agg(F.min(F.struct("at", "id", "size", "place")).alias("first")).select(
+        "code", F.col("first.id").alias("b"), F.col("first.size").alias("nb"), F.col("first.place").alias("pb")
     )
-    led = crowded.select("code", F.col("key").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa")).join(leaders, "code")
+    led = crowded.select("code", F.col("id").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa")).join(leaders, "code")
     led, _ = write_stage(
-        led.filter("a <> b").filter(_fits("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "leader-pairs"
+        led.filter("a <> b").filter(_FITS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "leader-pairs"
     )
     asked = pairs.unionByName(led)
-    keys = asked.select(F.col("a").alias("key")).unionByName(asked.select(F.col("b").alias("key"))).distinct()
-    sets, _ = write_stage(_sets(docs, keys, classes, id_col, text_col), "line-sets")
+    sets, _ = write_stage(_sets(docs, asked, places, id_col, text_col), "line-sets")
     gone, _ = write_stage(_verified(asked, sets), "later-classes")
     if not crowded.isEmpty():
-        left = crowded.join(gone, "key", "left_anti")
-        x = left.select("code", F.col("key").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"), F.col("at").alias("xa"))
-        y = crowded.select("code", F.col("key").alias("b"), F.col("size").alias("nb"), F.col("place").alias("pb"), F.col("at").alias("xb"))
-        rest = x.join(y, "code").filter("a <> b AND xb < xa").filter(_fits("na", "nb")).select("a", "b").distinct()
-        rest, _ = write_stage(rest, "rest-pairs")
-        more = rest.select(F.col("a").alias("key")).unionByName(rest.select(F.col("b").alias("key"))).distinct()
-        sets, _ = write_stage(_sets(docs, more, classes, id_col, text_col), "line-sets")
+        left = crowded.join(gone, "id", "left_anti")
+        x = left.select("code", F.col("id").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"), F.col("at").alias("xa"))
+        y = crowded.select("code", F.col("id").alias("b"), F.col("size").alias("nb"), F.col("place").alias("pb"), F.col("at").alias("xb"))
+        rest, _ = write_stage(x.join(y, "code").filter("a <> b AND xb < xa").filter(_FITS).select("a", "b").distinct(), "rest-pairs")
+        sets, _ = write_stage(_sets(docs, rest, places, id_col, text_col), "line-sets")
         gone = gone.unionByName(_verified(rest, sets)).distinct()
-    special = classes.join(gone.withColumn("_gone", F.lit(True)), "key", "left").filter("n > 1 OR _gone")
+    marked = classes.select("id", "key", "at", "n").join(gone.withColumn("_gone", F.lit(True)), "id", "left")
+    special = marked.filter("n > 1 OR _gone").select("key", "at", "_gone")
     hit = occurrences.select("doc_id", "text_hash", "line_no", "key").join(special, "key").filter(
         F.coalesce(F.col("_gone"), F.lit(False)) | (F.struct("doc_id", "text_hash", "line_no") > F.col("at"))
     )
