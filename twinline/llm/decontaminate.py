@@ -22,7 +22,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def raw_words(text: Column) -> Column:
-    return F.filter(F.split(text, SEPARATORS_RAW), lambda w: w != "")
+    return F.array_remove(F.split(text, SEPARATORS_RAW), "")
 
 
 def exact_words(text: Column) -> Column:
@@ -100,11 +100,12 @@ def contamination(
     prints = small_side(prints.distinct(), "item-prints")
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    # explode_outer: for a plain explode the optimizer would compute the arrays a second time to skip empty ones.
     hashed = rows.withColumn("h", _hashes(raw_words(F.col("text"))))
     hashed = hashed.withColumn("g", _grams("h", GRAM)) if WINDOW in lengths else hashed
     sets = [_winnowed("g")] if WINDOW in lengths else []
     sets += [F.array_distinct(_grams("h", n)) for n in lengths if n < WINDOW]
-    drawn = hashed.select("doc_id", "text_hash", F.explode(F.concat(*sets)).alias("f"))
+    drawn = hashed.select("doc_id", "text_hash", F.explode_outer(F.concat(*sets)).alias("f"))
     hits = drawn.join(prints, "f", "left_semi").select("doc_id", "text_hash", "f").distinct()
     hits, _ = write_stage(hits, "shared-prints")
     shared = small_side(

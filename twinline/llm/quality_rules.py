@@ -38,7 +38,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     the usual case, is done after one pass; otherwise the windows are sorted with their places.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    cut = docs.withColumn("_words", F.filter(F.split(text, SPACE), lambda w: w != ""))
+    cut = docs.withColumn("_words", F.array_remove(F.split(text, SPACE), ""))
     cut = cut.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     count = F.size("_hashes") - WINDOW + 1
     at = lambda i: F.xxhash64(*[F.get(F.col("_hashes"), i + j) for j in range(WINDOW)])
