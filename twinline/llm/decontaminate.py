@@ -121,7 +121,8 @@ def contamination(
     base = suspects.withColumn("h", _hashes(F.col("w")))
     for n in lengths:
         size = GRAM if n == WINDOW else n
-        at = base.withColumn("g", _grams("h", size)).select("doc_id", "text_hash", F.size("w").alias("words"), F.posexplode("g").alias("p", "f"))
+        grams = base.withColumn("g", _grams("h", size)).select("doc_id", "text_hash", F.size("w").alias("words"), "g")
+        at = grams.select("doc_id", "text_hash", "words", F.posexplode_outer("g").alias("p", "f"))  # no array in the rows
         at = at.join(prints, "f", "left_semi")
         first, last = F.greatest(F.lit(0), F.col("p") - (n - size)), F.least(F.col("p"), F.col("words") - n)
         at = at.withColumn("first", first).withColumn("last", last).filter("first <= last")

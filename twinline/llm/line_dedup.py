@@ -23,14 +23,18 @@ _HASH_BITS = 48  # of a code; the rank stands above them
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(text, SPACE), "")
+    # Splitting at one plain character is far cheaper than at a pattern; other white space is rare.
+    other = F.lit(False)
+    for c in "\t\n\x0b\x0c\r":
+        other = other | F.contains(text, F.lit(c))
+    return F.array_remove(F.when(other, F.split(text, SPACE)).otherwise(F.split(text, " ")), "")
 
 
 def _rarity(docs: DataFrame, text_col: str) -> Column:
     """``BUCKETS`` ranks (twice the log frequency of the words that hash there), as a constant array."""
     # explode_outer: for a plain explode the optimizer would cut the text a second time to skip empty arrays.
     counted = (
-        docs.select(F.explode_outer(F.split(F.col(text_col), SPACE)).alias("w"))
+        docs.select(F.explode_outer(F.split(F.col(text_col), " ")).alias("w"))  # the order may be rough, not the sets
         .groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket"))
         .agg(F.count("*").alias("n"))
     )
@@ -96,6 +100,21 @@ def _pairs(postings: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _promising(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Pairs whose prefixes alone do not yet rule them out.
+
+    Up to the smaller of both last codes the prefixes hold all words of both sets, so the words
+    found on one side only are certain to differ; sets that reach 4/5 differ in at most a ninth.
+    """
+    a = prefixes.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("prefix").alias("xa"))
+    b = prefixes.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("prefix").alias("xb"))
+    joined = pairs.join(a, "a").join(b, "b").withColumn("last", F.least(F.element_at("xa", -1), F.element_at("xb", -1)))
+    upto = lambda x: F.size(F.filter(x, lambda c: c <= F.col("last")))
+    twins = F.size("xa") - F.size(F.array_distinct("xa")) + F.size("xb") - F.size(F.array_distinct("xb"))  # of one code
+    common = F.size(F.array_intersect("xa", "xb")) + twins
+    return joined.filter(9 * (upto("xa") + upto("xb") - 2 * common) <= F.col("na") + F.col("nb")).select("a", "b")
+
+
 def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text_hash, lines)``: the 0-based numbers of the lines to remove, for documents that have any.
 
@@ -135,15 +154,15 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     places = classes.select("id", "at")
     crowd = postings.filter(_INDEXED.format(size="size", place="place")).groupBy("code").agg(F.count("*").alias("m"))
     dense = small_side(crowd.filter(f"m > {DENSE}").select("code"), "dense-words")
-    pairs, _ = write_stage(_pairs(postings.join(dense, "code", "left_anti")), "line-pairs")
+    prefixes = classes.filter("prefix IS NOT NULL").select("id", "size", "prefix")
+    pairs, _ = write_stage(_promising(_pairs(postings.join(dense, "code", "left_anti")), prefixes), "line-pairs")
     crowded, _ = write_stage(postings.join(dense, "code").join(places, "id"), "dense-postings")
     leaders = crowded.groupBy("code").agg(F.min(F.struct("at", "id", "size", "place")).alias("first")).select(
         "code", F.col("first.id").alias("b"), F.col("first.size").alias("nb"), F.col("first.place").alias("pb")
     )
     led = crowded.select("code", F.col("id").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa")).join(leaders, "code")
-    led, _ = write_stage(
-        led.filter("a <> b").filter(_FITS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "leader-pairs"
-    )
+    led = led.filter("a <> b").filter(_FITS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    led, _ = write_stage(_promising(led, prefixes), "leader-pairs")
     asked = pairs.unionByName(led)
     sets, _ = write_stage(_sets(docs, asked, places, id_col, text_col), "line-sets")
     gone, _ = write_stage(_verified(asked, sets), "later-classes")
@@ -151,7 +170,8 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         left = crowded.join(gone, "id", "left_anti")
         x = left.select("code", F.col("id").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"), F.col("at").alias("xa"))
         y = crowded.select("code", F.col("id").alias("b"), F.col("size").alias("nb"), F.col("place").alias("pb"), F.col("at").alias("xb"))
-        rest, _ = write_stage(x.join(y, "code").filter("a <> b AND xb < xa").filter(_FITS).select("a", "b").distinct(), "rest-pairs")
+        rest = x.join(y, "code").filter("a <> b AND xb < xa").filter(_FITS).select("a", "b").distinct()
+        rest, _ = write_stage(_promising(rest, prefixes), "rest-pairs")
         sets, _ = write_stage(_sets(docs, rest, places, id_col, text_col), "line-sets")
         gone = gone.unionByName(_verified(rest, sets)).distinct()
     marked = classes.select("id", "key", "at", "n").join(gone.withColumn("_gone", F.lit(True)), "id", "left")
