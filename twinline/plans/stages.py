@@ -34,7 +34,7 @@ def write_stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` once and return the table read back, with its path."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # hashes and ranks shrink by entropy only
     return spark.read.schema(df.schema).parquet(path), path
 
 
