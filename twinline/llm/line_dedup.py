@@ -49,9 +49,10 @@ def _hashed(words: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
-def _parity(words: str) -> Column:
-    """64 bits, each telling whether an odd number of the set's words hash to it."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))
+def _parity(words: str, half: int) -> Column:
+    """64 of 128 bits, each telling whether an odd number of the set's words hash to it."""
+    own = lambda h: F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - half)).cast("bigint")
+    bit = lambda h: F.call_function("shiftleft", own(h), h.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(words, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(bit(h)))
 
 
@@ -94,15 +95,15 @@ def _sets(docs: DataFrame, pairs: DataFrame, places: DataFrame, id_col: str, tex
 #: which differ in no more bits than the sets differ in words, and these are at most a ninth.
 _FITS = (
     "nb * 5 >= na * 4 AND na * 5 >= nb * 4 AND 9 * (1 + least(na - pa - 1, nb - pb - 1)) >= 4 * (na + nb)"
-    " AND 9 * bit_count(ya ^ yb) <= na + nb"
+    " AND 9 * (bit_count(ya ^ yb) + bit_count(za ^ zb)) <= na + nb"
 )
 #: Places that lead to every partner of at least the same size.
 _INDEXED = "{place} < {size} - (({size} * 8 + 8) div 9) + 1"
 
 
 def _pairs(postings: DataFrame) -> DataFrame:
-    x = postings.select("code", F.col("id").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"), F.col("parity").alias("ya"))
-    y = postings.select("code", F.col("id").alias("b"), F.col("size").alias("nb"), F.col("place").alias("pb"), F.col("parity").alias("yb"))
+    x = postings.select("code", F.col("id").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"), F.col("parity").alias("ya"), F.col("parity2").alias("za"))
+    y = postings.select("code", F.col("id").alias("b"), F.col("size").alias("nb"), F.col("place").alias("pb"), F.col("parity").alias("yb"), F.col("parity2").alias("zb"))
     # The smaller set is found through its shorter index prefix; of equal sizes, the one with the smaller id.
     # "OR pa < 0" (never true) names both sides, so the test stays in the join and both sides share one shuffle.
     found = x.join(y, "code").filter("(nb < na OR (nb = na AND b < a))").filter(_FITS)
@@ -150,27 +151,27 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     coded = F.sort_array(F.transform("set", lambda h: rank(h).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))))
     kept = F.when(F.col("size") >= 4, F.slice(coded, F.lit(1), F.col("size") - _needed("size").cast("int") + 1))
     keyed = cut.withColumn("size", F.size("set")).select(
-        "doc_id", "text_hash", "line_no", F.xxhash64("set").alias("key"), "size", _parity("set").alias("parity"), kept.alias("prefix")
+        "doc_id", "text_hash", "line_no", F.xxhash64("set").alias("key"), "size", _parity("set", 0).alias("parity"), _parity("set", 1).alias("parity2"), kept.alias("prefix")
     )
     written, _ = write_stage(keyed, "lines")
     occurrences = written.filter("size > 0")  # only now: a filter above would cut every line twice
     grouped = occurrences.groupBy("key").agg(
         F.min(F.struct("doc_id", "text_hash", "line_no")).alias("at"), F.count("*").alias("n"),
-        F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"),
+        F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("parity2").alias("parity2"), F.first("prefix").alias("prefix"),
     )
     # Short ids in place of keys: they compress in the shuffles of the join.
     classes, _ = write_stage(grouped.withColumn("id", F.monotonically_increasing_id()), "line-classes")
-    postings = classes.filter("prefix IS NOT NULL").select("id", "size", "parity", F.posexplode_outer("prefix").alias("place", "code"))
+    postings = classes.filter("prefix IS NOT NULL").select("id", "size", "parity", "parity2", F.posexplode_outer("prefix").alias("place", "code"))
     places = classes.select("id", "at")
     crowd = postings.filter(_INDEXED.format(size="size", place="place")).groupBy("code").agg(F.count("*").alias("m"))
     dense = small_side(crowd.filter(f"m > {DENSE}").select("code"), "dense-words")
     prefixes = classes.filter("prefix IS NOT NULL").select("id", "size", "prefix")
     pairs, _ = write_stage(_promising(_pairs(postings.join(dense, "code", "left_anti")), prefixes), "line-pairs")
     crowded, _ = write_stage(postings.join(dense, "code").join(places, "id"), "dense-postings")
-    leaders = crowded.groupBy("code").agg(F.min(F.struct("at", "id", "size", "place", "parity")).alias("first")).select(
-        "code", F.col("first.id").alias("b"), F.col("first.size").alias("nb"), F.col("first.place").alias("pb"), F.col("first.parity").alias("yb")
+    leaders = crowded.groupBy("code").agg(F.min(F.struct("at", "id", "size", "place", "parity", "parity2")).alias("first")).select(
+        "code", F.col("first.id").alias("b"), F.col("first.size").alias("nb"), F.col("first.place").alias("pb"), F.col("first.parity").alias("yb"), F.col("first.parity2").alias("zb")
     )
-    led = crowded.select("code", F.col("id").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"), F.col("parity").alias("ya")).join(leaders, "code")
+    led = crowded.select("code", F.col("id").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"), F.col("parity").alias("ya"), F.col("parity2").alias("za")).join(leaders, "code")
     led = led.filter("a <> b").filter(_FITS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     led, _ = write_stage(_promising(led, prefixes), "leader-pairs")
     asked = pairs.unionByName(led)
@@ -178,8 +179,8 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone, _ = write_stage(_verified(asked, sets), "later-classes")
     if not crowded.isEmpty():
         left = crowded.join(gone, "id", "left_anti")
-        x = left.select("code", F.col("id").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"), F.col("parity").alias("ya"), F.col("at").alias("xa"))
-        y = crowded.select("code", F.col("id").alias("b"), F.col("size").alias("nb"), F.col("place").alias("pb"), F.col("parity").alias("yb"), F.col("at").alias("xb"))
+        x = left.select("code", F.col("id").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"), F.col("parity").alias("ya"), F.col("parity2").alias("za"), F.col("at").alias("xa"))
+        y = crowded.select("code", F.col("id").alias("b"), F.col("size").alias("nb"), F.col("place").alias("pb"), F.col("parity").alias("yb"), F.col("parity2").alias("zb"), F.col("at").alias("xb"))
         rest = x.join(y, "code").filter("a <> b AND xb < xa").filter(_FITS).select("a", "b").distinct()
         rest, _ = write_stage(_promising(rest, prefixes), "rest-pairs")
         sets, _ = write_stage(_sets(docs, rest, places, id_col, text_col), "line-sets")
