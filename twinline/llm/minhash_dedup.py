@@ -27,6 +27,7 @@ from .words import chunks, cut, grams, mix
 SHINGLE = 5
 BANDS, ROWS = 20, 4
 SIGNATURE = BANDS * ROWS
+LEADERS, SMALL = 3, 32
 LOW_RANK = -4  # ranks below 2**LOW_RANK form one strip; above it strips grow fourfold
 _SKETCH = T.StructType([
     T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
@@ -210,9 +211,11 @@ def near_duplicate_classes(
     the text, ``same_id`` the number of rows that are kept under the same id in the class.
 
     Documents with the same shingles are one node from the start, so copies are never paired.
-    In a bucket, nodes are first compared with one leader, then with another; only nodes of a
-    bucket that are still in different components are compared with each other, so no bucket
-    of alike documents is expanded into pairs and no link that joins two classes is lost.
+    In a bucket, nodes are first compared with one leader; while a bucket still holds several
+    components, ``LEADERS`` more rounds compare its nodes with another leader of that bucket,
+    which differs from band to band. Buckets of at most ``SMALL`` nodes that are still mixed are
+    then compared in full. In a larger one, which no round may expand into pairs, two nodes are
+    told apart after they have met up to ``BANDS * LEADERS`` leaders without a common one.
 
     Null, empty and wordless texts are classes of their own and kept. Rows that repeat an id
     and a text are equal members of a class (each is returned). A null id never names a class
@@ -231,20 +234,22 @@ def near_duplicate_classes(
     found = docs.select(F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).join(members, "text_hash")
     texts, _ = write_stage(found.dropDuplicates(["node"]).select("node", "text"), "member-texts")
 
-    size = buckets.select("node", "n").distinct()
     comp = buckets.select("node", F.col("node").alias("comp")).distinct()
     edges, done = None, None
-    for turn in ("low", "high", "rest"):
+    for turn in ("low", *range(LEADERS), "rest"):
         placed = buckets.join(comp, "node")
-        ends = placed.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
-        open_ = placed.join(ends.select("band"), "band")
-        if turn != "rest":
-            pairs = open_.select(F.col("node").alias("a"), F.col(turn).alias("b"), F.col("n").alias("na"))
-            pairs = pairs.filter("a <> b").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        else:
+        ends = placed.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).filter("c0 <> c1")
+        open_ = placed.join(ends.filter(f"m <= {SMALL}").select("band") if turn == "rest" else ends.select("band"), "band")
+        if turn == "rest":
             x = open_.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
             y = open_.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
             pairs = x.join(y, "band").filter("ca < cb")
+        else:
+            # In later turns every bucket draws its own leader, so a node meets as many leaders as it has bands.
+            order = F.col("node") if turn == "low" else F.xxhash64("node", "band", F.lit(turn))
+            lead = open_.groupBy("band").agg(F.min(F.struct(order.alias("o"), "node", "n", "comp")).alias("l"))
+            pairs = open_.join(lead, "band").filter("comp <> l.comp").select(
+                F.col("node").alias("a"), F.col("l.node").alias("b"), F.col("n").alias("na"), F.col("l.n").alias("nb"))
         fits = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
         pairs = pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if done is not None:
