@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.sizing import small_side
-from ..plans.stages import write_stage
+from ..plans.stages import drop_stage, write_stage
 
 SPACE = "[ \\x09-\\x0D]+"
 BUCKETS = 1 << 16  # rarity is counted per hash bucket of words, a table of fixed size
@@ -111,21 +111,6 @@ def _pairs(postings: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _promising(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Pairs whose prefixes alone do not yet rule them out.
-
-    Up to the smaller of both last codes the prefixes hold all words of both sets, so the words
-    found on one side only are certain to differ; sets that reach 4/5 differ in at most a ninth.
-    """
-    a = prefixes.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("prefix").alias("xa"))
-    b = prefixes.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("prefix").alias("xb"))
-    joined = pairs.join(a, "a").join(b, "b").withColumn("last", F.least(F.element_at("xa", -1), F.element_at("xb", -1)))
-    upto = lambda x: F.size(F.filter(x, lambda c: c <= F.col("last")))
-    twins = F.size("xa") - F.size(F.array_distinct("xa")) + F.size("xb") - F.size(F.array_distinct("xb"))  # of one code
-    common = F.size(F.array_intersect("xa", "xb")) + twins
-    return joined.filter(9 * (upto("xa") + upto("xb") - 2 * common) <= F.col("na") + F.col("nb")).select("a", "b")
-
-
 def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text_hash, lines)``: the 0-based numbers of the lines to remove, for documents that have any.
 
@@ -153,27 +138,29 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = cut.withColumn("size", F.size("set")).select(
         "doc_id", "text_hash", "line_no", F.xxhash64("set").alias("key"), "size", _parity("set", 0).alias("parity"), _parity("set", 1).alias("parity2"), kept.alias("prefix")
     )
-    written, _ = write_stage(keyed, "lines")
-    occurrences = written.filter("size > 0")  # only now: a filter above would cut every line twice
-    grouped = occurrences.groupBy("key").agg(
+    written, wide = write_stage(keyed, "lines")
+    written = written.filter("size > 0")  # only now: a filter above would cut every line twice
+    grouped = written.groupBy("key").agg(
         F.min(F.struct("doc_id", "text_hash", "line_no")).alias("at"), F.count("*").alias("n"),
         F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("parity2").alias("parity2"), F.first("prefix").alias("prefix"),
     )
     # Short ids in place of keys: they compress in the shuffles of the join.
     classes, _ = write_stage(grouped.withColumn("id", F.monotonically_increasing_id()), "line-classes")
+    # From here on a line is its key; the copy with prefixes and parities would only take room beside the postings.
+    occurrences, _ = write_stage(written.select("doc_id", "text_hash", "line_no", "key"), "line-keys")
+    drop_stage(docs.sparkSession, wide)
     postings = classes.filter("prefix IS NOT NULL").select("id", "size", "parity", "parity2", F.posexplode_outer("prefix").alias("place", "code"))
     places = classes.select("id", "at")
     crowd = postings.filter(_INDEXED.format(size="size", place="place")).groupBy("code").agg(F.count("*").alias("m"))
     dense = small_side(crowd.filter(f"m > {DENSE}").select("code"), "dense-words")
-    prefixes = classes.filter("prefix IS NOT NULL").select("id", "size", "prefix")
-    pairs, _ = write_stage(_promising(_pairs(postings.join(dense, "code", "left_anti")), prefixes), "line-pairs")
+    pairs, _ = write_stage(_pairs(postings.join(dense, "code", "left_anti")), "line-pairs")
     crowded, _ = write_stage(postings.join(dense, "code").join(places, "id"), "dense-postings")
     leaders = crowded.groupBy("code").agg(F.min(F.struct("at", "id", "size", "place", "parity", "parity2")).alias("first")).select(
         "code", F.col("first.id").alias("b"), F.col("first.size").alias("nb"), F.col("first.place").alias("pb"), F.col("first.parity").alias("yb"), F.col("first.parity2").alias("zb")
     )
     led = crowded.select("code", F.col("id").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"), F.col("parity").alias("ya"), F.col("parity2").alias("za")).join(leaders, "code")
     led = led.filter("a <> b").filter(_FITS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    led, _ = write_stage(_promising(led, prefixes), "leader-pairs")
+    led, _ = write_stage(led, "leader-pairs")
     asked = pairs.unionByName(led)
     sets, _ = write_stage(_sets(docs, asked, places, id_col, text_col), "line-sets")
     gone, _ = write_stage(_verified(asked, sets), "later-classes")
@@ -182,7 +169,7 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         x = left.select("code", F.col("id").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"), F.col("parity").alias("ya"), F.col("parity2").alias("za"), F.col("at").alias("xa"))
         y = crowded.select("code", F.col("id").alias("b"), F.col("size").alias("nb"), F.col("place").alias("pb"), F.col("parity").alias("yb"), F.col("parity2").alias("zb"), F.col("at").alias("xb"))
         rest = x.join(y, "code").filter("a <> b AND xb < xa").filter(_FITS).select("a", "b").distinct()
-        rest, _ = write_stage(_promising(rest, prefixes), "rest-pairs")
+        rest, _ = write_stage(rest, "rest-pairs")
         sets, _ = write_stage(_sets(docs, rest, places, id_col, text_col), "line-sets")
         gone = gone.unionByName(_verified(rest, sets)).distinct()
     marked = classes.select("id", "key", "at", "n").join(gone.withColumn("_gone", F.lit(True)), "id", "left")
