@@ -154,6 +154,14 @@ def c3(spark, sf):
     return bleu.align_hyp_ref(views.hyps(spark, sf), views.refs(spark, sf))
 
 
+@check(
+    "c3_missing_hypotheses",
+    with_views("pairs", "hyp_ref") + "SELECT sent_id, CASE WHEN sent_id%11=0 THEN '' ELSE hyp END AS hyp, ref FROM hyp_ref",
+)
+def c3_missing(spark, sf):
+    return bleu.align_hyp_ref(views.hyps(spark, sf).filter("sent_id % 11 <> 0"), views.refs(spark, sf))
+
+
 @check("d14_bleu_ngram_stats", with_views("pairs", "hyp_ref", more=_ALL_SCORED) + "SELECT n, correct, total, ref_total FROM stats")
 def d14(spark, sf):
     return bleu.bleu_ngram_stats(bleu.align_hyp_ref(views.hyps(spark, sf), views.refs(spark, sf)))
@@ -344,9 +352,10 @@ def _unrolled_beam() -> dict[str, str]:
     return more
 
 
-def _search(spark: SparkSession, sf: str) -> DataFrame:
+def _search(spark: SparkSession, sf: str, more: DataFrame | None = None) -> DataFrame:
+    starts = views.starts(spark, sf)
     found = search.beam_search(
-        views.starts(spark, sf), views.transitions(spark, sf), WIDTH, MAX_LEN, ALPHA
+        starts if more is None else starts.unionByName(more), views.transitions(spark, sf), WIDTH, MAX_LEN, ALPHA
     )
     return found.select(
         "sent_id", "rank", joined("ids").alias("ids"), six("score").alias("score"), six("lp_score").alias("lp_score")
@@ -366,6 +375,16 @@ def f8(spark, sf):
     return _search(spark, sf)
 
 
+@check(
+    "f6_beam_search_dead_ends",
+    _BEAM + "SELECT * FROM beam_out UNION ALL SELECT -sent_id-1, 1, '1', 0.0, 0.0 FROM starts",
+)
+def f6_dead_ends(spark, sf):
+    # The unknown token has no candidates: such a sentence stops at once and stays.
+    stuck = views.starts(spark, sf).select((-F.col("sent_id") - 1).alias("sent_id"), F.array(F.lit(2), F.lit(1)).alias("ids"))
+    return _search(spark, sf, stuck)
+
+
 def _unrolled_greedy() -> dict[str, str]:
     more = {
         "m_top": "SELECT prev_id, next_id, logp FROM (SELECT *, row_number() OVER (PARTITION BY prev_id ORDER BY logp DESC, next_id) AS tr FROM transitions) WHERE tr=1",

@@ -53,6 +53,9 @@ def sql_join(ids: str) -> str:
     return f"array_to_string({ids}, ' ')"
 
 
+#: Line pairs of a document are numbered below this.
+DOC_LINES = 1_000_000
+
 CTES = {
     "pairs": """
         SELECT u.conv_id*1000+u.turn AS pair_id,
@@ -61,9 +64,10 @@ CTES = {
         FROM conversations u JOIN conversations a ON a.conv_id=u.conv_id AND a.turn=u.turn+1
         WHERE u.role='user' AND a.role='assistant'""",
     "extra": f"""
-        SELECT doc_id AS pair_id, 'train' AS split,
-               {sql_strip("split_part(text,chr(10),1)")} AS src, {sql_strip("split_part(text,chr(10),2)")} AS tgt
-        FROM documents""",
+        SELECT doc_id*{DOC_LINES}+k AS pair_id, 'train' AS split,
+               {sql_strip("l[2*k+1]")} AS src, {sql_strip("coalesce(l[2*k+2],'')")} AS tgt
+        FROM (SELECT doc_id, l, unnest(range((len(l)+1)//2)) AS k
+              FROM (SELECT doc_id, string_split(text,chr(10)) AS l FROM documents))""",
     "kept_extra": "SELECT * FROM extra WHERE length(src)>0 AND length(tgt)>0",
     "merged": "SELECT *, 'base' AS origin FROM pairs UNION ALL SELECT *, 'extra' AS origin FROM kept_extra",
     "lines": r"""
@@ -180,6 +184,16 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def line_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """``(pair_id, en, de)``: lines 2k and 2k+1 of every document, the last ``de`` empty if there is none."""
+    cut = table(spark, sf, "documents").select("doc_id", F.split("text", "\n", -1).alias("l"))
+    ks = F.sequence(F.lit(0), F.ceil(F.size("l") / 2).cast("int") - 1)
+    pairs = F.transform(ks, lambda k: F.struct(
+        k.alias("k"), F.get("l", 2 * k).alias("en"), F.coalesce(F.get("l", 2 * k + 1), F.lit("")).alias("de")
+    ))
+    return cut.select("doc_id", F.inline(pairs)).select((F.col("doc_id") * DOC_LINES + F.col("k")).alias("pair_id"), "en", "de")
+
+
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select(
         "doc_id", F.posexplode(split_physical_lines(F.col("text"))).alias("at", "line")

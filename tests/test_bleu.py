@@ -83,11 +83,15 @@ def test_random_corpora_match_brute_force(spark, seed):
 
 def test_alignment_and_caps(spark):
     hyps = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "sent_id int, hyp string")
-    refs = spark.createDataFrame([(2, "B"), (1, "A")], "sent_id int, ref string")
-    got = {(r.sent_id, r.hyp, r.ref) for r in bleu.align_hyp_ref(hyps, refs).collect()}
-    assert got == {(1, "a", "A"), (2, "b", "B")}
+    refs = spark.createDataFrame([(2, "B"), (1, "A"), (4, "D")], "sent_id int, ref string")
+    known = hyps.filter("sent_id < 3")
+    got = {(r.sent_id, r.hyp, r.ref) for r in bleu.align_hyp_ref(known, refs).collect()}
+    assert got == {(1, "a", "A"), (2, "b", "B"), (4, "", "D")}
+    for bad_hyps, bad_refs in ((hyps, refs), (known.union(known), refs), (known, refs.union(refs))):
+        with pytest.raises(Exception, match="expected for sentence"):
+            bleu.align_hyp_ref(bad_hyps, bad_refs).collect()
     assert [r.sent_id for r in bleu.missing_references(hyps, refs).collect()] == [3]
     good, bad = ("a b c d e", "a b c d e"), ("q", "z z z z z")
     df = spark.createDataFrame([(0, *good, 0), (1, *bad, 1)], "sent_id int, hyp string, ref string, batch_id int")
     assert bleu.corpus_bleu_capped(df, 1).first().bleu == pytest.approx(100)
-    assert bleu.corpus_bleu_capped(df, None).first().bleu < 100
+    assert bleu.corpus_bleu_capped(df).first().bleu < 100

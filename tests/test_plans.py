@@ -70,12 +70,14 @@ def test_spread_leaves_wide_scans_alone(spark):
     assert sizing.spread(wide) is wide
 
 
-def test_large_caps_do_not_gather_rows(spark, monkeypatch):
+def test_caps_filter_by_the_last_key(spark):
     rows = [(i * 37 % 101, "train", "s", "t") for i in range(101)]
     df = spark.createDataFrame(rows, "pair_id int, split string, src string, tgt string")
-    small = sorted(r.pair_id for r in P.cap_pairs(df, 40).collect())
-    monkeypatch.setattr(P, "TOP_N_LIMIT", 10)
-    assert sorted(r.pair_id for r in P.cap_pairs(df, 40).collect()) == small == list(range(40))
+    capped = P.cap_pairs(df, 40)
+    assert sorted(r.pair_id for r in capped.collect()) == list(range(40))
+    plan = capped._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    assert P.cap_pairs(df, 500).count() == 101
     assert P.cap_pairs(df, None) is df and P.cap_pairs(df, 0) is df
 
 

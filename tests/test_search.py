@@ -22,27 +22,20 @@ def _table(seed: int, size: int = 7, eos: float = 0.5, dead_ends: bool = False):
     return table
 
 
-def _brute_beam(table, start, k, max_len, alpha, min_len):
-    active, done = [(0.0, list(start))], []
-    for step in range(max_len):
-        if not active:
-            break
-        pool = []
-        for score, ids in active:
-            options = [(lp, t) for t, lp in table.get(ids[-1], {}).items() if not (step < min_len and t == EOS)]
-            for lp, token in sorted(options, key=lambda o: (-o[0], o[1]))[:k]:
-                (done if token == EOS else pool).append((score + lp, ids + [token]))
-        pool.sort(key=lambda h: -h[0])
-        active = pool[:k]
-        if len(done) >= k:
-            break
-    done += active
-    ranked = sorted(((s / ((5 + len(i)) / 6) ** alpha, s, i) for s, i in done), key=lambda h: -h[0])[:k]
-    out = []
-    for lp, score, ids in ranked:
-        ids = ids[1:]
-        out.append((ids[: ids.index(EOS)] if EOS in ids else ids, round(score, 9), round(lp, 9)))
-    return out
+def _all_paths(table, ids, score, steps, step, min_len):
+    """Every path that ends by EOS, for want of a candidate, or because no step is left."""
+    options = {t: lp for t, lp in table.get(ids[-1], {}).items() if t != EOS or step >= min_len}
+    if steps == step or not options:
+        return [(ids, score)]
+    found = []
+    for token, lp in options.items():
+        longer = (ids + [token], score + lp)
+        found += [longer] if token == EOS else _all_paths(table, *longer, steps, step + 1, min_len)
+    return found
+
+
+def _penalised(ids, score, alpha):
+    return score / ((5 + len(ids)) / 6) ** alpha
 
 
 def _frames(spark, table, starts):
@@ -53,18 +46,48 @@ def _frames(spark, table, starts):
     )
 
 
-@pytest.mark.parametrize(
-    ("seed", "k", "max_len", "alpha", "min_len", "dead_ends"),
-    [(1, 3, 6, 0.6, 1, False), (2, 1, 9, 0.0, 0, False), (3, 5, 10, 1.0, 3, False), (4, 4, 5, 0.6, 2, True), (5, 2, 17, 0.6, 1, False)],
-)
-def test_beam_matches_brute_force(spark, seed, k, max_len, alpha, min_len, dead_ends):
-    table = _table(seed, eos=0.2, dead_ends=dead_ends)
-    starts = [[SOS]] + [[SOS, t] for t in range(4, 11)]
-    start_df, transitions = _frames(spark, table, starts)
-    rows = search.beam_search(start_df, transitions, k, max_len, alpha, min_len).orderBy("sent_id", "rank").collect()
+@pytest.mark.parametrize(("seed", "max_len", "alpha", "min_len"), [(1, 4, 0.6, 1), (2, 3, 0.0, 0), (4, 4, 1.0, 2)])
+def test_a_beam_wider_than_the_space_finds_every_path(spark, seed, max_len, alpha, min_len):
+    table = _table(seed, size=3, dead_ends=True)
+    table[4] = {}
+    starts = [[SOS], [SOS, 4], [SOS, 5], [SOS, 99]]
+    rows = search.beam_search(*_frames(spark, table, starts), 400, max_len, alpha, min_len).orderBy("sent_id", "rank").collect()
     for i, start in enumerate(starts):
-        got = [(r.ids, round(r.score, 9), round(r.lp_score, 9)) for r in rows if r.sent_id == i]
-        assert got == _brute_beam(table, start, k, max_len, alpha, min_len), i
+        mine = [r for r in rows if r.sent_id == i]
+        paths = _all_paths(table, start, 0.0, max_len, 0, min_len)
+        expected = sorted((round(_penalised(p, s, alpha), 9), round(s, 9), [t for t in p[1:] if t != EOS]) for p, s in paths)
+        assert sorted((round(r.lp_score, 9), round(r.score, 9), r.ids) for r in mine) == expected
+        assert [r.rank for r in mine] == list(range(1, len(mine) + 1))
+        assert [r.lp_score for r in mine] == sorted((r.lp_score for r in mine), reverse=True)
+
+
+@pytest.mark.parametrize(("seed", "k", "max_len"), [(3, 3, 6), (5, 2, 17)])
+def test_a_narrow_beam_returns_true_paths_of_every_sentence(spark, seed, k, max_len):
+    table = _table(seed, eos=0.2, dead_ends=True)
+    starts = [[SOS], *[[SOS, t] for t in range(4, 11)], [SOS, 77]]
+    rows = search.beam_search(*_frames(spark, table, starts), k, max_len).collect()
+    assert {r.sent_id for r in rows} == set(range(len(starts)))
+    for r in rows:
+        path = [SOS, *r.ids]
+        steps = sum(table[x][y] for x, y in zip(path[len(starts[r.sent_id]) - 1:], path[len(starts[r.sent_id]):]))
+        ends = [steps, steps + table.get(path[-1], {}).get(EOS, 0.0)]
+        assert r.rank <= k and any(r.score == pytest.approx(e) for e in ends)
+
+
+def test_pruning_stopping_and_banned_eos_by_hand(spark):
+    table = {
+        SOS: {4: -1.0, 5: -1.0, 6: -3.0, EOS: -0.1},
+        4: {EOS: -1.0, 7: -2.0}, 5: {7: -0.5}, 6: {EOS: -0.01}, 7: {EOS: -0.2, 7: -9.0},
+    }
+    run = lambda k, steps: [
+        (r.ids, round(r.score, 6))
+        for r in search.beam_search(*_frames(spark, table, [[SOS]]), k, steps, alpha=0.0).orderBy("rank").collect()
+    ]
+    # EOS is banned at first; 6 falls out of a beam of two although its end would be cheap.
+    assert run(2, 1) == [([4], -1.0), ([5], -1.0)]
+    # Step two ends 4 and keeps 5 7 and 4 7; step three ends both: two finished stop the search.
+    assert run(2, 2) == [([5, 7], -1.5), ([4], -2.0)]
+    assert run(2, 3) == [([5, 7], -1.7), ([4], -2.0)]
 
 
 @pytest.mark.parametrize("max_len", [1, 2, 7, 20])

@@ -10,8 +10,23 @@ MAX_ORDER = 4
 
 
 def align_hyp_ref(hyps: DataFrame, refs: DataFrame) -> DataFrame:
-    """``(sent_id, hyp, ref)`` for the sentences that have both."""
-    return hyps.join(refs, "sent_id")
+    """``(sent_id, hyp, ref)`` for every reference; a missing or null hypothesis is empty.
+
+    A hypothesis without a reference and a ``sent_id`` that occurs twice on one side raise
+    an error when the result is computed. One partial aggregate on ``sent_id`` does both,
+    so a later grouping by sentence finds its rows in place.
+    """
+    sides = hyps.select("sent_id", F.coalesce("hyp", F.lit("")).alias("hyp"), F.lit(None).cast("string").alias("ref")).unionByName(
+        refs.select("sent_id", F.lit(None).cast("string").alias("hyp"), F.coalesce("ref", F.lit("")).alias("ref"))
+    )
+    both = sides.groupBy("sent_id").agg(
+        F.max("hyp").alias("hyp"), F.max("ref").alias("ref"), F.count("hyp").alias("n_hyp"), F.count("ref").alias("n_ref")
+    )
+    fault = F.concat(F.lit("one reference and at most one hypothesis expected for sentence "), F.coalesce(F.col("sent_id").cast("string"), F.lit("null")))
+    sound = (F.col("n_ref") == 1) & (F.col("n_hyp") <= 1)
+    return both.select(
+        "sent_id", F.coalesce("hyp", F.lit("")).alias("hyp"), F.when(sound, F.col("ref")).otherwise(F.raise_error(fault)).alias("ref")
+    )
 
 
 def missing_references(hyps: DataFrame, refs: DataFrame) -> DataFrame:
@@ -100,10 +115,11 @@ def corpus_bleu(aligned: DataFrame) -> DataFrame:
     )
 
 
-def first_batches(aligned: DataFrame, max_batches: int | None = 20) -> DataFrame:
+def first_batches(aligned: DataFrame, max_batches: int | None = None) -> DataFrame:
     """Keep the first batches (``batch_id`` from 0); ``None`` keeps all."""
     return aligned if max_batches is None else aligned.filter(F.col("batch_id") < max_batches)
 
 
-def corpus_bleu_capped(aligned: DataFrame, max_batches: int | None = 20) -> DataFrame:
+def corpus_bleu_capped(aligned: DataFrame, max_batches: int | None = None) -> DataFrame:
+    """BLEU over the first batches only when a number of them is asked for."""
     return corpus_bleu(first_batches(aligned, max_batches))

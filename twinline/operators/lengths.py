@@ -21,8 +21,8 @@ def token_length_stats(lengths: DataFrame, length: str = "n_tokens") -> DataFram
     )
 
 
-def first_lines(lines: DataFrame, order_by: list[str], n: int = 10_000) -> DataFrame:
-    """The sample that the length report is drawn from: the first ``n`` lines."""
+def first_lines(lines: DataFrame, order_by: list[str], n: int) -> DataFrame:
+    """A sample for a length report: the first ``n`` lines."""
     return lines.orderBy(*order_by).limit(n)
 
 

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import strip_text
 from ..plans.row_index import with_row_index
 
-TOP_N_LIMIT = 1_000
-
 
 def strip_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"src": strip_text(F.col("src")), "tgt": strip_text(F.col("tgt"))})
@@ -24,14 +22,17 @@ def drop_empty_pairs(pairs: DataFrame) -> DataFrame:
 def cap_pairs(pairs: DataFrame, n: int | None) -> DataFrame:
     """The first ``n`` pairs by ``pair_id``; ``None`` or 0 keeps all.
 
-    A small cap is a top-n. A large one would send up to ``n`` rows of every scan task
-    to one task, so it numbers the rows in place instead.
+    Only the key column is numbered; the id of the last pair to keep then filters the
+    corpus, which is neither sorted nor written. ``pair_id`` has to be unique: pairs that
+    share the last id all stay. A null id comes first.
     """
     if not n:
         return pairs
-    if n <= TOP_N_LIMIT:
-        return pairs.orderBy("pair_id").limit(n)
-    return with_row_index(pairs, ["pair_id"], out="_cap_idx").filter(F.col("_cap_idx") < n).drop("_cap_idx")
+    last = with_row_index(pairs.select("pair_id"), ["pair_id"], out="_cap_idx").filter(F.col("_cap_idx") == n - 1).first()
+    if last is None:
+        return pairs
+    missing = F.col("pair_id").isNull()
+    return pairs.filter(missing if last.pair_id is None else missing | (F.col("pair_id") <= last.pair_id))
 
 
 def merge_train_extra(base: DataFrame, extra: DataFrame) -> DataFrame:

@@ -116,7 +116,9 @@ def beam_search(
     """Ranked hypotheses as ``(sent_id, rank, ids, score, lp_score)``, SOS and EOS removed.
 
     A finished hypothesis takes no slot of the beam. A sentence stops once ``beam_width``
-    hypotheses are finished; those still live are then kept as they are and may win.
+    hypotheses are finished; those still live are then kept as they are and may win. A
+    hypothesis without a candidate stops and stays as it is, unfinished: every sentence of
+    ``starts`` has a result.
     """
     # One spare candidate per state is enough to fill the beam when EOS is banned. The
     # small table is written once, as every step joins with it.
@@ -130,27 +132,29 @@ def beam_search(
         table = early if step < min_len else anywhere
         grown = state.join(
             table, F.when(F.col("live"), F.element_at("ids", -1)) == F.col("prev_id"), "left"
-        ).filter(~F.col("live") | F.col("next_id").isNotNull())
-        was_live = F.col("live")
+        )
+        moved = F.col("live") & F.col("next_id").isNotNull()
         rows = grown.select(
             "sent_id",
-            (was_live & (F.col("next_id") != EOS)).alias("live"),
-            F.when(was_live, F.lit(step)).otherwise(F.col("ended")).alias("ended"),
-            F.when(was_live, F.col("place") * beam_width + F.col("token_rank"))
+            (moved & (F.col("next_id") != EOS)).alias("live"),
+            (F.col("finished") | (moved & (F.col("next_id") == EOS))).alias("finished"),
+            F.when(F.col("live"), F.lit(step)).otherwise(F.col("ended")).alias("ended"),
+            F.when(moved, F.col("place") * beam_width + F.col("token_rank"))
             .otherwise(F.col("place")).cast("long").alias("place"),
-            F.when(was_live, F.col("score") + F.col("logp")).otherwise(F.col("score")).alias("score"),
-            F.when(was_live, F.concat("ids", F.array("next_id"))).otherwise(F.col("ids")).alias("ids"),
+            F.when(moved, F.col("score") + F.col("logp")).otherwise(F.col("score")).alias("score"),
+            F.when(moved, F.concat("ids", F.array("next_id"))).otherwise(F.col("ids")).alias("ids"),
         )
         ranked = rows.withColumns(
             {
                 "_rank": F.row_number().over(by_score),
-                "_done": F.count(F.when(~F.col("live"), 1)).over(sentence),
+                "_done": F.count(F.when(F.col("finished"), 1)).over(sentence),
             }
         ).filter(~F.col("live") | (F.col("_rank") <= beam_width))
         stop = F.col("live") & (F.col("_done") >= beam_width)
         return ranked.select(
             "sent_id",
             (F.col("live") & ~stop).alias("live"),
+            "finished",
             F.when(stop, F.lit(max_len)).otherwise(F.col("ended")).alias("ended"),
             F.when(F.col("live"), F.col("_rank").cast("long")).otherwise(F.col("place")).alias("place"),
             "score",
@@ -160,6 +164,7 @@ def beam_search(
     start = starts.select(
         "sent_id",
         F.lit(True).alias("live"),
+        F.lit(False).alias("finished"),
         F.lit(0).alias("ended"),
         F.lit(0).cast("long").alias("place"),
         F.lit(0.0).alias("score"),
