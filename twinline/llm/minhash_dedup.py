@@ -27,10 +27,12 @@ from .words import chunks, cut, grams, mix
 SHINGLE = 5
 BANDS, ROWS = 20, 4
 SIGNATURE = BANDS * ROWS
-LEADERS, SMALL = 3, 32
+LEADERS = 2
+PARITIES = 16  # 64-bit words of parity bits a document
 LOW_RANK = -4  # ranks below 2**LOW_RANK form one strip; above it strips grow fourfold
 _SKETCH = T.StructType([
     T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
+    *[T.StructField(f"p{i}", T.LongType()) for i in range(PARITIES)],
 ])
 _TINY = 2.0**-53
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -147,13 +149,27 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
+def parities(owner: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n_texts: int) -> np.ndarray:
+    """Bits that tell whether an odd number of a text's shingles hash to them.
+
+    Two texts differ in no more bits than in shingles, so the bits rule pairs out without error.
+    """
+    out = np.zeros(n_texts * PARITIES, np.uint64)
+    odd = counts % 2 == 1
+    bit = mix(hashes[odd] + np.uint64(0xE7037ED1A0B428DB)) % np.uint64(64 * PARITIES)
+    np.bitwise_xor.at(out, owner[odd] * PARITIES + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.reshape(n_texts, PARITIES).view(np.int64)
+
+
 def sketch(texts: list[str | None]) -> pd.DataFrame:
-    """Identity of the shingle multiset, its size and the band keys; null identity without words."""
+    """Identity of the shingle multiset, its size, band keys and parities; null identity without words."""
     ident, total, bands = [None] * len(texts), np.zeros(len(texts), np.int64), [None] * len(texts)
+    bits = np.zeros((len(texts), PARITIES), np.int64)
     for first, chunk in chunks(texts):
         owner, hashes, counts = shingles(chunk)
         keys = band_keys(signatures(owner, hashes, counts, len(chunk))).view(np.int64)
         n = np.bincount(owner, weights=counts, minlength=len(chunk)).astype(np.int64)
+        bits[first : first + len(chunk)] = parities(owner, hashes, counts, len(chunk))
         start = np.searchsorted(owner, np.arange(len(chunk) + 1))
         for i in np.flatnonzero(n):
             s = slice(start[i], start[i + 1])
@@ -161,7 +177,7 @@ def sketch(texts: list[str | None]) -> pd.DataFrame:
             ident[first + i] = hashlib.blake2b(raw, digest_size=16).digest()
             total[first + i] = n[i]
             bands[first + i] = keys[i]
-    return pd.DataFrame({"node": ident, "n": total, "bands": bands})
+    return pd.DataFrame({"node": ident, "n": total, "bands": bands} | {f"p{i}": bits[:, i] for i in range(PARITIES)})
 
 
 def similarities(left: list[str], right: list[str]) -> np.ndarray:
@@ -213,21 +229,23 @@ def near_duplicate_classes(
     Documents with the same shingles are one node from the start, so copies are never paired.
     In a bucket, nodes are first compared with one leader; while a bucket still holds several
     components, ``LEADERS`` more rounds compare its nodes with another leader of that bucket,
-    which differs from band to band. Buckets of at most ``SMALL`` nodes that are still mixed are
-    then compared in full. In a larger one, which no round may expand into pairs, two nodes are
-    told apart after they have met up to ``BANDS * LEADERS`` leaders without a common one.
+    which differs from band to band. In buckets that are still mixed, every node outside the
+    bucket's largest component then meets all nodes of other components, so no pair of a bucket
+    is left out, while nodes that are already joined never meet. Sizes and parity bits rule most
+    pairs out inside these joins; what passes is verified.
 
     Null, empty and wordless texts are classes of their own and kept. Rows that repeat an id
     and a text are equal members of a class (each is returned). A null id never names a class
     that has another id. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("_t"))
-    drawn = rows.withColumn("_s", _sketch("_t")).select("doc_id", "text_hash", "_s.node", "_s.n", "_s.bands")
+    bits = [f"p{i}" for i in range(PARITIES)]
+    drawn = rows.withColumn("_s", _sketch("_t")).select("doc_id", "text_hash", "_s.*")
     sketches, _ = write_stage(drawn, "sketches")
     alike = sketches.filter("node IS NOT NULL").groupBy("node").agg(
-        F.first("n").alias("n"), F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands")
+        F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in ("n", *bits)]
     )
-    banded = alike.select("node", "n", "text_hash", F.explode("bands").alias("band"))
+    banded = alike.select("node", "n", "text_hash", *bits, F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     buckets, _ = write_stage(banded.join(shared, "band"), "buckets")
     members = small_side(buckets.select("node", "text_hash").distinct(), "members")
@@ -237,21 +255,24 @@ def near_duplicate_classes(
     comp = buckets.select("node", F.col("node").alias("comp")).distinct()
     edges, done = None, None
     for turn in ("low", *range(LEADERS), "rest"):
-        placed = buckets.join(comp, "node")
-        ends = placed.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).filter("c0 <> c1")
-        open_ = placed.join(ends.filter(f"m <= {SMALL}").select("band") if turn == "rest" else ends.select("band"), "band")
+        placed = buckets.drop("text_hash").join(comp, "node")
+        parts = placed.groupBy("band", "comp").agg(F.count("*").alias("m"))
+        mixed = parts.groupBy("band").agg(F.max(F.struct("m", "comp")).alias("main"), F.count("*").alias("k")).filter("k > 1")
+        open_ = placed.join(mixed.select("band", F.col("main.comp").alias("main")), "band")
+        y = open_.select("band", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", *bits)])
         if turn == "rest":
-            x = open_.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            y = open_.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = x.join(y, "band").filter("ca < cb")
+            x = open_.filter("comp <> main")
         else:
             # In later turns every bucket draws its own leader, so a node meets as many leaders as it has bands.
             order = F.col("node") if turn == "low" else F.xxhash64("node", "band", F.lit(turn))
-            lead = open_.groupBy("band").agg(F.min(F.struct(order.alias("o"), "node", "n", "comp")).alias("l"))
-            pairs = open_.join(lead, "band").filter("comp <> l.comp").select(
-                F.col("node").alias("a"), F.col("l.node").alias("b"), F.col("n").alias("na"), F.col("l.n").alias("nb"))
-        fits = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
-        pairs = pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            lead = open_.groupBy("band").agg(F.min(F.struct(order.alias("o"), "node", "comp", "n", *bits)).alias("l"))
+            x = lead.select("band", "l.*")
+        differ = " + ".join(f"bit_count({c} ^ {c}_b)" for c in bits)
+        fits = (F.least("n", "n_b") >= threshold * F.greatest("n", "n_b")) & (
+            (1 + threshold) * F.expr(differ) <= (1 - threshold) * (F.col("n") + F.col("n_b")) + 1e-6
+        )
+        pairs = x.join(y, "band").filter("comp <> comp_b").filter(fits)
+        pairs = pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs, _ = write_stage(pairs, "candidates")
@@ -267,7 +288,7 @@ def near_duplicate_classes(
             buckets.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")),
             "components",
         )
-    placed = sketches.drop("bands").join(comp.filter("comp <> node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = sketches.drop("bands", *bits).join(comp.filter("comp <> node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = placed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("class_id"))
     classed = placed.join(least, "comp", "left")
     lone = F.col("node").isNull()
