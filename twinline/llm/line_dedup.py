@@ -149,12 +149,12 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # From here on a line is its key; the copy with prefixes and parities would only take room beside the postings.
     occurrences, _ = write_stage(written.select("doc_id", "text_hash", "line_no", "key"), "line-keys")
     drop_stage(docs.sparkSession, wide)
-    postings = classes.filter("prefix IS NOT NULL").select("id", "size", "parity", "parity2", F.posexplode_outer("prefix").alias("place", "code"))
+    postings = classes.filter("prefix IS NOT NULL").select("id", "at", "size", "parity", "parity2", F.posexplode_outer("prefix").alias("place", "code"))
     places = classes.select("id", "at")
     crowd = postings.filter(_INDEXED.format(size="size", place="place")).groupBy("code").agg(F.count("*").alias("m"))
     dense = small_side(crowd.filter(f"m > {DENSE}").select("code"), "dense-words")
     pairs, _ = write_stage(_pairs(postings.join(dense, "code", "left_anti")), "line-pairs")
-    crowded, _ = write_stage(postings.join(dense, "code").join(places, "id"), "dense-postings")
+    crowded, _ = write_stage(postings.join(dense, "code"), "dense-postings")
     leaders = crowded.groupBy("code").agg(F.min(F.struct("at", "id", "size", "place", "parity", "parity2")).alias("first")).select(
         "code", F.col("first.id").alias("b"), F.col("first.size").alias("nb"), F.col("first.place").alias("pb"), F.col("first.parity").alias("yb"), F.col("first.parity2").alias("zb")
     )
