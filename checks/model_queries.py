@@ -449,8 +449,8 @@ def e6(spark, sf):
          FROM r WHERE (batch_idx+1)%50=0""",
 )
 def e7(spark, sf):
-    # A small chunk, so that sums are carried from chunk to chunk in every epoch.
-    log = R.running_loss_log(views.batch_log(spark, sf), 50, chunk=128)
+    # Several parts, so that sums are carried from part to part even in a small log.
+    log = R.running_loss_log(views.batch_log(spark, sf), 50, parts=16)
     return log.select("epoch", "batch_no", *[six(c).alias(c) for c in ("mean_loss", "ppl", "tok_per_s")])
 
 
@@ -465,7 +465,7 @@ _EPOCHS = ("batch_log", "epoch_loss", "epoch_log")
          WHERE bleu > greatest(coalesce(p,0),0)""",
 )
 def e8(spark, sf):
-    return R.best_checkpoints(views.epoch_log(spark, sf), chunk=6)
+    return R.best_checkpoints(views.epoch_log(spark, sf), parts=3)
 
 
 @check(
@@ -563,7 +563,7 @@ def h6_epochs(spark, sf):
                 ELSE ay+(b_y-ay)/(bx-ax)*(x-ax) END,6) AS y FROM ends""",
 )
 def c5(spark, sf):
-    filled = R.interpolate(views.known(spark, sf), views.grid(spark, sf), ["series"], chunk=90)
+    filled = R.interpolate(views.known(spark, sf), views.grid(spark, sf), ["series"], parts=16)
     return filled.select("series", "x", six("y").alias("y"))
 
 

@@ -34,14 +34,14 @@ def test_row_index_with_a_hot_group(spark, partitions):
     assert sorted((r.i, (r.g, r.a, r.b)) for r in everything) == list(enumerate(sorted(rows)))
 
 
-@pytest.mark.parametrize("chunk", [1, 3, 1000])
+@pytest.mark.parametrize("parts", [None, 3, 12])
 @pytest.mark.parametrize("inclusive", [True, False])
-def test_running_does_not_depend_on_the_chunk(spark, chunk, inclusive):
+def test_running_does_not_depend_on_the_parts(spark, parts, inclusive):
     rng = random.Random(2)
     rows = [(g, i, rng.randint(-5, 9)) for g in "xy" for i in range(20) if rng.random() < 0.8]
     df = spark.createDataFrame(rows, "g string, i int, v int")
     out = with_running(
-        df, ["g"], "i", {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}, inclusive=inclusive, chunk=chunk
+        df, ["g"], "i", {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}, inclusive=inclusive, parts=parts
     )
     for r in out.collect():
         seen = [v for g, i, v in rows if g == r.g and (i <= r.i if inclusive else i < r.i)]
@@ -53,7 +53,7 @@ def test_null_groups_are_kept(spark):
     df = spark.createDataFrame(rows, "g string, i int, v int")
     numbered = row_index.with_row_index(df, ["i"], within=["g"], out="at").collect()
     assert sorted((r.g or "", r.at) for r in numbered) == [(g, i) for g in ("", "x") for i in range(5)]
-    summed = with_running(df, ["g"], "i", {"s": ("sum", F.col("v"))}, chunk=2).collect()
+    summed = with_running(df, ["g"], "i", {"s": ("sum", F.col("v"))}, parts=4).collect()
     assert sorted((r.g or "", r.s) for r in summed) == [(g, i + 1) for g in ("", "x") for i in range(5)]
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinline.operators import lengths, runlog as R
+from twinline.plans.running import in_cells
 
 
 def _log(spark, n=765, epochs=(1,)):
@@ -29,9 +30,9 @@ def test_weighted_loss_without_tokens(spark):
     assert got[2][0] == pytest.approx(15.0) and got[2][1] == pytest.approx(np.exp(15.0))
 
 
-@pytest.mark.parametrize("chunk", [7, 65_536])
-def test_running_log(spark, chunk):
-    rows = R.running_loss_log(_log(spark, 120, (1, 2)), 50, chunk=chunk).orderBy("epoch", "batch_no").collect()
+@pytest.mark.parametrize("parts", [None, 5])
+def test_running_log(spark, parts):
+    rows = R.running_loss_log(_log(spark, 120, (1, 2)), 50, parts=parts).orderBy("epoch", "batch_no").collect()
     assert [(r.epoch, r.batch_no) for r in rows] == [(1, 50), (1, 100), (2, 50), (2, 100)]
     w = np.array([i % 7 for i in range(100)])
     loss = np.array([2.0 + (i % 5) / 10 for i in range(100)])
@@ -39,11 +40,11 @@ def test_running_log(spark, chunk):
     assert rows[1].tok_per_s == pytest.approx(w.sum() / 50.0)
 
 
-@pytest.mark.parametrize("chunk", [2, 65_536])
-def test_best_checkpoints(spark, chunk):
+@pytest.mark.parametrize("parts", [None, 3])
+def test_best_checkpoints(spark, parts):
     scores = [0.0, 3.0, 3.0, 2.0, 5.0, 4.0, 5.1]
     df = spark.createDataFrame([(i + 1, 0.0, 0.0, b) for i, b in enumerate(scores)], "epoch int, train_loss double, val_loss double, bleu double")
-    best = lambda **kw: sorted(r.epoch for r in R.best_checkpoints(df, chunk=chunk, **kw).collect())
+    best = lambda **kw: sorted(r.epoch for r in R.best_checkpoints(df, parts=parts, **kw).collect())
     assert best() == [2, 5, 7]
     assert best(initial_best=3.0, start_epoch=3) == [5, 7]
     assert best(initial_best=9.0) == []
@@ -62,16 +63,19 @@ def test_throughput_skips_blank_items(spark):
     assert sorted(r.item_no for r in R.decode_throughput(df.drop("blank")).collect()) == [100, 200, 250]
 
 
-@pytest.mark.parametrize("chunk", [4.0, 65_536])
-def test_interpolation_is_numpy_interp(spark, chunk):
+@pytest.mark.parametrize("parts", [None, 6])
+@pytest.mark.parametrize("unit", [1.0, 1 / 64, float(2**20)])
+def test_interpolation_is_numpy_interp(spark, parts, unit):
     curves = {"loss": ([2, 3, 7, 11, 20, 21, 33, 48], [6.5, 6.1, 4.4, 3.9, 3.95, 2.2, 2.0, 2.4]), "bleu": ([3, 40], [1.5, 29.0]), "one": ([9], [1.5])}
-    known = spark.createDataFrame([(n, float(x), y) for n, (xs, ys) in curves.items() for x, y in zip(xs, ys)], "name string, x double, y double")
-    grid = spark.createDataFrame([(n, float(x)) for n in curves for x in range(0, 51)], "name string, x double")
-    got = {(r.name, r.x): r.y for r in R.interpolate(known, grid, ["name"], chunk=chunk).collect()}
+    known = spark.createDataFrame([(n, x * unit, y) for n, (xs, ys) in curves.items() for x, y in zip(xs, ys)], "name string, x double, y double")
+    grid = spark.createDataFrame([(n, x * unit) for n in curves for x in range(0, 51)], "name string, x double")
+    got = {(r.name, r.x): r.y for r in R.interpolate(known, grid, ["name"], parts=parts).collect()}
     assert len(got) == 3 * 51
     for name, (xs, ys) in curves.items():
-        np.testing.assert_allclose([got[(name, float(x))] for x in range(51)], np.interp(range(51), xs, ys))
-    alone = R.interpolate(known.filter("name = 'bleu'").drop("name"), grid.filter("name = 'bleu'").drop("name"), chunk=chunk)
+        np.testing.assert_allclose([got[(name, x * unit)] for x in range(51)], np.interp(range(51), xs, ys))
+    if parts:  # a long series is cut, whatever the unit of its axis
+        assert in_cells(grid, ["name"], "x", parts).filter("name = 'bleu'").select("_cell").distinct().count() > 1
+    alone = R.interpolate(known.filter("name = 'bleu'").drop("name"), grid.filter("name = 'bleu'").drop("name"), parts=parts)
     assert alone.count() == 51
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scores import noam_lr, perplexity
 from ..plans.joins import join_on_groups
-from ..plans.running import CHUNK, chunk_cell, with_running
+from ..plans.running import in_cells, with_running
 from ..plans.sizing import small_side
 
 
@@ -42,7 +42,7 @@ def accum_steps(batch_log: DataFrame, k: int, keys: Sequence[str] = ("epoch",))
 
 
 def running_loss_log(
-    batch_log: DataFrame, every: int = 50, keys: Sequence[str] = ("epoch",), chunk: int = CHUNK
+    batch_log: DataFrame, every: int = 50, keys: Sequence[str] = ("epoch",), parts: int | None = None
 ) -> DataFrame:
     """Running weighted loss, perplexity and tokens per second at each ``every``-th batch."""
     running = with_running(
@@ -53,7 +53,7 @@ def running_loss_log(
             "loss_sum": ("sum", F.col("loss") * F.col("n_tokens")),
             "token_sum": ("sum", F.col("n_tokens").cast("long")),
         },
-        chunk=chunk,
+        parts=parts,
     )
     mean = F.col("loss_sum") / F.greatest("token_sum", F.lit(1))
     return running.filter((F.col("batch_idx") + 1) % every == 0).select(
@@ -67,7 +67,7 @@ def running_loss_log(
 
 def best_checkpoints(
     epoch_log: DataFrame, initial_best: float = 0.0, start_epoch: int | None = None,
-    keys: Sequence[str] = (), chunk: int = CHUNK,
+    keys: Sequence[str] = (), parts: int | None = None,
 ) -> DataFrame:
     """Epochs whose BLEU strictly beats every earlier one.
 
@@ -76,7 +76,7 @@ def best_checkpoints(
     if start_epoch is not None:
         epoch_log = epoch_log.filter(F.col("epoch") >= start_epoch)
     running = with_running(
-        epoch_log, keys, "epoch", {"_earlier": ("max", F.col("bleu"))}, inclusive=False, chunk=chunk
+        epoch_log, keys, "epoch", {"_earlier": ("max", F.col("bleu"))}, inclusive=False, parts=parts
     )
     to_beat = F.greatest(F.coalesce("_earlier", F.lit(initial_best)), F.lit(initial_best))
     return running.filter(F.col("bleu") > to_beat).select(*keys, "epoch", F.col("bleu").alias("best_bleu"))
@@ -129,24 +129,22 @@ def lr_peak(curve: DataFrame) -> DataFrame:
 
 
 def interpolate(
-    known: DataFrame, grid: DataFrame, series: Sequence[str] = (), chunk: float = CHUNK
+    known: DataFrame, grid: DataFrame, series: Sequence[str] = (), parts: int | None = None
 ) -> DataFrame:
     """Fill ``known(series, x, y)`` on ``grid(series, x)``: linear between known points, flat outside.
 
     Each grid point looks for the last known point at or before it and the first at or
-    after it. The axis is cut into chunks of width ``chunk`` so that one long series
-    spreads over many tasks; per-chunk end points carry across the cuts.
+    after it. Points are range-partitioned by series and axis, so that one long series
+    spreads over many tasks; the end points of each part carry across the cuts.
     """
     point = F.struct("x", "y")
     rows = known.select(*series, F.col("x").cast("double"), F.col("y").cast("double"), F.lit(False).alias("_grid")).unionByName(
         grid.select(*series, F.col("x").cast("double"), F.lit(None).cast("double").alias("y"), F.lit(True).alias("_grid"))
     )
-    rows = rows.withColumn("_cell", chunk_cell(series, F.col("x"), chunk)).withColumn(
-        "_known", F.when(~F.col("_grid"), point)
-    )
+    rows = in_cells(rows, series, "x", parts).withColumn("_known", F.when(~F.col("_grid"), point))
     ends = rows.groupBy("_cell").agg(F.min("_known").alias("_lo"), F.max("_known").alias("_hi"))
     across = Window.partitionBy(*[F.col("_cell")[s] for s in series])
-    place = F.col("_cell")["_chunk"]
+    place = F.col("_cell")["_part"]
     carried = ends.select(
         "_cell",
         F.last("_hi", ignorenulls=True)

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-CHUNK = 65_536
+from .stages import write_stage
 
 _AGGREGATES = {"sum": F.sum, "max": F.max}
 _COMBINE = {
@@ -15,12 +15,20 @@ _COMBINE = {
 }
 
 
-def chunk_cell(keys: Sequence[str], order: Column, chunk: float) -> Column:
-    """Group and chunk as one struct: never null itself, and null fields equal each other.
+def in_cells(df: DataFrame, keys: Sequence[str], order_by: str, parts: int | None = None) -> DataFrame:
+    """Add ``_cell``: the group and the range of ``order_by`` that a row belongs to.
 
-    Windows, aggregates and joins on this one column share a single shuffle.
+    Ranges are the partitions of a range partitioning on group and order, so they follow
+    the number of rows, whatever the unit and spread of the order column, and rows that tie
+    stay together. A group has at most one cell per partition. The placed rows are written
+    once, because the bounds come from a sample that a second evaluation may draw anew.
+
+    The cell is one struct: never null itself, and null fields equal each other. Windows,
+    aggregates and joins on this one column share a single shuffle.
     """
-    return F.struct(*keys, F.floor(order / chunk).alias("_chunk"))
+    ranged = df.repartitionByRange(*([parts] if parts else []), *keys, order_by)
+    placed, _ = write_stage(ranged.withColumn("_part", F.spark_partition_id()), "ordered-parts")
+    return placed.withColumn("_cell", F.struct(*keys, "_part")).drop("_part")
 
 
 def with_running(
@@ -29,16 +37,16 @@ def with_running(
     order_by: str,
     columns: Mapping[str, tuple[str, Column]],
     inclusive: bool = True,
-    chunk: int = CHUNK,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Add running ``sum`` or ``max`` columns over an integer order column.
+    """Add running ``sum`` or ``max`` columns over an order column.
 
-    ``columns`` maps an output name to ``(kind, expression)``. Each group is cut
-    into chunks of ``chunk`` consecutive order values; windows run inside a chunk,
-    and the chunk totals (a far smaller table) carry the earlier chunks over.
+    ``columns`` maps an output name to ``(kind, expression)``. Windows run inside the cells
+    of ``in_cells``; the cell totals (at most a row per group and partition) carry the earlier
+    cells over. ``parts`` sets the number of partitions; Spark chooses it otherwise.
     """
     names = list(columns)
-    base = df.withColumn("_cell", chunk_cell(keys, F.col(order_by), chunk))
+    base = in_cells(df, keys, order_by, parts)
     for name, (_, expr) in columns.items():
         base = base.withColumn(f"_v_{name}", expr)
     frame = (
@@ -51,7 +59,7 @@ def with_running(
     )
     before = (
         Window.partitionBy(*[F.col("_cell")[k] for k in keys])
-        .orderBy(F.col("_cell")["_chunk"])
+        .orderBy(F.col("_cell")["_part"])
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = totals.select(
