@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,31 @@ def test_near_duplicates_are_the_brute_force_classes(spark):
         assert got[i].kept == (got[i].class_id == i)
 
 
+def test_a_large_family_at_the_threshold_loses_no_link(spark):
+    rng = random.Random(17)
+    rows = []
+    for start in (0, 200):
+        base = words(rng, 100)
+        rows += [(start + i, " ".join(edited(rng, base, rng.randint(1, 4)))) for i in range(90)]
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicate_classes(frame(spark, rows)).collect()}
+    expected = brute_classes(rows)
+    assert len(set(expected.values())) > 10  # neither one class nor only singles
+    assert got == {i: expected[i] for i, _ in rows}
+
+
+def test_parities_never_rule_out_a_similar_pair():
+    rng = random.Random(23)
+    for _ in range(80):
+        a = words(rng, rng.randint(5, 300)) + ["once", "more"] * rng.randint(0, 9)
+        texts = [" ".join(a), " ".join(edited(rng, a, rng.randint(0, 12)))]
+        owner, hashes, counts = minhash_dedup.shingles(texts)
+        bits = minhash_dedup.parities(owner, hashes, counts, 2)
+        differ = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
+        sizes = [counts[owner == i].sum() for i in (0, 1)]
+        near = minhash_dedup.similarities(texts[:1], texts[1:])[0]
+        assert differ <= sum(sizes) * (1 - near) / (1 + near) + 1e-6
+
+
 def test_one_row_of_every_class_stays(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A b c d e f g"), (None, "a b c d e f g"), (None, "alone here"), (3, ""), (3, ""), (4, None)]
     kept = minhash_dedup.drop_near_duplicates(frame(spark, rows))
