@@ -103,7 +103,7 @@ def test_parities_never_rule_out_a_similar_pair():
         texts = [" ".join(a), " ".join(edited(rng, a, rng.randint(0, 12)))]
         owner, hashes, counts = minhash_dedup.shingles(texts)
         bits = minhash_dedup.parities(owner, hashes, counts, 2)
-        differ = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
+        differ = int(np.bitwise_count((bits[0] ^ bits[1]).view(np.uint64)).sum())
         sizes = [counts[owner == i].sum() for i in (0, 1)]
         near = minhash_dedup.similarities(texts[:1], texts[1:])[0]
         assert differ <= sum(sizes) * (1 - near) / (1 + near) + 1e-6
