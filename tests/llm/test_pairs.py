@@ -223,6 +223,21 @@ def test_passages_are_found_and_nothing_else(spark):
     assert substring_dedup.repeated_passages(frame(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [[(0, 40), (40, 80)], [(0, 45), (5, 50)], [(0, 30), (20, 50), (10, 40)], [(0, 49), (1, 50)]])
+def test_a_passage_whose_parts_have_earlier_holders(spark, parts):
+    rng = random.Random(len(parts) + parts[0][1])
+    rows, passages = [], {}
+    for n in range(6):
+        passage = words(rng, max(e for _, e in parts))
+        for i, (s, e) in enumerate(parts):
+            rows.append((100 * n + i, " ".join(words(rng, 20) + passage[s:e] + words(rng, 20))))
+        rows += [(100 * n + i, " ".join(words(rng, 9 * i) + passage + words(rng, 30))) for i in (5, 9)]
+        passages[100 * n + 9] = len(passage)
+    got = {(r.doc_id, r.source_doc_id): r for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()}
+    assert set(got) == {(i, i - 4) for i in passages}
+    assert all(r.start_word <= 81 and r.end_word >= 81 + passages[r.doc_id] and r.identity >= 0.95 for r in got.values())
+
+
 def test_chains_equal_quadratic_search():
     import numpy as np
 
