@@ -238,6 +238,21 @@ def test_a_passage_whose_parts_have_earlier_holders(spark, parts):
     assert all(r.start_word <= 81 and r.end_word >= 81 + passages[r.doc_id] and r.identity >= 0.95 for r in got.values())
 
 
+def test_passages_down_to_the_least_identity(spark):
+    rng = random.Random(31)
+    rows, changed = [], []
+    for n in range(10):
+        base = words(rng, 62)
+        for i, every in ((1, 5), (2, 6), (3, 8), (4, 10)):
+            copy = [w if (k + 3) % every else f"zz{n}{i}{k}" for k, w in enumerate(base)]
+            rows.append((100 * n + i, " ".join(words(rng, 12 * i) + copy + words(rng, 25))))
+            changed.append(100 * n + i)
+        rows.append((100 * n, " ".join(words(rng, 40) + base + words(rng, 40))))
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()}
+    assert set(got) == set(changed)
+    assert all(r.source_doc_id // 100 == i // 100 and r.identity >= 0.8 and r.end_word - r.start_word >= 50 for i, r in got.items())
+
+
 def test_chains_equal_quadratic_search():
     import numpy as np
 
