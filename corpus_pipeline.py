@@ -33,8 +33,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies."""
-    return minhash_dedup.drop_near_duplicates(docs)
+    """One document of every group of near copies; of equal texts without words, such as emptied copies, the smallest id."""
+    kept = minhash_dedup.drop_near_duplicates(docs)
+    worded = F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(True))
+    smallest = F.min_by(F.struct(*kept.columns), F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)))
+    wordless = kept.filter(~worded).groupBy(F.col("text").alias("_t")).agg(smallest.alias("_all")).select("_all.*")
+    return kept.filter(worded).unionByName(wordless)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -359,3 +359,14 @@ def test_pipeline_stages_do_what_their_operators_say(spark):
     assert out.count() == docs.count()
     plain = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, out.collect()))
+
+
+def test_equal_wordless_texts_leave_one(spark):
+    rows = [(2, ""), (1, ""), (4, "... !"), (3, "... !"), (None, ""), (5, None), (6, None), (7, "one more"), (8, "é"), (9, "?"), (None, "#"), (None, "#")]
+    docs = frame(spark, rows)
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(
+        [(1, ""), (3, "... !"), (5, None), (6, None), (7, "one more"), (8, "é"), (9, "?"), (None, "#")], key=key
+    )
