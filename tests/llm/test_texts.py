@@ -270,6 +270,26 @@ def test_shards_have_equal_counts(spark, tmp_path, rows):
     assert sharding.reshard(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_copies_are_numbered_by_ranges_that_can_cut_a_group(spark, tmp_path, monkeypatch):
+    rows = [(None, "same")] * 300 + [(7, "same")] * 200 + [(i, "x" * (i % 37)) for i in range(100)]
+    placed = sharding.reshard(frame(spark, rows), shards=6, old_shards=4)
+    calls, number = [], sharding.with_row_index
+
+    def spied(df, order_by, within=(), *rest):
+        keys = df.select(*within, *order_by)
+        calls.append(keys.distinct().count() == keys.count() == len(rows))
+        return number(df, order_by, within, *rest)
+
+    monkeypatch.setattr(sharding, "with_row_index", spied)
+    sharding.rewrite_affected(frame(spark, rows), placed, str(tmp_path / "out"))
+    assert calls == [True, True]  # the copies in the table and their places, no two with one key
+    affected = {r.shard for r in sharding.affected_shards(placed).collect()}
+    key = lambda r: (r[0] or -1, r[1], r[2], r[3])
+    written = spark.read.parquet(str(tmp_path / "out")).select("doc_id", F.crc32("text"), "shard", "slot").collect()
+    expected = placed.filter(F.col("shard").isin(affected)).select("doc_id", "text_crc32", "shard", "slot").collect()
+    assert sorted(map(tuple, written), key=key) == sorted(map(tuple, expected), key=key)
+
+
 # ---- pages
 
 
