@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    bpe, decontaminate, html_blocks, language_id, line_dedup, minhash_dedup, quality_model, quality_rules, sharding, substring_dedup,
+    bpe, decontaminate, html_blocks, language_id, line_dedup, merkle, minhash_dedup, quality_model, quality_rules,
+    sharding, simhash_dedup, substring_dedup,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +177,66 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page with its main text."""
     pages = read(spark, sf_dir, "pages")
     return html_blocks.extract_main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@register("op11_simhash")
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the component of its near copies."""
+    return simhash_dedup.simhash_components(read(spark, sf_dir, "documents"))
+
+
+def _leaf_sql(text: str) -> str:
+    values = ["doc_id", "source", "lang", "n_chars", text]
+    framed = [f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR), '-')" for v in values]
+    return f"sha256({' || '.join(framed)})"
+
+
+def _climb_sql(name: str, leaves: str) -> str:
+    """Recursive tables ``<name>_nodes`` (all levels) and ``<name>_walk`` (each leaf climbing) over ``leaves(k, g, idx, total, h, f)``."""
+    return f"""
+{name}_nodes AS (
+  SELECT g, 0 AS lvl, idx, total, h FROM {leaves}
+  UNION ALL
+  SELECT g, lvl + 1, idx // 8, (total + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM {name}_nodes WHERE total > 1
+  GROUP BY g, lvl, idx // 8, total),
+{name}_sib AS (
+  SELECT g, lvl, idx, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS bef,
+         coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS aft
+  FROM {name}_nodes WHERE total > 1 WINDOW w AS (PARTITION BY g, lvl, idx // 8 ORDER BY idx)),
+{name}_walk AS (
+  SELECT k, g, 0 AS lvl, idx, total, f, '' AS proof FROM {leaves}
+  UNION ALL
+  SELECT k, w.g, w.lvl + 1, w.idx // 8, (total + 7) // 8, sha256(bef || f || aft), proof || bef || aft
+  FROM {name}_walk w JOIN {name}_sib s ON s.g IS NOT DISTINCT FROM w.g AND s.lvl = w.lvl AND s.idx = w.idx WHERE total > 1)"""
+
+
+_CRC_BYTE = "list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(s, b))"
+_CRC32 = f"xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT), lambda s, b: {_CRC_BYTE}, 4294967295::BIGINT), 4294967295)"
+
+#: crc32 has no SQL function, so it is stated bit by bit; a decimal number is ASCII.
+MERKLE_SQL = f"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS k, doc_id, lang AS g, {_leaf_sql('text')} AS h,
+         CASE WHEN {_CRC32} % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+              ELSE {_leaf_sql('text')} END AS f FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, count(*) OVER (PARTITION BY g) AS total FROM t),
+{_climb_sql('low', 'l')},
+r AS (SELECT g AS k, 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS idx, count(*) OVER () AS total, h, h AS f
+      FROM low_nodes WHERE total = 1),
+{_climb_sql('high', 'r')},
+mid AS (SELECT w.k, w.g, w.f, w.proof, r.h AS subroot, r.idx, r.total FROM low_walk w JOIN r ON r.k IS NOT DISTINCT FROM w.g WHERE w.total = 1),
+up AS (
+  SELECT k, 0 AS lvl, idx, total, f, proof, subroot FROM mid
+  UNION ALL
+  SELECT k, u.lvl + 1, u.idx // 8, (total + 7) // 8, sha256(bef || f || aft), proof || bef || aft, subroot
+  FROM up u JOIN high_sib s ON s.lvl = u.lvl AND s.idx = u.idx WHERE total > 1)
+SELECT l.doc_id, l.h AS leaf, up.subroot, root.h AS root, sha256(up.proof) AS proof_sha256, up.f AS folded_root, up.f = root.h AS verified
+FROM up JOIN l ON l.k = up.k, (SELECT h FROM high_nodes WHERE total = 1) root WHERE up.total = 1
+"""
+
+
+@register("op13_merkle_manifest", MERKLE_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its leaf, roots, proof, and whether it still verifies where a third were altered."""
+    tampered = merkle.lowered_for_a_third(F.col("text"), F.col("doc_id"))
+    return merkle.manifest(read(spark, sf_dir, "documents"), tampered)
