@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    bpe, decontaminate, html_blocks, language_id, line_dedup, merkle, minhash_dedup, quality_model, quality_rules,
+    bpe, decontaminate, hard_negatives, html_blocks, language_id, line_dedup, merkle, minhash_dedup, quality_model, quality_rules,
     sharding, simhash_dedup, substring_dedup,
 )
 
@@ -185,6 +185,30 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(read(spark, sf_dir, "documents"))
 
 
+NEGATIVES_SQL = """
+WITH v AS (SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.k AS ak, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, a.k = b.k AS itself,
+             list_inner_product(a.e, b.e)::BIGINT AS score
+      FROM v a JOIN v b ON len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0),
+p AS (SELECT ak, anchor_id, id AS positive_id, score AS ps, row_number() OVER (PARTITION BY ak ORDER BY score DESC, id) AS pk
+      FROM s WHERE same AND NOT itself QUALIFY pk <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.ak, pk ORDER BY score DESC, id) AS rank,
+       id AS negative_id, ps AS positive_score, score AS negative_score
+FROM p JOIN s ON s.ak = p.ak AND NOT same AND 50 * ps <= 100 * score AND 100 * score <= 95 * ps
+QUALIFY rank <= 3
+"""
+
+
+@register("op12_hard_negatives", NEGATIVES_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every anchor and positive with the best-scoring rows of other labels below the positive."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", label), "id % 50 = 0")
+
+
 def _leaf_sql(text: str) -> str:
     values = ["doc_id", "source", "lang", "n_chars", text]
     framed = [f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR), '-')" for v in values]
