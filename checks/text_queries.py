@@ -218,9 +218,11 @@ def d4(spark, sf):
 # ---- vocabulary learning: the SQL is unrolled, one merge per common table expression -----
 
 MERGES = 8
+#: Merges of the learning query itself: more than are left pending, so that the table is rewritten.
+LONG_MERGES = 64
 
 
-def _unrolled_merges() -> dict[str, str]:
+def _unrolled_merges(merges: int = MERGES) -> dict[str, str]:
     more = {
         "m_alphabet": """
             SELECT CAST(3+row_number() OVER (ORDER BY token) AS INTEGER) AS id, token
@@ -230,7 +232,7 @@ def _unrolled_merges() -> dict[str, str]:
             SELECT n, concat(' ', array_to_string([m[c] for c in string_split(word,'')], '  '), ' ') AS s
             FROM train_words, m_map""",
     }
-    for k in range(1, MERGES + 1):
+    for k in range(1, merges + 1):
         more[f"m_p{k}"] = f"""
             SELECT {k-1} AS rank, l AS left_id, r AS right_id, (SELECT top FROM m_map)+{k} AS new_id
             FROM (SELECT a[i]::INTEGER AS l, a[i+1]::INTEGER AS r, n
@@ -240,10 +242,10 @@ def _unrolled_merges() -> dict[str, str]:
         more[f"m_s{k}"] = f"""
             SELECT n, replace(s, concat(' ',left_id,'  ',right_id,' '), concat(' ',new_id,' ')) AS s
             FROM m_s{k-1}, m_p{k}"""
-    more["m_rules"] = " UNION ALL ".join(f"SELECT * FROM m_p{k}" for k in range(1, MERGES + 1))
+    more["m_rules"] = " UNION ALL ".join(f"SELECT * FROM m_p{k}" for k in range(1, merges + 1))
     more["m_v0"] = """SELECT id, token FROM m_alphabet UNION ALL
             SELECT * FROM (VALUES (0,'[PAD]'),(1,'[UNK]'),(2,'[SOS]'),(3,'[EOS]'))"""
-    for k in range(1, MERGES + 1):
+    for k in range(1, merges + 1):
         more[f"m_v{k}"] = f"""
             SELECT * FROM m_v{k-1} UNION ALL
             SELECT new_id, concat((SELECT token FROM m_v{k-1} WHERE id=left_id), (SELECT token FROM m_v{k-1} WHERE id=right_id))
@@ -267,10 +269,10 @@ def _sql_ids(words: str) -> str:
     return f"trim(regexp_replace(replace({_in_rank_order(framed)}, '|', ' '), ' +', ' ', 'g'))"
 
 
-def _learned(spark: SparkSession, sf: str) -> V.Vocabulary:
+def _learned(spark: SparkSession, sf: str, merges: int = MERGES, **named) -> V.Vocabulary:
     counts, _ = write_stage(V.word_counts(views.train_lines(spark, sf)), "train-words")
-    size = 4 + V.alphabet(counts).count() + MERGES
-    return V.train_bpe(counts, vocab_size=size)
+    size = 4 + V.alphabet(counts).count() + merges
+    return V.train_bpe(counts, vocab_size=size, **named)
 
 
 @check("d5_train_bpe", _LEARNED + "SELECT rank, left_id, right_id, new_id FROM m_rules")
@@ -278,6 +280,14 @@ def d5(spark, sf):
     return _learned(spark, sf).merges
 
 
+@check(
+    "d5_train_bpe_rewritten",
+    with_views("pairs", "train_words", more=_unrolled_merges(LONG_MERGES)) + "SELECT rank, left_id, right_id, new_id FROM m_rules",
+)
+def d5_rewritten(spark, sf):
+    return _learned(spark, sf, LONG_MERGES, rewrite_after=24).merges
+
+
 @check("a6_save_load_vocab", _LEARNED + f"SELECT id, token FROM m_v{MERGES}")
 def a6(spark, sf):
     path = vocab_store.save_vocab(_learned(spark, sf), new_path(spark, "vocabulary"))

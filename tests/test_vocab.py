@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +98,58 @@ def test_rewriting_and_short_fetches_change_nothing(spark, small):
     assert again.tokens() == small.tokens() and again.merge_rules() == small.merge_rules()
 
 
+def _plain_merges(counts: dict[str, int], size: int) -> list[tuple[str, str]]:
+    """One merge at a time over all words, best pair first, ties by the order of ids."""
+    words = [(list(w), n) for w, n in counts.items()]
+    rank = {c: i for i, c in enumerate(sorted({c for w in counts for c in w}))}
+    merges = []
+    while len(rank) + 4 < size:
+        pairs = {}
+        for w, n in words:
+            for pair in zip(w, w[1:]):
+                pairs[pair] = pairs.get(pair, 0) + n
+        best = min(pairs, key=lambda p: (-pairs[p], rank[p[0]], rank[p[1]]), default=None)
+        if best is None or pairs[best] < 2:
+            break
+        merges.append(best)
+        rank.setdefault("".join(best), len(rank))
+        for w, _ in words:
+            i = 0
+            while i + 1 < len(w):
+                if (w[i], w[i + 1]) == best:
+                    w[i : i + 2] = ["".join(best)]
+                i += 1
+    return merges
+
+
+@pytest.mark.parametrize("indexed, named", [(False, {"fetch": 5}), (True, {}), (True, {"rewrite_after": 7, "fetch": 40})])
+def test_maintained_counts_choose_as_full_counts_do(spark, monkeypatch, named, indexed):
+    # With postings from the first pass on, and never: the same merges as counting everything anew.
+    monkeypatch.setattr(V, "INDEX_AFTER", 0 if indexed else 10**6)
+    monkeypatch.setattr(V, "POSTED_PAIRS", 3 if indexed else 8)
+    rng = random.Random(4)
+    counts = {"".join(rng.choice("abcdee") for _ in range(rng.randrange(1, 12))): rng.choice([1, 2, 3, 50]) for _ in range(120)}
+    counts |= {"aaaa": 9, "aaa": 8, "abababab": 7}
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    v = V.train_bpe(words, 40, **named)
+    tokens = v.tokens()
+    assert [(tokens[a], tokens[b]) for a, b, _ in v.merge_rules()] == _plain_merges(counts, 40)
+
+
+def test_postings_are_read_by_pair_and_changes_follow_changed_words(spark, monkeypatch):
+    monkeypatch.setattr(V, "INDEX_AFTER", 0)
+    framed = spark.createDataFrame([(1, " 97  98 "), (2, " 98  99  97 "), (3, " 97  98  99 ")], "n long, s string")
+    table = V._Words(framed)
+    assert table.merge([(97, 98, 900)]) == {(97, 98): -4, (98, 99): -3, (900, 99): 3}
+    assert sorted(r.s for r in table._holders([(900, 99, 901)]).collect()) == [" 97  98  99 ", " 98  99  97 "]
+    assert table.merge([(900, 99, 901)]) == {(900, 99): -3}
+    plan = table._holders([(98, 99, 902)])._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(pair), EqualTo(pair," in plan
+    table.rewrite()
+    assert sorted((r.n, r.s) for r in table.base.collect()) == [(2, " 98  99  97 ")]
+    table.drop()
+
+
 @pytest.fixture(scope="module")
 def real_lines(spark):
     text = (

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Container, Mapping, Sequence
+from collections.abc import Callable, Container, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from heapq import nsmallest
+from math import inf
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import SPECIAL_TOKENS, normalize, pre_tokenize
 from ..plans.sizing import broadcast_if_small
-from ..plans.stages import drop_stage, write_stage
+from ..plans.stages import drop_stage, new_path, write_stage
 
 # Symbols during training: a character is its code point, merge number k is _MERGED + k.
 # Characters get ids by code point and merges get the next ids in turn, so comparing
@@ -79,7 +82,7 @@ def character_vocabulary(words: DataFrame) -> Vocabulary:
 def _adjacent(symbols: Column) -> Column:
     pairs = F.size(symbols) - 1
     return F.arrays_zip(
-        F.slice(symbols, F.lit(1), pairs).alias("l"), F.slice(symbols, F.lit(2), pairs).alias("r")
+        F.slice(symbols, F.lit(1), pairs).alias("left"), F.slice(symbols, F.lit(2), pairs).alias("right")
     )
 
 
@@ -125,106 +128,230 @@ def choose_merges(
     return taken
 
 
+@dataclass
+class _PairTable:
+    """Counts of the pairs that rank up to a fixed place, kept right by differences.
+
+    ``last`` is that place, ``(-n, left, right)``: every pair of the corpus that ranks up to
+    it is in ``counts``. A merge only lowers the counts of older pairs, and the pairs that it
+    creates come with the differences, so this stays true without counting again.
+    """
+
+    counts: dict[tuple[int, int], int]
+    last: tuple[float, float, float]
+
+    def ranked(self, n: int) -> list[tuple[int, int]]:
+        return [pair for _, *pair in nsmallest(n, ((-c, *p) for p, c in self.counts.items()))]
+
+    def update(self, differences: Mapping[tuple[int, int], int], created: Container[int]) -> None:
+        for pair, d in differences.items():
+            if pair in self.counts or pair[0] in created or pair[1] in created:
+                n = self.counts.get(pair, 0) + d
+                self.counts[pair] = n
+                if (-n, *pair) > self.last:
+                    del self.counts[pair]
+
+
+class _Words:
+    """The distributed table of distinct words, and which of them a merge changes.
+
+    ``base`` holds ``(n, s)`` with the symbols of a word framed by blanks (``' 17  23 '``), so a
+    merge is one native ``replace``. Merges since it was written are ``pending`` and folded over
+    the words that are read. ``postings`` (written after some scans) lists the words under each
+    of their pairs, sorted by pair, so that reading a pair skips all other parts of the files. A
+    pair with younger symbols is found under the two older symbols that touch in it.
+    """
+
+    def __init__(self, framed: DataFrame):
+        self.spark = framed.sparkSession
+        # Distinct words in even parts, as every scan runs through all of them.
+        self.parts = self.spark.sparkContext.defaultParallelism
+        self.base, self.path = write_stage(framed, "bpe-words")
+        self._begin()
+
+    def _begin(self) -> None:
+        self.pending: list[tuple[int, int, int]] = []
+        self.scans, self.postings, self.index_path = 0, None, None
+        self.first: dict[int, int] = {}
+        self.final: dict[int, int] = {}
+
+    def characters(self) -> list[int]:
+        symbols = self.base.select(F.explode(F.array_distinct(_symbols("s"))).alias("s")).distinct()
+        return sorted(row.s for row in symbols.collect())
+
+    def top_pairs(self, min_frequency: int, fetch: int) -> _PairTable:
+        rows = (
+            _open(self.base.select("n", "s"))
+            .select("n", F.inline(_adjacent(_symbols("s"))).alias("left", "right"))
+            .groupBy("left", "right")
+            .agg(F.sum("n").alias("n"))
+            .filter(F.col("n") >= min_frequency)
+            .orderBy(F.desc("n"), "left", "right")
+            .limit(fetch)
+            .collect()
+        )
+        counts = {(row.left, row.right): row.n for row in rows}
+        whole = (-min_frequency, inf, inf)
+        return _PairTable(counts, (-rows[-1].n, rows[-1].left, rows[-1].right) if len(rows) == fetch else whole)
+
+    def merge(self, batch: Sequence[tuple[int, int, int]]) -> dict[tuple[int, int], int]:
+        """Take up merges; returns the differences they make to the pair counts, of changed words only."""
+        signed = lambda w, sign: F.transform(
+            _adjacent(_symbols(w)), lambda p: F.struct(p["left"].alias("left"), p["right"].alias("right"), (F.col("n") * sign).alias("d"))
+        )
+        differ = lambda w, v: F.when(w != v, F.concat(signed(w, -1), signed(v, 1)))
+        differences = _let(_merged(F.col("s"), self.pending), lambda w: _let(_merged(w, batch), lambda v: differ(w, v)))
+        rows = (
+            self._holders(batch)
+            .select(F.inline(differences))
+            .groupBy("left", "right")
+            .agg(F.sum("d").alias("d"))
+            .filter("d <> 0")
+            .collect()
+        )
+        self.pending.extend(batch)
+        for left, right, new in batch:
+            self.first[new], self.final[new] = self.first.get(left, left), self.final.get(right, right)
+        return {(row.left, row.right): row.d for row in rows}
+
+    def _holders(self, batch: Sequence[tuple[int, int, int]]) -> DataFrame:
+        """``(n, s)`` of words that may change: through the postings of few pairs, by a scan for many."""
+        held = sorted({(self.final.get(l, l), self.first.get(r, r)) for l, r, _ in batch})
+        keys = [_key(l, r) for l, r in held]
+        if self.postings is None or len(keys) > POSTED_PAIRS:
+            self.scans += 1
+            if self.postings is None and self.scans > INDEX_AFTER:
+                self._index()
+            else:
+                return self.base.filter(reduce(lambda x, y: x | y, [F.contains("s", F.lit(f" {l}  {r} ")) for l, r in held]))
+        found = self.postings.filter(F.col("pair").isin(keys))
+        if len(keys) > 1:  # a word under several of them counts once, under the smallest
+            mine = F.array_intersect(_pair_keys(_symbols("s")), F.array(*[F.lit(k) for k in keys]))
+            found = found.filter(F.col("pair") == F.array_min(mine))
+        return found.select("n", "s")
+
+    def _index(self) -> None:
+        pairs = _open(self.base).select("n", "s", F.explode(F.array_distinct(_pair_keys(_symbols("s")))).alias("pair"))
+        self.index_path = new_path(self.spark, "bpe-postings")
+        # Placed by pair and word, as a frequent pair would fill one part; small row groups are what a read can skip.
+        placed = pairs.repartitionByRange("pair", "s").sortWithinPartitions("pair")
+        placed.write.option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(self.index_path)
+        self.postings = self.spark.read.schema(placed.schema).parquet(self.index_path)
+
+    def rewrite(self) -> None:
+        """Fold the pending merges into the table; words of one symbol have no pairs and go."""
+        old = self.path
+        self.base, self.path = write_stage(_open(self.base.select("n", _merged(F.col("s"), self.pending).alias("s"))), "bpe-words")
+        self._drop(old, self.index_path)
+        self._begin()
+
+    def drop(self) -> None:
+        self._drop(self.path, self.index_path)
+
+    def _drop(self, *paths: str | None) -> None:
+        for path in paths:
+            if path is not None:
+                drop_stage(self.spark, path)
+
+
+#: Up to so many pairs are looked up in the postings; more of them touch so many words that a scan is as good.
+POSTED_PAIRS = 8
+#: Scans of the words after which the postings are written, since by then they pay.
+INDEX_AFTER = 6
+
+
 def train_bpe(
     words: DataFrame,
     vocab_size: int = 16_000,
     min_frequency: int = 2,
-    fetch: int = 1_000,
-    rewrite_after: int = 32,
+    fetch: int = 20_000,
+    rewrite_after: int = 512,
+    batch: int = 256,
 ) -> Vocabulary:
     """Learn merges from ``(word, n)``: best pair first, ties to the smaller ids.
 
-    The table of distinct words stays distributed. A word is a string of framed
-    symbols (``' 17  23 '``), so a merge is one native ``replace``. Each pass counts
-    pairs, brings at most ``fetch`` of the best to the driver, and takes every merge
-    that :func:`choose_merges` allows. Pending replaces ride on the scan; after
-    ``rewrite_after`` of them the table is rewritten, which bounds the plan.
+    The table of distinct words stays distributed (see :class:`_Words`); the driver holds the
+    ``fetch`` best pairs and keeps their counts right by the differences that each pass of
+    merges makes to changed words. A pass takes every merge that :func:`choose_merges`
+    allows, up to ``batch``. Pairs are counted anew only when the known ones are used up or
+    ``rewrite_after`` merges are pending, which bounds the plan.
     """
-    spark = words.sparkSession
     framed = F.concat(
         F.lit(" "), F.array_join(F.transform(F.split("word", ""), lambda c: F.ascii(c)), "  "), F.lit(" ")
     )
-    # Every pass scans this table, so it is laid out in one even part per core; words
-    # are distinct, so hashing them is balanced.
-    cores = spark.sparkContext.defaultParallelism
-    even = words.repartition(cores, "word").select("n", framed.alias("s"))
-    state, path = write_stage(even, "bpe-words")
-    characters = sorted(
-        row.s
-        for row in state.select(
-            F.explode(F.array_distinct(_symbols(F.trim("s")))).alias("s")
-        )
-        .distinct()
-        .collect()
-    )
+    table = _Words(words.repartition(words.sparkSession.sparkContext.defaultParallelism, "word").select("n", framed.alias("s")))
+    characters = table.characters()
     spelling = {c: chr(c) for c in characters}
     order = list(characters)
     # No word can spell a special token (brackets and letters never share a word), but
     # the special tokens count towards the size.
     known = dict.fromkeys(SPECIAL_TOKENS, -1) | {t: c for c, t in spelling.items()}
     merges: list[tuple[int, int, int]] = []
-    pending: list[tuple[int, int, int]] = []
+    pairs: _PairTable | None = None
 
     while len(known) < vocab_size:
-        ranked = _best_pairs(state, pending, min_frequency, fetch)
-        if not ranked:
-            break
-        batch = choose_merges(ranked, spelling, known)
-        for left, right in batch[: vocab_size - len(known)]:
+        if pairs is None or not pairs.counts or len(table.pending) >= rewrite_after:
+            if table.pending:
+                table.rewrite()
+            pairs = table.top_pairs(min_frequency, fetch)
+            if not pairs.counts:
+                break
+        chosen = choose_merges(pairs.ranked(min(batch, vocab_size - len(known))), spelling, known)
+        taken, created = [], set()
+        for left, right in chosen:
             token = spelling[left] + spelling[right]
             if token not in known:
                 known[token] = _MERGED + len(order) - len(characters)
                 order.append(known[token])
                 spelling[known[token]] = token
-            merges.append((left, right, known[token]))
-            pending.append(merges[-1])
-        if len(pending) >= rewrite_after:
-            old = path
-            state, path = write_stage(_open_words(state, pending), "bpe-words")
-            drop_stage(spark, old)
-            pending = []
-    drop_stage(spark, path)
-    return _as_vocabulary(spark, order, spelling, merges)
-
-
-def _symbols(s: Column) -> Column:
+                created.add(known[token])
+            taken.append((left, right, known[token]))
+        merges.extend(taken)
+        if len(known) >= vocab_size:
+            break
+        pairs.update(table.merge(taken), created)
+        if len(created) < len(taken):  # a reused symbol: counts of its older pairs may have risen
+            pairs = None
+    table.drop()
+    return _as_vocabulary(words.sparkSession, order, spelling, merges)
+
+
+def _symbols(s: Column | str) -> Column:
     # A split on one character needs no regular expression.
-    return F.split(F.replace(s, F.lit("  "), F.lit(" ")), " ").cast("array<int>")
+    return F.split(F.replace(F.trim(s), F.lit("  "), F.lit(" ")), " ").cast("array<int>")
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
+def _key(left: int, right: int) -> int:
+    return left << 32 | right
 
-def _merged(merges: Sequence[tuple[int, int, int]]) -> Column:
+
+def _pair_keys(symbols: Column) -> Column:
+    left = lambda p: F.shiftleft(p["left"].cast("long"), 32)
+    return F.transform(_adjacent(symbols), lambda p: left(p).bitwiseOR(p["right"].cast("long")))
+
+
+def _merged(s: Column, merges: Sequence[tuple[int, int, int]]) -> Column:
     """The framed word after ``merges``, in order.
 
-    The rules are a constant array that is folded over the word: the expression keeps
+    The rules are constant arrays that are folded over the word: the expression keeps
     its shape from pass to pass, so its generated code is compiled only once.
     """
     if not merges:
-        return F.col("s")
-    rules = F.array(*[
-        F.struct(F.lit(f" {left}  {right} ").alias("old"), F.lit(f" {new} ").alias("new"))
-        for left, right, new in merges
-    ])
-    return F.aggregate(rules, F.col("s"), lambda s, rule: F.replace(s, rule["old"], rule["new"]))
-
+        return s
+    old = F.split(F.lit(";".join(f" {left}  {right} " for left, right, _ in merges)), ";")
+    new = F.split(F.lit(";".join(f" {new} " for *_, new in merges)), ";")
+    rules = F.arrays_zip(old.alias("old"), new.alias("new"))
+    return F.aggregate(rules, s, lambda w, rule: F.replace(w, rule["old"], rule["new"]))
 
-def _open_words(state: DataFrame, merges: Sequence[tuple[int, int, int]]) -> DataFrame:
-    """The words after ``merges``, without those that are one symbol and so have no pairs."""
-    return state.select("n", _merged(merges).alias("s")).filter(F.contains("s", F.lit("  ")))
 
-
-def _best_pairs(state: DataFrame, pending, min_frequency: int, fetch: int):
-    pairs = F.inline(_adjacent(_symbols(F.trim("s")))).alias("left", "right")
-    rows = (
-        _open_words(state, pending)
-        .select("n", pairs)
-        .groupBy("left", "right")
-        .agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= min_frequency)
-        .orderBy(F.desc("n"), "left", "right")
-        .limit(fetch)
-        .collect()
-    )
-    return [(row.left, row.right) for row in rows]
+def _open(words: DataFrame) -> DataFrame:
+    """Without the words that are one symbol and so have no pairs."""
+    return words.filter(F.contains("s", F.lit("  ")))
 
 
 def _as_vocabulary(spark: SparkSession, order, spelling, merges) -> Vocabulary:
