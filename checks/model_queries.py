@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinline.functions import scores as S
+from twinline.functions import ids as I, scores as S
 from twinline.functions.text import bleu_tokenize_13a
 from twinline.operators import batching as B, bleu, runlog as R, search
 from twinline.plans.row_index import with_row_index
@@ -318,18 +318,24 @@ def h8(spark, sf):
     return expanded.select("sent_id", joined("ids").alias("ids"), six(lp).alias("lp_score"))
 
 
-def _unrolled_beam() -> dict[str, str]:
+def _unrolled_beam(steps: int = MAX_LEN, by_sentence: bool = False) -> dict[str, str]:
+    keys, scores = ("sent_id, step, prev_id", "sentence_scores") if by_sentence else ("prev_id", "transitions")
+    own = lambda t: f" AND c.sent_id=l.sent_id AND c.step={t-1}" if by_sentence else ""
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY logp DESC, next_id) AS tr FROM {scores}"
     more = {
-        "m_any": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prev_id ORDER BY logp DESC, next_id) AS tr FROM transitions) WHERE tr<={WIDTH}""",
-        "m_early": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prev_id ORDER BY logp DESC, next_id) AS tr FROM transitions WHERE next_id<>3) WHERE tr<={WIDTH}""",
+        "m_any": f"SELECT * FROM ({ranked}) WHERE tr<={WIDTH}",
+        "m_early": f"SELECT * FROM ({ranked} WHERE next_id<>3) WHERE tr<={WIDTH}",
         "m_live0": "SELECT sent_id, ids, 0.0::DOUBLE AS score, 1 AS hr FROM starts",
         "m_done0": "SELECT sent_id, ids, 0.0::DOUBLE AS score, 0 AS step, 0 AS ord FROM starts WHERE false",
     }
-    for t in range(1, MAX_LEN + 1):
+    for t in range(1, steps + 1):
         near = "m_early" if t == 1 else "m_any"
         more[f"m_cand{t}"] = f"""
             SELECT l.sent_id, list_append(l.ids, c.next_id) AS ids, l.score+c.logp AS score, c.next_id=3 AS fin, l.hr*100+c.tr AS ord
-            FROM m_live{t-1} l JOIN {near} c ON c.prev_id=l.ids[len(l.ids)]"""
+            FROM m_live{t-1} l JOIN {near} c ON c.prev_id=l.ids[len(l.ids)]{own(t)}"""
+        more[f"m_stuck{t}"] = f"""
+            SELECT sent_id, ids, score, {t} AS step, hr AS ord FROM m_live{t-1} l
+            WHERE NOT EXISTS (SELECT 1 FROM {near} c WHERE c.prev_id=l.ids[len(l.ids)]{own(t)})"""
         more[f"m_done{t}"] = f"""
             SELECT * FROM m_done{t-1} UNION ALL SELECT sent_id, ids, score, {t}, ord FROM m_cand{t} WHERE fin"""
         more[f"m_pruned{t}"] = f"""
@@ -339,10 +345,10 @@ def _unrolled_beam() -> dict[str, str]:
         more[f"m_live{t}"] = f"SELECT * FROM m_pruned{t} WHERE sent_id NOT IN (SELECT sent_id FROM m_full{t})"
         more[f"m_left{t}"] = f"SELECT * FROM m_pruned{t} WHERE sent_id IN (SELECT sent_id FROM m_full{t})"
     left = " UNION ALL ".join(
-        f"SELECT sent_id, ids, score, 99 AS step, hr AS ord FROM m_left{t}" for t in range(1, MAX_LEN + 1)
+        f"SELECT sent_id, ids, score, 99 AS step, hr AS ord FROM m_left{t} UNION ALL SELECT * FROM m_stuck{t}" for t in range(1, steps + 1)
     )
-    more["m_all"] = f"""SELECT * FROM m_done{MAX_LEN} UNION ALL {left}
-                        UNION ALL SELECT sent_id, ids, score, 99, hr FROM m_live{MAX_LEN}"""
+    more["m_all"] = f"""SELECT * FROM m_done{steps} UNION ALL {left}
+                        UNION ALL SELECT sent_id, ids, score, 99, hr FROM m_live{steps}"""
     more["m_ranked"] = f"""
         SELECT *, CAST(row_number() OVER (PARTITION BY sent_id ORDER BY lp DESC, step, ord) AS INTEGER) AS rank
         FROM (SELECT *, score/pow((5+len(ids))/6.0, {ALPHA}) AS lp FROM m_all)"""
@@ -372,7 +378,22 @@ def f6(spark, sf):
 
 @check("f8_show_alternatives", _BEAM + "SELECT * FROM beam_out")
 def f8(spark, sf):
-    return _search(spark, sf)
+    found = search.beam_hypotheses(views.starts(spark, sf), views.transitions(spark, sf), WIDTH, MAX_LEN)
+    shown = search.show_alternatives(found, ["ended", "hyp_id"], WIDTH, ALPHA)
+    return shown.select(
+        "sent_id", "rank", joined(I.strip_special_ids(F.col("ids"))).alias("ids"), six("score").alias("score"), six("lp_score").alias("lp_score")
+    )
+
+
+@check(
+    "f6_beam_search_by_sentence",
+    with_views("kinds", "walk", "sentence_scores", "starts", more=_unrolled_beam(3, by_sentence=True)) + "SELECT * FROM beam_out",
+)
+def f6_by_sentence(spark, sf):
+    found = search.beam_search(views.starts(spark, sf), views.sentence_scores(spark, sf), WIDTH, 3, ALPHA)
+    return found.select(
+        "sent_id", "rank", joined("ids").alias("ids"), six("score").alias("score"), six("lp_score").alias("lp_score")
+    )
 
 
 @check(

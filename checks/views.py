@@ -99,7 +99,7 @@ CTES = {
         SELECT event_type, CAST(3+row_number() OVER (ORDER BY event_type) AS INTEGER) AS id
         FROM (SELECT DISTINCT event_type FROM events)""",
     "walk": """
-        SELECT user_id, k.id, lead(k.id) OVER w AS next_id, row_number() OVER w AS place
+        SELECT user_id, event_id, k.id, lead(k.id) OVER w AS next_id, row_number() OVER w AS place
         FROM events JOIN kinds k USING (event_type)
         WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
     "steps": """
@@ -109,6 +109,10 @@ CTES = {
         SELECT prev_id, next_id, round(ln(n/sum(n) OVER (PARTITION BY prev_id)),9) AS logp
         FROM (SELECT prev_id, next_id, count(*)::DOUBLE AS n FROM steps GROUP BY ALL)""",
     "starts": "SELECT user_id AS sent_id, [2, id] AS ids FROM walk WHERE place=1",
+    "sentence_scores": """
+        SELECT sent_id, step, prev_id, next_id, round(ln(n/sum(n) OVER (PARTITION BY sent_id, step, prev_id)),9) AS logp
+        FROM (SELECT user_id AS sent_id, CAST(event_id%3 AS INTEGER) AS step, id AS prev_id, coalesce(next_id,3) AS next_id, count(*)::DOUBLE AS n
+              FROM walk GROUP BY ALL)""",
     "toy": f"""
         SELECT CAST(3+row_number() OVER (ORDER BY token) AS INTEGER) AS id, token
         FROM (SELECT DISTINCT unnest(string_split(w,'')) AS token
@@ -304,6 +308,7 @@ def _walk(spark: SparkSession, sf: str) -> DataFrame:
         .join(carried, ["user_id", "day"])
         .select(
             "user_id",
+            "event_id",
             "id",
             F.coalesce("same_day_id", "next_day_id").alias("next_id"),
             (F.col("first_day") & (F.col("event_id") == F.col("first_event_id"))).alias("is_first"),
@@ -326,6 +331,18 @@ def starts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def sentence_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores by sentence (a user) and step: what follows in the user's own events, dealt to three steps."""
+    counted = (
+        _walk(spark, sf)
+        .groupBy(F.col("user_id").alias("sent_id"), (F.col("event_id") % 3).cast("int").alias("step"), F.col("id").alias("prev_id"),
+                 F.coalesce("next_id", F.lit(3)).alias("next_id"))
+        .agg(F.count("*").alias("n"))
+    )
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("sent_id", "step", "prev_id"))
+    return counted.select("sent_id", "step", "prev_id", "next_id", F.round(F.ln(share), 9).alias("logp"))
+
+
 def toy_vocabulary(spark: SparkSession, sf: str) -> Vocabulary:
     """Characters of the source side, no merges."""
     return character_vocabulary(word_counts(pairs(spark, sf), "src"))

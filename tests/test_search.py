@@ -132,3 +132,44 @@ def test_a_hot_state_is_cut_before_the_shuffle(spark):
     _, transitions = _frames(spark, _table(1), [[SOS]])
     plan = search.topk_tokens(transitions, ["prev_id"], 2)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+
+
+def test_scores_by_sentence_and_step_give_each_sentence_its_own_search(spark):
+    # Every sentence has its own table, and every step of it another one.
+    starts = [[SOS], [SOS, 5], [SOS, 8], [SOS, 99]]
+    tables = {(i, step): _table(10 * i + step, size=5, dead_ends=True) for i in range(4) for step in range(4)}
+    rows = [(i, step, p, t, lp) for (i, step), table in tables.items() for p, o in table.items() for t, lp in o.items()]
+    scores = spark.createDataFrame(rows, "sent_id int, step int, prev_id int, next_id int, logp double")
+    start_df = spark.createDataFrame(list(enumerate(starts)), "sent_id int, ids array<int>")
+    got = search.beam_search(start_df, scores, 400, max_len=4, alpha=0.6).collect()
+
+    def paths(i, ids, score, step):
+        options = {t: lp for t, lp in tables[i, step].get(ids[-1], {}).items() if t != EOS or step} if step < 4 else {}
+        if not options:
+            return [(ids, score)]
+        longer = [(ids + [t], score + lp) for t, lp in options.items()]
+        return [p for x in longer for p in ([x] if x[0][-1] == EOS else paths(i, *x, step + 1))]
+
+    for i, start in enumerate(starts):
+        expected = sorted((round(_penalised(p, s, 0.6), 9), [t for t in p[1:] if t != EOS]) for p, s in paths(i, start, 0.0, 0))
+        assert sorted((round(r.lp_score, 9), r.ids) for r in got if r.sent_id == i) == expected
+    greedy = {r.sent_id: r.ids for r in search.greedy_decode(start_df, scores, max_len=5).collect()}
+    beam = {r.sent_id: r.ids for r in search.beam_search(start_df, scores, 1, max_len=4, alpha=0.0, min_len=0).collect()}
+    assert greedy == beam
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("candidates_")]
+
+
+def test_steps_over_scores_by_sentence_move_no_rows(spark):
+    scores = spark.createDataFrame([(i, 0, SOS, 4, -1.0) for i in range(50)], "sent_id long, step int, prev_id int, next_id int, logp double")
+    table, name = search.write_bucketed(search.topk_tokens(scores, ["sent_id", "step", "prev_id"], 2), "candidates", "sent_id")
+    beam = spark.createDataFrame([(i, 0, [SOS], 0.0, False) for i in range(50)], "sent_id long, hyp_id long, ids array<int>, score double, done boolean")
+    laid = beam.repartition(search._shuffle_parts(spark), "sent_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        grown = search.prune_beam(search.expand_beam(laid, table, 0, keep_ended=True), 2, ["hyp_id"], keep_ended=True)
+        plan = grown._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "REPARTITION" in plan  # the layout of the beam itself
+        assert grown.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        search.drop_bucketed(spark, name)

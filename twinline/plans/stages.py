@@ -38,6 +38,25 @@ def write_stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def write_bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
+    """Write ``df`` once, bucketed by ``key`` in as many buckets as a shuffle has parts; the table and its name.
+
+    Joins and windows on the key then read it as it lies. Remove it with :func:`drop_bucketed`.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartition(parts, key)  # so that every bucket is one file
+    writer = placed.write.bucketBy(parts, key).sortBy(key).option("compression", "zstd").option("path", f"{run_root(spark)}/{table}")
+    writer.format("parquet").saveAsTable(table)
+    return spark.table(table), table
+
+
+def drop_bucketed(spark: SparkSession, table: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    drop_stage(spark, f"{run_root(spark)}/{table}")
+
+
 def stage_bytes(spark: SparkSession, path: str) -> int:
     """Bytes of the files of a stage table."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
