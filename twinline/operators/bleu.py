@@ -12,20 +12,21 @@ MAX_ORDER = 4
 def align_hyp_ref(hyps: DataFrame, refs: DataFrame) -> DataFrame:
     """``(sent_id, hyp, ref)`` for every reference; a missing or null hypothesis is empty.
 
-    A hypothesis without a reference and a ``sent_id`` that occurs twice on one side raise
-    an error when the result is computed. One partial aggregate on ``sent_id`` does both,
-    so a later grouping by sentence finds its rows in place.
+    A hypothesis without a reference, a ``sent_id`` that occurs twice on one side and a null
+    one raise an error when the result is computed. The ids alone are counted, by hashing;
+    the texts are then joined to the counts, each moved once and never sorted by an aggregate.
     """
-    sides = hyps.select("sent_id", F.coalesce("hyp", F.lit("")).alias("hyp"), F.lit(None).cast("string").alias("ref")).unionByName(
-        refs.select("sent_id", F.lit(None).cast("string").alias("hyp"), F.coalesce("ref", F.lit("")).alias("ref"))
-    )
-    both = sides.groupBy("sent_id").agg(
-        F.max("hyp").alias("hyp"), F.max("ref").alias("ref"), F.count("hyp").alias("n_hyp"), F.count("ref").alias("n_ref")
+    ids = hyps.select("sent_id", F.lit(1).alias("h"), F.lit(0).alias("r")).unionByName(
+        refs.select("sent_id", F.lit(0).alias("h"), F.lit(1).alias("r"))
     )
+    counted = ids.groupBy("sent_id").agg(F.sum("h").alias("n_hyp"), F.sum("r").alias("n_ref"))
     fault = F.concat(F.lit("one reference and at most one hypothesis expected for sentence "), F.coalesce(F.col("sent_id").cast("string"), F.lit("null")))
-    sound = (F.col("n_ref") == 1) & (F.col("n_hyp") <= 1)
+    sound = (F.col("n_ref") == 1) & (F.col("n_hyp") <= 1) & F.col("sent_id").isNotNull()
+    checked = counted.select("sent_id", F.when(sound, F.lit(True)).otherwise(F.raise_error(fault).cast("boolean")).alias("sound"))
+    both = checked.join(refs.select("sent_id", "ref"), "sent_id", "left").join(hyps.select("sent_id", "hyp"), "sent_id", "left")
+    # The check is part of the reference, so that no plan can leave it out.
     return both.select(
-        "sent_id", F.coalesce("hyp", F.lit("")).alias("hyp"), F.when(sound, F.col("ref")).otherwise(F.raise_error(fault)).alias("ref")
+        "sent_id", F.coalesce("hyp", F.lit("")).alias("hyp"), F.when(F.col("sound"), F.coalesce("ref", F.lit(""))).alias("ref")
     )
 
 
@@ -40,44 +41,39 @@ def _grams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def _all_grams(tokens: Column, sign: int) -> Column:
-    """Every n-gram of one side as ``(n, gram, in_hyp, in_ref)``."""
+def _clipped(hyp: Column, ref: Column) -> Column:
+    """How many elements two arrays share, each as often as it occurs in both.
+
+    Both are sorted together and run through once: at the end of a run of equal elements
+    the smaller of its two counts is added.
+    """
+    tag = lambda grams, side: F.transform(grams, lambda g: F.struct(g.alias("g"), F.lit(side).alias("side")))
+    state = lambda g, h, r, total: F.struct(g.alias("g"), h.alias("h"), r.alias("r"), total.alias("total"))
+    closed = lambda s: s["total"] + F.least(s["h"], s["r"])
 
-    def tagged(n: int) -> Column:
-        return F.transform(
-            _grams(tokens, n),
-            lambda gram: F.struct(
-                F.lit(n).alias("n"),
-                gram.alias("gram"),
-                F.lit(int(sign > 0)).alias("in_hyp"),
-                F.lit(int(sign < 0)).alias("in_ref"),
-            ),
-        )
+    def step(s: Column, x: Column) -> Column:
+        h, r = (x["side"] == 0).cast("int"), (x["side"] == 1).cast("int")
+        return F.when(s["g"].eqNullSafe(x["g"]), state(x["g"], s["h"] + h, s["r"] + r, s["total"])).otherwise(state(x["g"], h, r, closed(s)))
 
-    return F.concat(*[tagged(n) for n in range(1, MAX_ORDER + 1)])
+    start = state(F.lit(None).cast("string"), F.lit(0), F.lit(0), F.lit(0))
+    return F.aggregate(F.array_sort(F.concat(tag(hyp, 0), tag(ref, 1))), start, step, closed)
 
 
 def bleu_ngram_stats(aligned: DataFrame) -> DataFrame:
-    """One row per order: ``(n, correct, total, ref_total)``.
+    """One row per order that has n-grams: ``(n, correct, total, ref_total)``.
 
-    Both sides of a sentence go through one grouping on (sentence, n-gram) instead of a
-    join of two. After an alignment join the rows already lie by sentence, so that the
-    grouping moves no data; otherwise counts combine before the shuffle.
+    Matches are clipped inside the row, so no n-gram becomes a row and nothing is moved but
+    the sums of each task.
     """
-    cut = aligned.select(
-        "sent_id",
-        bleu_tokenize_13a(F.col("hyp")).alias("h"),
-        bleu_tokenize_13a(F.col("ref")).alias("r"),
-    )
-    grams = cut.select("sent_id", F.inline(F.concat(_all_grams(F.col("h"), 1), _all_grams(F.col("r"), -1))))
-    counted = grams.groupBy("sent_id", "n", "gram").agg(
-        F.sum("in_hyp").alias("in_hyp"), F.sum("in_ref").alias("in_ref")
-    )
-    return counted.groupBy("n").agg(
-        F.sum(F.least("in_hyp", "in_ref")).alias("correct"),
-        F.sum("in_hyp").alias("total"),
-        F.sum("in_ref").alias("ref_total"),
-    )
+    cut = aligned.select(bleu_tokenize_13a(F.col("hyp")).alias("h"), bleu_tokenize_13a(F.col("ref")).alias("r"))
+    orders = range(1, MAX_ORDER + 1)
+    total = lambda side, n: F.greatest(F.size(side) - (n - 1), F.lit(0))
+    sums = {}
+    for n in orders:
+        sums |= {f"c{n}": _clipped(_grams(F.col("h"), n), _grams(F.col("r"), n)), f"t{n}": total("h", n), f"r{n}": total("r", n)}
+    summed = cut.agg(*[F.coalesce(F.sum(column), F.lit(0)).alias(name) for name, column in sums.items()])
+    each = [F.struct(F.lit(n).alias("n"), F.col(f"c{n}").alias("correct"), F.col(f"t{n}").alias("total"), F.col(f"r{n}").alias("ref_total")) for n in orders]
+    return summed.select(F.inline(F.array(*each))).filter("total + ref_total > 0")
 
 
 def corpus_bleu(aligned: DataFrame) -> DataFrame:
@@ -108,7 +104,7 @@ def corpus_bleu(aligned: DataFrame) -> DataFrame:
         .otherwise(F.lit(0.0))
     )
     return wide.select(
-        F.when(any_match & full, brevity * F.exp(logs / MAX_ORDER)).otherwise(F.lit(0.0)).alias("bleu"),
+        F.when(any_match & full, F.least(F.lit(100.0), brevity * F.exp(logs / MAX_ORDER))).otherwise(F.lit(0.0)).alias("bleu"),
         brevity.alias("brevity"),
         F.col("t1").alias("sys_len"),
         "ref_len",
