@@ -18,12 +18,9 @@ from .views import PAIRS_TO_SIDES, TRANSITIONS, joined, six, sql_join, table, wi
 SEED, BATCH = 7, 16
 
 
-def _batches(spark: SparkSession, sf: str) -> DataFrame:
-    return B.assign_batches(views.toy_pairs(spark, sf, 128), BATCH, SEED)
-
-
 def _padded(spark: SparkSession, sf: str) -> DataFrame:
-    return B.pad_batch(_batches(spark, sf))
+    pairs = views.toy_pairs(spark, sf, 128)
+    return B.pad_batch(B.assign_batches(pairs, BATCH, SEED, lengths_of=("src_ids", "tgt_ids")))
 
 
 def _sides(spark: SparkSession, sf: str) -> DataFrame:

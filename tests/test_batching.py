@@ -79,3 +79,28 @@ def test_encode_batch(spark):
     }
     whole = {(r.g, r.t): r.ids for r in codec.encode_batch(df, v, "t", max_len=4).collect()}
     assert whole[(1, "b")] == [2, 5, 3, 0] and whole[(0, "aa b")] == [2, 4, 4, 3]
+
+
+def test_whole_rows_move_once(spark):
+    pairs = spark.createDataFrame(
+        [(i, "train" if i % 3 else "test", list(range(2, 3 + i % 7)), [2, 3], "x" * 50) for i in range(40)],
+        "pair_id int, split string, src_ids array<int>, tgt_ids array<int>, note string",
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = B.assign_batches(pairs, 4, lengths_of=("src_ids", "tgt_ids"))
+        padded = B.pad_batch(placed)
+        assert padded.columns == [*pairs.columns, "batch_id", "pos"]
+        plan = padded._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and plan.count("note#") > 0
+        wide = [r for r in padded._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in r and "note" in r]
+        assert len(wide) <= 1
+        sizes = {}
+        for r in padded.collect():
+            sizes.setdefault((r.split, r.batch_id), set()).add((len(r.src_ids), len(r.tgt_ids)))
+        assert all(len(s) == 1 for s in sizes.values())
+        assert {r.split: r.n_dropped for r in B.dropped_rows(pairs, 4).collect()} == {"train": 26 % 4, "test": 0}
+        with pytest.raises(Exception, match="pair_id is not unique: 7"):
+            B.assign_batches(pairs.union(pairs.filter("pair_id = 7")), 4).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -189,6 +189,25 @@ def test_joined_and_narrow_encoding_agree(spark, real_lines):
     v = V.train_bpe(words, vocab_size=120)
     dictionary = codec.encode_words(words, v)
     narrow = {r.i: r.ids for r in codec.encode(lines, v, {"line": "ids"}).collect()}
-    for hot in (1, 5, 10_000):
+    for hot in (1, 10_000):
         joined = {r.i: r.ids for r in codec.known_word_encode(lines, dictionary, ["i"], "line", hot_words=hot).collect()}
         assert joined == narrow
+
+
+def test_words_that_are_frequent_only_in_the_text_are_shared(spark):
+    # The dictionary has never seen the most frequent word, nor a very long one.
+    v = V.train_bpe(V.word_counts(_lines(spark, LINES)), vocab_size=16)
+    dictionary = codec.encode_words(spark.createDataFrame([("ab", 2), ("cd", 2)], "word string, n long"), v)
+    texts = ["zz ab zz cd zz zz [EOS] q", "zz " * 500, "", None, "ab", "long " + "b" * 3000, "cd q q ab zz"]
+    rows = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(texts)], "i int, line string")
+    assert codec.frequent_words(rows.filter("i = 1"), 2, "line") == ["zz"]
+
+    def expected(text):
+        ids = {"ab": [12], "cd": [13], "[EOS]": [3]}
+        return [2, *[x for w in (text or "").split() for x in ids.get(w, [1] * len(w))], 3]
+
+    for hot in (1, 3, 10_000):
+        coded = codec.known_word_encode(rows, dictionary, ["i"], "line", hot_words=hot)
+        assert {r.i: r.ids for r in coded.collect()} == {i if i else None: expected(t) for i, t in enumerate(texts)}
+        plan = coded._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate ") == 1 and "explode(others" in plan

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -13,11 +14,12 @@ from ..functions.ids import attention_mask, pad_ids, strip_special_ids, truncate
 from ..functions.text import SPECIAL_TOKENS, UNK, words_for_encoding
 from ..plans.joins import join_on_groups
 from ..plans.sizing import small_side
-from ..plans.stages import write_stage
+from ..plans.stages import drop_stage, write_stage
 from .vocab import Vocabulary
 
 WORD_CACHE = 500_000
 LONGEST_CACHED = 64
+LONGEST_SHARED = 1024  # bytes of a word that is shared with all tasks
 
 
 def word_encoder(vocabulary: Vocabulary) -> Callable[[Column], Column]:
@@ -117,6 +119,50 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return words.withColumn("ids", word_encoder(vocabulary)(F.col("word")))
 
 
+def frequent_words(words: DataFrame, k: int, word: str = "words") -> list[str]:
+    """About the ``k`` most frequent of the blank-separated words, by a mergeable sketch of fixed size.
+
+    Every word that makes up more than one in ``k`` of the text is among them. Words longer
+    than ``LONGEST_SHARED`` bytes are left out, which bounds the bytes of the answer.
+    """
+    one = words.select(F.explode(F.split(word, " ")).alias("word"))
+    short = one.filter((F.col("word") != "") & (F.octet_length("word") <= LONGEST_SHARED))
+    tracked = min(4 * k, 1_000_000)
+    found = short.agg(F.expr(f"approx_top_k(word, {k}, {tracked})").alias("top")).first().top
+    return [x.item for x in found or [] if x.item is not None]
+
+
+def _placer(known: dict[str, list[int]], spark) -> Callable[[Column], Column]:
+    """Arrow UDF: blank-separated words to ``ids`` of the known words and the distinct other words.
+
+    The k-th other word stands in ``ids`` as ``-k`` (from 1), wherever it occurs.
+    """
+    shared = spark.sparkContext.broadcast(known)
+
+    def place(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = shared.value
+        for lines in batches:
+            flat, ends, cold, cold_ends = array("i"), array("i", [0]), [], array("i", [0])
+            for line in lines.to_pylist():
+                others: dict[str, int] = {}
+                for word in line.split(" ") if line else ():
+                    ids = known.get(word)
+                    if ids is None:
+                        flat.append(-others.setdefault(word, len(others) + 1))
+                    else:
+                        flat.extend(ids)
+                ends.append(len(flat))
+                cold.extend(others)
+                cold_ends.append(len(cold))
+            offsets = lambda x: pa.Array.from_buffers(pa.int32(), len(x), [None, pa.py_buffer(x)])
+            yield pa.StructArray.from_arrays(
+                [pa.ListArray.from_arrays(offsets(ends), offsets(flat)), pa.ListArray.from_arrays(offsets(cold_ends), pa.array(cold, pa.string()))],
+                ["ids", "others"],
+            )
+
+    return F.arrow_udf(place, "struct<ids: array<int>, others: array<string>>")
+
+
 def known_word_encode(
     df: DataFrame,
     dictionary: DataFrame,
@@ -124,37 +170,37 @@ def known_word_encode(
     text: str,
     hot_words: int = 50_000,
 ) -> DataFrame:
-    """Encode by joining each word with a stored dictionary ``(word, n, ids)``.
-
-    Words that make up more than one in ``hot_words`` of all counted words are broadcast:
-    there can be no more than ``hot_words`` of them, and no remaining word is frequent
-    enough to load one task. Only the rest is joined by a shuffle on the word. ``keys``
-    must identify a row. A word that the dictionary lacks becomes one UNK per character.
+    """Encode by joining each word with a stored dictionary ``(word, ids)``; gives ``keys`` and ``ids``.
+
+    The words that are frequent *in this text*, whether the dictionary has them or not, are
+    found by a sketch and shared with all tasks (at most ``hot_words`` of them), where they
+    become ids in place. The other words, each once per row, meet the dictionary by a shuffle
+    on the word; no one of them is frequent enough to load a task. Only they are grouped by row
+    again. Texts are cut once. ``keys`` must identify a row (nulls equal each other). A word
+    that the dictionary lacks becomes one UNK per character; null text encodes as empty text.
     """
-    cut = words_for_encoding(F.col(text))
-    tokens = df.select(*keys, F.posexplode_outer(cut).alias("pos", "word"))
-    counted = dictionary.agg(F.sum("n")).first()[0] or 0
-    is_frequent = F.col("n") > counted / hot_words
-    hot = dictionary.filter(is_frequent).select("word", F.col("ids").alias("hot_ids"))
-    marked = tokens.join(F.broadcast(hot), "word", "left")
-    rest = dictionary.filter(~is_frequent).select(
-        F.col("word").alias("rest_word"), F.col("ids").alias("rest_ids")
-    )
-    is_hot = marked.filter(F.col("hot_ids").isNotNull() | F.col("word").isNull())
-    cold = marked.filter(F.col("hot_ids").isNull() & F.col("word").isNotNull())
+    spark = df.sparkSession
+    cut, cut_path = write_stage(df.select(*keys, F.array_join(words_for_encoding(F.col(text)), " ").alias("words")), "cut-words")
+    hot = frequent_words(cut, hot_words)
+    known = {word: [SPECIAL_TOKENS.index(word)] if word in SPECIAL_TOKENS else [UNK] * len(word) for word in hot}
+    if hot:
+        wanted = spark.createDataFrame([(word,) for word in hot], "word string")
+        known |= {row.word: row.ids for row in dictionary.join(F.broadcast(wanted), "word").select("word", "ids").collect()}
+    placed = cut.select(*keys, _placer(known, spark)(F.coalesce("words", F.lit(""))).alias("p")).select(*keys, "p.*")
+    placed, _ = write_stage(placed, "placed-words")
+    drop_stage(spark, cut_path)
     special = F.array_position(F.array(*[F.lit(t) for t in SPECIAL_TOKENS]), F.col("word"))
-    fallback = F.when(special > 0, F.array((special - 1).cast("int"))).otherwise(
-        F.array_repeat(F.lit(UNK), F.length("word"))
-    )
-    found = is_hot.select(*keys, "pos", F.col("hot_ids").alias("ids")).unionByName(
-        cold.join(rest, F.col("word") == F.col("rest_word"), "left").select(
-            *keys, "pos", F.coalesce("rest_ids", fallback).alias("ids")
-        )
-    )
-    ordered = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids"))))
-    return found.groupBy(*keys).agg(ordered.alias("_parts")).select(
-        *keys, wrap_special(F.flatten(F.col("_parts.ids"))).alias("ids")
+    fallback = F.when(special > 0, F.array((special - 1).cast("int"))).otherwise(F.array_repeat(F.lit(UNK), F.length("word")))
+    # Not the outer form: rows without other words have nothing to look up.
+    others = placed.select(*keys, F.posexplode("others").alias("k", "word"))
+    found = others.join(dictionary.select("word", F.col("ids").alias("found")), "word", "left")
+    parts = found.groupBy(*[F.col(c).alias(f"_key_{c}") for c in keys]).agg(
+        F.array_sort(F.collect_list(F.struct("k", F.coalesce("found", fallback).alias("ids")))).alias("_parts")
     )
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in keys])
+    part = lambda x: F.get(F.col("_parts.ids"), -x - 1)
+    ids = F.flatten(F.transform("ids", lambda x: F.when(x >= 0, F.array(x)).otherwise(part(x))))
+    return placed.join(parts, same, "left").select(*keys, wrap_special(ids).alias("ids"))
 
 
 def decode(ids: Column, tokens: Sequence[str], skip_special: bool = True) -> Column:
