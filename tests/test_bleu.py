@@ -102,7 +102,7 @@ def test_texts_are_not_aggregated_and_ngrams_do_not_become_rows(spark):
     refs = spark.createDataFrame([(i, "a b c d f a b") for i in range(20)], "sent_id int, ref string")
     aligned = bleu.align_hyp_ref(hyps, refs)
     plan = bleu.corpus_bleu(aligned)._jdf.queryExecution().executedPlan().toString()
-    assert "SortAggregate" not in plan and "gram" not in plan.split("Exchange")[0] and "Generate" in plan
+    assert "SortAggregate" not in plan and plan.count("Generate") == plan.count("Generate inline(array(struct(n")
     assert all("sent_id" in line or "SinglePartition" in line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line)
     # Long runs of one word are clipped to the smaller count.
     row = bleu.bleu_ngram_stats(spark.createDataFrame([(1, "z " * 3000, "z " * 1000)], "sent_id int, hyp string, ref string")).filter("n = 1").first()

@@ -23,7 +23,9 @@ def align_hyp_ref(hyps: DataFrame, refs: DataFrame) -> DataFrame:
     fault = F.concat(F.lit("one reference and at most one hypothesis expected for sentence "), F.coalesce(F.col("sent_id").cast("string"), F.lit("null")))
     sound = (F.col("n_ref") == 1) & (F.col("n_hyp") <= 1) & F.col("sent_id").isNotNull()
     checked = counted.select("sent_id", F.when(sound, F.lit(True)).otherwise(F.raise_error(fault).cast("boolean")).alias("sound"))
-    both = checked.join(refs.select("sent_id", "ref"), "sent_id", "left").join(hyps.select("sent_id", "hyp"), "sent_id", "left")
+    # Merged, not broadcast: the parts then follow the texts, and work on long texts is spread.
+    both = checked.join(refs.select("sent_id", "ref").hint("merge"), "sent_id", "left")
+    both = both.join(hyps.select("sent_id", "hyp").hint("merge"), "sent_id", "left")
     # The check is part of the reference, so that no plan can leave it out.
     return both.select(
         "sent_id", F.coalesce("hyp", F.lit("")).alias("hyp"), F.when(F.col("sound"), F.coalesce("ref", F.lit(""))).alias("ref")
@@ -35,42 +37,44 @@ def missing_references(hyps: DataFrame, refs: DataFrame) -> DataFrame:
     return hyps.join(refs, "sent_id", "left_anti")
 
 
-def _grams(tokens: Column, n: int) -> Column:
+def _grams(tokens: Column, n: int, side: int) -> Column:
+    """63-bit hashes of all n-grams, with the side in the lowest bit."""
     starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+    hashed = F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, F.lit(n))).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(side)))
+    return F.when(F.size(tokens) >= n, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def _clipped(hyp: Column, ref: Column) -> Column:
-    """How many elements two arrays share, each as often as it occurs in both.
+def _clipped(hyp: Column, ref: Column, n: int) -> Column:
+    """How many n-grams two token lists share, each as often as it occurs in both.
 
-    Both are sorted together and run through once: at the end of a run of equal elements
-    the smaller of its two counts is added.
+    Both sides are sorted together, so equal n-grams stand in a row, those of the hypothesis
+    first; each n-gram of the reference then takes one of those that are left.
     """
-    tag = lambda grams, side: F.transform(grams, lambda g: F.struct(g.alias("g"), F.lit(side).alias("side")))
-    state = lambda g, h, r, total: F.struct(g.alias("g"), h.alias("h"), r.alias("r"), total.alias("total"))
-    closed = lambda s: s["total"] + F.least(s["h"], s["r"])
+    state = lambda gram, left, total: F.struct(gram.alias("gram"), left.alias("left"), total.alias("total"))
 
     def step(s: Column, x: Column) -> Column:
-        h, r = (x["side"] == 0).cast("int"), (x["side"] == 1).cast("int")
-        return F.when(s["g"].eqNullSafe(x["g"]), state(x["g"], s["h"] + h, s["r"] + r, s["total"])).otherwise(state(x["g"], h, r, closed(s)))
+        gram = x.bitwiseAND(F.lit(-2))
+        same = s["gram"] == gram
+        left = F.when(same, s["left"]).otherwise(0)
+        taken = (left > 0).cast("int")
+        return F.when(gram == x, state(gram, left + 1, s["total"])).otherwise(state(gram, left - taken, s["total"] + taken))
 
-    start = state(F.lit(None).cast("string"), F.lit(0), F.lit(0), F.lit(0))
-    return F.aggregate(F.array_sort(F.concat(tag(hyp, 0), tag(ref, 1))), start, step, closed)
+    start = state(F.lit(1).cast("bigint"), F.lit(0), F.lit(0))  # no n-gram is odd
+    return F.aggregate(F.sort_array(F.concat(_grams(hyp, n, 0), _grams(ref, n, 1))), start, step, lambda s: s["total"])
 
 
 def bleu_ngram_stats(aligned: DataFrame) -> DataFrame:
     """One row per order that has n-grams: ``(n, correct, total, ref_total)``.
 
     Matches are clipped inside the row, so no n-gram becomes a row and nothing is moved but
-    the sums of each task.
+    the sums of each task. The n-grams of one sentence are told apart by 63-bit hashes.
     """
     cut = aligned.select(bleu_tokenize_13a(F.col("hyp")).alias("h"), bleu_tokenize_13a(F.col("ref")).alias("r"))
     orders = range(1, MAX_ORDER + 1)
     total = lambda side, n: F.greatest(F.size(side) - (n - 1), F.lit(0))
     sums = {}
     for n in orders:
-        sums |= {f"c{n}": _clipped(_grams(F.col("h"), n), _grams(F.col("r"), n)), f"t{n}": total("h", n), f"r{n}": total("r", n)}
+        sums |= {f"c{n}": _clipped(F.col("h"), F.col("r"), n), f"t{n}": total("h", n), f"r{n}": total("r", n)}
     summed = cut.agg(*[F.coalesce(F.sum(column), F.lit(0)).alias(name) for name, column in sums.items()])
     each = [F.struct(F.lit(n).alias("n"), F.col(f"c{n}").alias("correct"), F.col(f"t{n}").alias("total"), F.col(f"r{n}").alias("ref_total")) for n in orders]
     return summed.select(F.inline(F.array(*each))).filter("total + ref_total > 0")
