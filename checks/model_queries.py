@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from twinline import workflow
 from twinline.functions import ids as I, scores as S
 from twinline.functions.text import bleu_tokenize_13a
 from twinline.operators import batching as B, bleu, runlog as R, search
@@ -181,6 +182,49 @@ def d16(spark, sf):
     return _score(bleu.corpus_bleu_capped(batched, 20))
 
 
+# ---- text to text: a stand-in model whose scores, by sentence and step, copy the source ------------
+
+WIDTH, MAX_LEN, ALPHA = 3, 6, 0.6
+COPIED = 16
+
+
+def _copy_scores(encoded: DataFrame) -> DataFrame:
+    """At each step the next source id, and the unknown token far behind."""
+    pairs = F.arrays_zip(F.col("src_ids").alias("prev_id"), F.slice("src_ids", F.lit(2), F.size("src_ids")).alias("next_id"))
+    steps = encoded.select("sent_id", F.posexplode(pairs).alias("step", "p")).select("sent_id", "step", "p.*").filter("next_id IS NOT NULL")
+    return steps.withColumn("logp", F.lit(-0.1)).unionByName(steps.select("sent_id", "step", "prev_id", F.lit(1).alias("next_id"), F.lit(-5.0).alias("logp")))
+
+
+_COPIES = {
+    "names": "SELECT map(list(id), list(token)) AS d FROM toy",
+    "said": f"""SELECT pair_id, split, src_all[2:len(src_all)-1] AS ids, tgt_all, least(len(src_all)-1, {COPIED}) AS steps FROM toy_pairs""",
+}
+
+
+@check(
+    "w1_translate_lines",
+    with_views("pairs", "toy", "toy_map", "toy_pairs", more=_COPIES)
+    + f"""SELECT pair_id AS line_no, 1 AS rank, array_to_string([d[x] for x in ids[1:{COPIED}] if x>3], ' ') AS text,
+                 round(-0.1*steps/pow((5+steps+1)/6.0, {ALPHA}), 6) AS lp_score FROM said, names""",
+)
+def w1(spark, sf):
+    lines = views.pairs(spark, sf).select(F.col("pair_id").alias("line_no"), F.col("src").alias("line"))
+    found = workflow.translate_lines(lines, views.toy_vocabulary(spark, sf), _copy_scores, WIDTH, COPIED, ALPHA)
+    return found.withColumn("lp_score", six("lp_score"))
+
+
+@check(
+    "w2_evaluate_split",
+    with_views("pairs", "toy", "toy_map", "toy_pairs", more=_COPIES | {
+        "scored": f"""SELECT pair_id AS sent_id, array_to_string([d[x] for x in ids[1:{COPIED-1}] if x>3], ' ') AS hyp,
+                             array_to_string([d[x] for x in tgt_all if x>3], ' ') AS ref FROM said, names WHERE split='test'""",
+    } | _GRAMS)
+    + "SELECT * FROM score",
+)
+def w2(spark, sf):
+    return _score(workflow.evaluate_split(views.pairs(spark, sf), views.toy_vocabulary(spark, sf), _copy_scores, max_len=COPIED))
+
+
 # ---- scores over stored model outputs ---------------------------------------------------------
 
 _LSE = {"n": "SELECT *, list_max(logits)+ln(list_sum([exp(x-list_max(logits)) for x in logits])) AS lse FROM logits"}
@@ -228,9 +272,6 @@ def h9_mean(spark, sf):
 
 # ---- search ------------------------------------------------------------------------------------
 
-WIDTH, MAX_LEN, ALPHA = 3, 6, 0.6
-
-
 @check(
     "f2_topk_tokens",
     with_views(*TRANSITIONS)

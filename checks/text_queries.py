@@ -294,6 +294,13 @@ def a6(spark, sf):
     return vocab_store.load_vocab(spark, path).vocab
 
 
+@check("a6_json_vocabulary", _LEARNED + f"SELECT v.id, token, rank FROM m_v{MERGES} v LEFT JOIN m_rules ON new_id=v.id")
+def a6_json(spark, sf):
+    path = vocab_store.export_json(_learned(spark, sf), f"{new_path(spark, 'vocabulary')}.json")
+    back = vocab_store.import_json(spark, path)
+    return back.vocab.join(back.merges.select(F.col("new_id").alias("id"), "rank"), "id", "left")
+
+
 @check("a7_get_or_train_vocab", _LEARNED + f"SELECT id, token FROM m_v{MERGES}")
 def a7(spark, sf):
     lines = views.train_lines(spark, sf)
@@ -541,12 +548,12 @@ def d6(spark, sf):
 @check(
     "d6_token_length_sample",
     with_views("lines", "line_lengths")
-    + _STATS + "(SELECT n_tokens FROM line_lengths ORDER BY doc_id, line_no LIMIT 5000)",
+    + _STATS + "(SELECT n_tokens FROM line_lengths ORDER BY doc_id, line_no LIMIT 10000)",
 )
 def d6_sample(spark, sf):
-    # A sampling operator; the number is below the 9,344 lines of sf0.01, so that it cuts there.
+    # A sampling operator: the report over the first 10,000 lines.
     return _rounded_stats(
-        lengths.token_length_stats(lengths.first_lines(line_lengths(spark, sf), ["doc_id", "line_no"], 5_000))
+        lengths.token_length_stats(lengths.first_lines(line_lengths(spark, sf), ["doc_id", "line_no"], 10_000))
     )
 
 

@@ -86,12 +86,45 @@ def test_store(spark, small, tmp_path):
     vocab_store.save_vocab(small, path)
     back = vocab_store.load_vocab(spark, path)
     assert back.tokens() == small.tokens() and back.merge_rules() == small.merge_rules()
-    # Present: loaded although the lines differ. Forced: trained again.
+    # Saved without settings: loaded although the lines differ. Forced: trained again.
     other = _lines(spark, ["zz zz"])
     assert vocab_store.get_or_train_vocab(other, path).tokens() == small.tokens()
     assert vocab_store.get_or_train_vocab(other, path, force=True).tokens()[4:] == ["z", "zz"]
 
 
+def test_other_settings_train_again_and_versions_stay(spark, tmp_path):
+    path, lines, other = str(tmp_path / "v"), _lines(spark, LINES), _lines(spark, ["zz zz"])
+    first = vocab_store.get_or_train_vocab(lines, path, vocab_size=13).tokens()
+    assert vocab_store.get_or_train_vocab(other, path, vocab_size=13).tokens() == first
+    assert len(vocab_store.get_or_train_vocab(lines, path, vocab_size=14).tokens()) == 14
+    assert vocab_store.get_or_train_vocab(other, path, vocab_size=14, follow_corpus=True).tokens()[4:] == ["z", "zz"]
+    assert vocab_store.get_or_train_vocab(other, path, vocab_size=14, follow_corpus=True).tokens()[4:] == ["z", "zz"]
+    assert [n for n, *_ in vocab_store._published(spark, path)] == [1, 2, 3]
+    # A version that was written but not published, as by a writer that died, is not seen.
+    (tmp_path / "v" / "versions" / "half" / "merges").mkdir(parents=True)
+    assert vocab_store.load_vocab(spark, path).tokens()[4:] == ["z", "zz"]
+
+
+def test_the_json_file_is_shared_with_the_tokenizers_package(spark, small, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = vocab_store.export_json(small, str(tmp_path / "v.json"))
+    theirs = tokenizers.Tokenizer.from_file(path)
+    for text in ("ab cd EF ab", "zzab q", "", "aaaa[EOS]x"):
+        assert theirs.encode(text).ids == _encode(spark, small, text)
+    theirs.save(str(tmp_path / "again.json"))
+    back = vocab_store.import_json(spark, str(tmp_path / "again.json"))
+    assert back.tokens() == small.tokens() and back.merge_rules() == small.merge_rules()
+    # Older files hold a merge as one string.
+    import json
+
+    content = json.loads((tmp_path / "v.json").read_text())
+    content["model"]["merges"] = [" ".join(m) for m in content["model"]["merges"]]
+    (tmp_path / "old.json").write_text(json.dumps(content))
+    assert vocab_store.import_json(spark, str(tmp_path / "old.json")).merge_rules() == small.merge_rules()
+    with pytest.raises(FileNotFoundError):
+        vocab_store.import_json(spark, str(tmp_path / "none.json"))
+
+
 def test_rewriting_and_short_fetches_change_nothing(spark, small):
     words = V.word_counts(_lines(spark, LINES))
     again = V.train_bpe(words, vocab_size=16, fetch=2, rewrite_after=1)
