@@ -81,6 +81,21 @@ def test_caps_filter_by_the_last_key(spark):
     assert P.cap_pairs(df, None) is df and P.cap_pairs(df, 0) is df
 
 
+def test_caps_are_exact_where_ids_repeat_or_are_null(spark):
+    rows = [(i, "train", f"s{i}", "t") for i in range(30)] + [(30, "train", f"u{i}", "t") for i in range(40)]
+    rows += [(31, "train", "same", "t")] * 50 + [(None, "train", f"n{i}", "t") for i in range(5)] + [(1 << 62, "train", "far", "t"), (-(1 << 62), "train", "low", "t")]
+    df = spark.createDataFrame(rows, "pair_id long, split string, src string, tgt string")
+    order = lambda i: (i is not None, i or 0)
+    for n in (3, 5, 6, 36, 50, 76, 90, 126, 127, 500):
+        got = P.cap_pairs(df, n).collect()
+        expected = sorted((r[0] for r in rows), key=order)[:n]
+        assert sorted((r.pair_id for r in got), key=order) == expected, n
+        # Rows are kept whole and, beyond equal ones, once.
+        assert set(map(tuple, got)) <= set(rows) and len({tuple(r) for r in got if r.pair_id == 30}) == expected.count(30)
+    assert sorted(map(tuple, P.cap_pairs(df, 50).collect()), key=str) == sorted(map(tuple, P.cap_pairs(df.repartition(5), 50).collect()), key=str)
+    assert P.cap_pairs(df.limit(0), 4).count() == 0
+
+
 def test_stages_lie_in_the_shared_folder(spark):
     df, path = stages.write_stage(spark.range(3), "t")
     assert path.startswith(stages.shared_root(spark)) and df.count() == 3

@@ -126,8 +126,14 @@ def test_running_loss_stream_ends_at_the_batch_result(spark, tmp_path):
     for part in range(3):
         rows = [(e, part * 10 + i, 1.0 + i / 7 + e, (i + part) % 4) for e in (1, 2) for i in range(10)]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    with pytest.raises(FileNotFoundError):
+        latest_loss(spark, str(tmp_path / "out"))
     log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     stream_running_loss(log, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = {r.epoch: (round(r.mean_loss, 9), r.n_tokens) for r in latest_loss(spark, str(tmp_path / "out")).collect()}
     batch = token_weighted_loss(spark.read.parquet(source))
     assert got == {r.epoch: (round(r.mean_loss, 9), r.n_tokens) for r in batch.collect()}
+    # Three micro-batches, and a read still meets one row per epoch.
+    kept = sorted((tmp_path / "out").glob("version=*"))
+    assert [k.name for k in kept] == ["version=1", "version=2"]
+    assert spark.read.parquet(str(kept[-1])).count() == 2

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.text import strip_text
 from ..plans.row_index import with_row_index
+from ..plans.selection import first_rows
 
 
 def strip_pairs(pairs: DataFrame) -> DataFrame:
@@ -22,12 +23,15 @@ def drop_empty_pairs(pairs: DataFrame) -> DataFrame:
 def cap_pairs(pairs: DataFrame, n: int | None) -> DataFrame:
     """The first ``n`` pairs by ``pair_id``; ``None`` or 0 keeps all.
 
-    Only the key column is numbered; the id of the last pair to keep then filters the
-    corpus, which is neither sorted nor written. ``pair_id`` has to be unique: pairs that
-    share the last id all stay. A null id comes first.
+    Integer ids are cut by counting alone (see :func:`first_rows`): the corpus is neither
+    sorted nor written, and exactly ``n`` rows stay even where ids repeat. Ids of other types
+    are numbered, the key column alone; pairs that share the last of them all stay. A null id
+    comes first.
     """
     if not n:
         return pairs
+    if isinstance(pairs.schema["pair_id"].dataType, T.IntegralType):
+        return first_rows(pairs, "pair_id", n)
     last = with_row_index(pairs.select("pair_id"), ["pair_id"], out="_cap_idx").filter(F.col("_cap_idx") == n - 1).first()
     if last is None:
         return pairs
