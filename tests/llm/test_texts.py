@@ -390,3 +390,21 @@ def test_equal_wordless_texts_leave_one(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(
         [(1, ""), (3, "... !"), (5, None), (6, None), (7, "one more"), (8, "é"), (9, "?"), (None, "#")], key=key
     )
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a " ', "a <b ", '<a ">" ', "<svg>", "</p>", "<option>", "<!", "<!-- ", "<head>", "<a '\">"])
+def test_a_megabyte_of_broken_markup_is_read_once(piece):
+    import time
+
+    began = time.process_time()
+    html_blocks.blocks_of("<p>first</p>" + piece * (1_000_000 // len(piece)) + "'")
+    assert time.process_time() - began < 6  # reading it anew from every piece would take hours
+
+
+def test_tags_end_outside_quotes_or_at_all():
+    texts = lambda html: [b.text for b in html_blocks.blocks_of(html)]
+    assert texts('<p title="a > b">one</p><p>two') == ["one", "two"]
+    assert texts('<p title="a > b>one</p><p>two') == ["b>one", "two"]
+    assert texts("a < b <p>c<!-- <p>no --> d <!-- open <p>gone") == ["a < b", "c d"]
+    assert texts("x <a ") == ["x <a"]
+    assert texts("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after") == ["deep", "after"]

@@ -47,10 +47,9 @@ BOILER_NAMES = set(
 )
 CONTENT_TAGS = {"article", "main"}
 
-_MARKUP = re.compile(
-    r"""<!--(?:.*?-->|.*)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>"""
-    r"""|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>""", re.S,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_QUOTE_OR_END = re.compile(r"""["'>]""")
+DEEPEST = 512  # elements that stand deeper are not opened, as in browsers
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none""", re.I)
 
@@ -72,6 +71,51 @@ def _tokens(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+class _Markup:
+    """Finds the markup of a page from left to right; no part is read again and again, however broken.
+
+    A tag ends at the first ``>`` outside quotes, or at the first one at all where quotes do not
+    close. Where an attempt by quotes has failed once, a later one that comes to the same quote
+    fails too, so it stops there.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last_end = html.rfind(">")
+        self.last_quote = {q: html.rfind(q) for q in "\"'"}
+        self.failed: set[int] = set()
+
+    def _tag_end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose attributes begin at ``at``."""
+        seen, place = [], at
+        while found := _QUOTE_OR_END.search(self.html, place):
+            if found[0] == ">":
+                return found.start()
+            opened = found.start()
+            seen.append(opened)
+            if opened in self.failed or self.last_quote[found[0]] <= opened:
+                break
+            place = self.html.index(found[0], opened + 1) + 1
+        self.failed.update(seen)
+        return self.html.index(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """``(start, end, tag, closing, attributes)`` of the next markup; the tag is empty for comments and the like."""
+        html = self.html
+        while (start := html.find("<", at)) >= 0:
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(html), "", False, ""
+            if start < self.last_end:
+                if html[start + 1] in "!?":
+                    return start, html.index(">", start + 2) + 1, "", False, ""
+                if found := _TAG.match(html, start):
+                    end = self._tag_end(found.end())
+                    return start, end + 1, found[2].lower(), bool(found[1]), html[found.end() : end]
+            at = start + 1
+        return None
+
+
 def blocks_of(html: str | None) -> list[Block]:
     """The leaf blocks of a page. Unclosed, crossing and unknown tags are taken as browsers mostly do."""
     html = html or ""
@@ -103,21 +147,24 @@ def blocks_of(html: str | None) -> list[Block]:
         state["links"] = 0
 
     at, end = 0, len(html)
+    markup, never_closed = _Markup(html), set()
     while at < end:
-        found = _MARKUP.search(html, at)
+        found = markup.next(at)
         if found is None:
             put(html[at:])
             break
-        put(html[at : found.start()])
-        at = found.end()
-        tag = (found["tag"] or found["tag2"] or "").lower()
+        start, following, tag, closing, attrs = found
+        put(html[at:start])
+        at = following
         if not tag:
             continue
-        closing = bool(found["end"] or found["end2"])
-        attrs = found["attrs"] or found["attrs2"] or ""
         if tag in SILENT_TAGS:
             if not closing and not attrs.endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>" + (r"|(?=<body\b)" if tag == "head" else ""), re.I).search(html, at)
+                stop = None
+                if tag not in never_closed:
+                    stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>" + (r"|(?=<body\b)" if tag == "head" else ""), re.I).search(html, at)
+                    if stop is None:
+                        never_closed.add(tag)
                 at = stop.end() if stop else (end if tag in ("script", "style") else at)
             continue
         if tag == "br":
@@ -143,7 +190,7 @@ def blocks_of(html: str | None) -> list[Block]:
                         break
             elif stack and stack[-1][0] == "p":
                 stack.pop()
-            if tag not in VOID_TAGS and not (tag in ("html", "body") and any(t == tag for t, _ in stack)):
+            if len(stack) < DEEPEST and tag not in VOID_TAGS and not (tag in ("html", "body") and any(t == tag for t, _ in stack)):
                 stack.append((tag, _tokens(tag, attrs)))
     flush()
     return out
