@@ -3,8 +3,9 @@
 A line is the set of its white-space-separated words. Lines with the same set are one
 class. Two classes can reach a Jaccard similarity of 4/5 only if their rarest words (a
 prefix of the set in rarity order whose length follows from its size) share one word, if
-their sizes differ little, and if the words behind the shared one still suffice. What
-passes is verified on the whole sets. DataFrame functions only.
+their sizes differ little, and if the words behind the shared one still suffice. A word
+shared by many classes of like size is not expanded into pairs: prefixes one word longer
+must then share two words. What passes is verified on the whole sets. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from ..plans.stages import drop_stage, write_stage
 
 SPACE = "[ \\x09-\\x0D]+"
 BUCKETS = 1 << 16  # rarity is counted per hash bucket of words, a table of fixed size
-DENSE = 200  # a rare word that starts more classes than this is matched through leaders first
-_HASH_BITS = 48  # of a code; the rank stands above them
+DENSE = 200  # a key that starts more classes than this gets a further word; with two words, leaders come first
+_HASH_BITS = 56  # of a code; the rank (below 128 for any 63-bit count) stands above them
 
 
 def words_of(text: Column) -> Column:
@@ -49,10 +50,10 @@ def _hashed(words: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
-def _parity(words: str, half: int) -> Column:
-    """64 of 128 bits, each telling whether an odd number of the set's words hash to it."""
-    own = lambda h: F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - half)).cast("bigint")
-    bit = lambda h: F.call_function("shiftleft", own(h), h.bitwiseAND(F.lit(63)).cast("int"))
+def _parity(words: str, half: bool) -> Column:
+    """64 bits, each telling whether an odd number of the set's words (or of one ``half`` of all words) hash to it."""
+    one = lambda h: F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(1)) if half else F.lit(1).cast("bigint")
+    bit = lambda h: F.call_function("shiftleft", one(h), h.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(words, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(bit(h)))
 
 
@@ -91,23 +92,58 @@ def _sets(docs: DataFrame, pairs: DataFrame, places: DataFrame, id_col: str, tex
     ).dropDuplicates(["id"])
 
 
-#: Length and positional filters for a word shared at the 0-based places ``pa`` and ``pb``; then parities,
-#: which differ in no more bits than the sets differ in words, and these are at most a ninth.
+#: Length and positional filters for the ``shared``-th common word, at the 0-based places ``pa`` and ``pb``; then
+#: parities of one half of all words and of the other (all words' less the half's), which together differ in no more
+#: bits than the sets differ in words, and these are at most a ninth.
 _FITS = (
-    "nb * 5 >= na * 4 AND na * 5 >= nb * 4 AND 9 * (1 + least(na - pa - 1, nb - pb - 1)) >= 4 * (na + nb)"
-    " AND 9 * (bit_count(ya ^ yb) + bit_count(za ^ zb)) <= na + nb"
+    "nb * 5 >= na * 4 AND na * 5 >= nb * 4 AND 9 * ({shared} + least(na - pa - 1, nb - pb - 1)) >= 4 * (na + nb)"
+    " AND 9 * (bit_count(ya ^ yb) + bit_count(ya ^ yb ^ za ^ zb)) <= na + nb"
 )
-#: Places that lead to every partner of at least the same size.
-_INDEXED = "{place} < {size} - (({size} * 8 + 8) div 9) + 1"
+#: Places at which the ``shared``-th common word with any partner of at least the same size stands.
+_INDEXED = "own AND place < size - ((size * 8 + 8) div 9) + {shared}"
+_SIDE = {"id": "", "size": "n", "place": "p", "parity": "y", "parity2": "z"}
 
 
-def _pairs(postings: DataFrame) -> DataFrame:
-    x = postings.select("code", F.col("id").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"), F.col("parity").alias("ya"), F.col("parity2").alias("za"))
-    y = postings.select("code", F.col("id").alias("b"), F.col("size").alias("nb"), F.col("place").alias("pb"), F.col("parity").alias("yb"), F.col("parity2").alias("zb"))
+def _side(postings: DataFrame, name: str, *more: str) -> DataFrame:
+    return postings.select("code", *[F.col(c).alias(f"{short}{name}") for c, short in _SIDE.items()], *[F.col(c).alias(f"{c}_{name}") for c in more])
+
+
+def _postings(classes: DataFrame) -> DataFrame:
+    """One row per class and prefix word, keyed by the word and the class's size band (sizes that double).
+
+    Partners are at most a fifth smaller, so they lie in the same band or, for sizes at a
+    band's lower end, in the one below, where the class then asks too (``own`` is false).
+    """
+    band = lambda size: F.length(F.bin(size))
+    held = classes.filter("prefix IS NOT NULL").select(
+        "id", "size", "parity", "parity2", "prefix", F.posexplode_outer(F.slice("prefix", F.lit(1), F.size("prefix") - 1)).alias("place", "word")
+    )
+    keyed = lambda rows, size, own: rows.withColumn("code", F.xxhash64("word", band(size))).withColumn("own", F.lit(own)).drop("word")
+    below = held.filter(band(_needed("size")) < band(F.col("size")))
+    return keyed(held, F.col("size"), True).unionByName(keyed(below, _needed("size"), False))
+
+
+def _crowded(postings: DataFrame, shared: int) -> DataFrame:
+    """Keys that more than ``DENSE`` classes can be found by."""
+    found = postings.filter(_INDEXED.format(shared=shared)).groupBy("code").agg(F.count("*").alias("m"))
+    return small_side(found.filter(f"m > {DENSE}").select("code"), "dense-words")
+
+
+def _longer(postings: DataFrame) -> DataFrame:
+    """Keys of two words: each later place of a prefix longer by one follows the first."""
+    last = F.size("prefix") - 1
+    rows = postings.filter(F.col("place") < last).withColumn("next", F.explode(F.sequence(F.col("place") + 1, last)))
+    return rows.select(
+        "id", "size", "parity", "parity2", "own", F.col("next").alias("place"), F.xxhash64("code", F.get("prefix", F.col("next"))).alias("code")
+    )
+
+
+def _pairs(postings: DataFrame, shared: int) -> DataFrame:
+    indexed = postings.withColumn("indexed", F.expr(_INDEXED.format(shared=shared)))
+    x, y = _side(indexed, "a", "indexed"), _side(indexed, "b", "indexed")
     # The smaller set is found through its shorter index prefix; of equal sizes, the one with the smaller id.
-    # "OR pa < 0" (never true) names both sides, so the test stays in the join and both sides share one shuffle.
-    found = x.join(y, "code").filter("(nb < na OR (nb = na AND b < a))").filter(_FITS)
-    found = found.filter(f"{_INDEXED.format(size='nb', place='pb')} OR pa < 0")
+    # The part after OR (never true) names both sides, so the test stays in the join and both sides share one shuffle.
+    found = x.join(y, "code").filter("(nb < na OR (nb = na AND b < a)) AND (indexed_b OR (indexed_a AND pa < 0))").filter(_FITS.format(shared=shared))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -122,21 +158,23 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text are one document. Sets are told apart by 64-bit hashes. An empty table gives an empty
     result.
 
-    A rare word shared by more than ``DENSE`` classes (a family of near copies, or lines of
-    common words) is not expanded into pairs: its classes are first compared with the
-    family's earliest class, and only classes that nothing earlier has matched go on.
+    A rare word shared by more than ``DENSE`` classes of like size (lines of common words) is
+    not expanded into pairs: its classes must share a second word of their prefixes, made one
+    longer, which leaves no pair out. Two words shared by as many (a family of near copies) have
+    their classes first compared with the family's earliest class, and only classes that nothing
+    earlier has matched go on.
     """
     ranks = _rarity(docs, text_col)
-    lines = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"),
-        F.posexplode_outer(F.split(F.col(text_col), "\n")).alias("line_no", "line"),
-    )
-    cut = lines.select("doc_id", "text_hash", "line_no", _hashed(words_of(F.col("line"))).alias("set"))
+    # The hash stands below the explode, or each line would hash the whole text again.
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.split(F.col(text_col), "\n").alias("_lines"))
+    lines = whole.select("doc_id", "text_hash", F.posexplode_outer("_lines").alias("line_no", "line"))
     rank = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), _HASH_BITS)
-    coded = F.sort_array(F.transform("set", lambda h: rank(h).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))))
-    kept = F.when(F.col("size") >= 4, F.slice(coded, F.lit(1), F.col("size") - _needed("size").cast("int") + 1))
-    keyed = cut.withColumn("size", F.size("set")).select(
-        "doc_id", "text_hash", "line_no", F.xxhash64("set").alias("key"), "size", _parity("set", 0).alias("parity"), _parity("set", 1).alias("parity2"), kept.alias("prefix")
+    code = lambda h: rank(h).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+    coded = F.sort_array(F.array_distinct(F.transform(words_of(F.col("line")), lambda w: code(F.xxhash64(w)))))
+    # One word more than the prefix, for keys of two words.
+    kept = F.when(F.col("size") >= 4, F.slice("set", F.lit(1), F.col("size") - _needed("size").cast("int") + 2))
+    keyed = lines.select("doc_id", "text_hash", "line_no", coded.alias("set")).withColumn("size", F.size("set")).select(
+        "doc_id", "text_hash", "line_no", F.xxhash64("set").alias("key"), "size", _parity("set", True).alias("parity"), _parity("set", False).alias("parity2"), kept.alias("prefix")
     )
     written, wide = write_stage(keyed, "lines")
     written = written.filter("size > 0")  # only now: a filter above would cut every line twice
@@ -149,26 +187,26 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # From here on a line is its key; the copy with prefixes and parities would only take room beside the postings.
     occurrences, _ = write_stage(written.select("doc_id", "text_hash", "line_no", "key"), "line-keys")
     drop_stage(docs.sparkSession, wide)
-    postings = classes.filter("prefix IS NOT NULL").select("id", "at", "size", "parity", "parity2", F.posexplode_outer("prefix").alias("place", "code"))
+    postings = _postings(classes)
     places = classes.select("id", "at")
-    crowd = postings.filter(_INDEXED.format(size="size", place="place")).groupBy("code").agg(F.count("*").alias("m"))
-    dense = small_side(crowd.filter(f"m > {DENSE}").select("code"), "dense-words")
-    pairs, _ = write_stage(_pairs(postings.join(dense, "code", "left_anti")), "line-pairs")
-    crowded, _ = write_stage(postings.join(dense, "code"), "dense-postings")
-    leaders = crowded.groupBy("code").agg(F.min(F.struct("at", "id", "size", "place", "parity", "parity2")).alias("first")).select(
-        "code", F.col("first.id").alias("b"), F.col("first.size").alias("nb"), F.col("first.place").alias("pb"), F.col("first.parity").alias("yb"), F.col("first.parity2").alias("zb")
-    )
-    led = crowded.select("code", F.col("id").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"), F.col("parity").alias("ya"), F.col("parity2").alias("za")).join(leaders, "code")
-    led = led.filter("a <> b").filter(_FITS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    led, _ = write_stage(led, "leader-pairs")
-    asked = pairs.unionByName(led)
+    dense = _crowded(postings, 1)
+    pairs, _ = write_stage(_pairs(postings.join(dense, "code", "left_anti").drop("prefix"), 1), "line-pairs")
+    longer, long_path = write_stage(_longer(postings.join(dense, "code")), "long-postings")
+    dense = _crowded(longer, 2)
+    asked, _ = write_stage(_pairs(longer.join(dense, "code", "left_anti"), 2), "line-pairs")
+    crowded, _ = write_stage(longer.join(dense, "code").join(places, "id"), "dense-postings")
+    drop_stage(docs.sparkSession, long_path)
+    first = F.min(F.struct("at", "id", "size", "place", "parity", "parity2")).alias("first")
+    leaders = crowded.filter("own").groupBy("code").agg(first).select("code", "first.*")
+    led = _side(crowded, "a").join(_side(leaders, "b"), "code").filter("a <> b").filter(_FITS.format(shared=2))
+    led, _ = write_stage(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "leader-pairs")
+    asked = pairs.unionByName(asked).unionByName(led).distinct()
     sets, _ = write_stage(_sets(docs, asked, places, id_col, text_col), "line-sets")
     gone, _ = write_stage(_verified(asked, sets), "later-classes")
     if not crowded.isEmpty():
         left = crowded.join(gone, "id", "left_anti")
-        x = left.select("code", F.col("id").alias("a"), F.col("size").alias("na"), F.col("place").alias("pa"), F.col("parity").alias("ya"), F.col("parity2").alias("za"), F.col("at").alias("xa"))
-        y = crowded.select("code", F.col("id").alias("b"), F.col("size").alias("nb"), F.col("place").alias("pb"), F.col("parity").alias("yb"), F.col("parity2").alias("zb"), F.col("at").alias("xb"))
-        rest = x.join(y, "code").filter("a <> b AND xb < xa").filter(_FITS).select("a", "b").distinct()
+        x, y = _side(left, "a", "at", "own"), _side(crowded, "b", "at", "own")
+        rest = x.join(y, "code").filter("a <> b AND at_b < at_a AND (own_a OR own_b)").filter(_FITS.format(shared=2)).select("a", "b").distinct()
         rest, _ = write_stage(rest, "rest-pairs")
         sets, _ = write_stage(_sets(docs, rest, places, id_col, text_col), "line-sets")
         gone = gone.unionByName(_verified(rest, sets)).distinct()
