@@ -20,14 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..plans.sizing import small_side
-from ..plans.stages import write_stage
+from ..plans.stages import drop_stage, write_stage
 from .components import connected_components
 from .words import chunks, cut, grams, mix
 
 SHINGLE = 5
 BANDS, ROWS = 20, 4
 SIGNATURE = BANDS * ROWS
-LEADERS = 2
+LEADERS = 6
 PARITIES = 16  # 64-bit words of parity bits a document
 LOW_RANK = -4  # ranks below 2**LOW_RANK form one strip; above it strips grow fourfold
 _SKETCH = T.StructType([
@@ -228,10 +228,11 @@ def near_duplicate_classes(
 
     Documents with the same shingles are one node from the start, so copies are never paired.
     In a bucket, nodes are first compared with one leader; while a bucket still holds several
-    components, ``LEADERS`` more rounds compare its nodes with another leader of that bucket,
+    components, up to ``LEADERS`` more rounds compare its nodes with another leader of that bucket,
     which differs from band to band. In buckets that are still mixed, every node outside the
     bucket's largest component then meets all nodes of other components, so no pair of a bucket
-    is left out, while nodes that are already joined never meet. Sizes and parity bits rule most
+    is left out, while nodes that are already joined never meet; a pair that shares several bands
+    is taken up in the first of them alone. Sizes and parity bits rule most
     pairs out inside these joins; what passes is verified.
 
     Null, empty and wordless texts are classes of their own and kept. Rows that repeat an id
@@ -241,53 +242,83 @@ def near_duplicate_classes(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("_t"))
     bits = [f"p{i}" for i in range(PARITIES)]
     drawn = rows.withColumn("_s", _sketch("_t")).select("doc_id", "text_hash", "_s.*")
+    spark = docs.sparkSession
     sketches, _ = write_stage(drawn, "sketches")
     alike = sketches.filter("node IS NOT NULL").groupBy("node").agg(
         F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in ("n", *bits)]
     )
-    banded = alike.select("node", "n", "text_hash", *bits, F.explode("bands").alias("band"))
+    nodes, nodes_path = write_stage(alike, "nodes")
+    # Twenty rows a node: they carry nothing but the node, until the bands of a single node are gone.
+    banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    buckets, _ = write_stage(banded.join(shared, "band"), "buckets")
-    members = small_side(buckets.select("node", "text_hash").distinct(), "members")
+    held, held_path = write_stage(banded.join(shared, "band"), "held-bands")
+    members = small_side(nodes.join(held.select("node").distinct(), "node", "left_semi").select("node", "text_hash"), "members")
+    buckets, buckets_path = write_stage(held.join(nodes.select("node", "n", *bits), "node"), "buckets")
+    drop_stage(spark, held_path)
     found = docs.select(F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).join(members, "text_hash")
-    texts, _ = write_stage(found.dropDuplicates(["node"]).select("node", "text"), "member-texts")
+    texts, texts_path = write_stage(found.dropDuplicates(["node"]).select("node", "text"), "member-texts")
 
-    comp = buckets.select("node", F.col("node").alias("comp")).distinct()
+    comp, comp_path = buckets.select("node", F.col("node").alias("comp")).distinct(), None
     edges, done = None, None
+    written = [nodes_path, buckets_path, texts_path]
+    idle = False
     for turn in ("low", *range(LEADERS), "rest"):
-        placed = buckets.drop("text_hash").join(comp, "node")
+        if idle and turn != "rest":
+            continue
+        placed = buckets.join(comp, "node")
         parts = placed.groupBy("band", "comp").agg(F.count("*").alias("m"))
         mixed = parts.groupBy("band").agg(F.max(F.struct("m", "comp")).alias("main"), F.count("*").alias("k")).filter("k > 1")
         open_ = placed.join(mixed.select("band", F.col("main.comp").alias("main")), "band")
-        y = open_.select("band", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", *bits)])
+        columns = ["node", "comp", "n", *bits]
+        once = F.col("comp") != F.col("comp_b")
         if turn == "rest":
+            # A pair is taken up in the first band it shares; of two nodes outside the main component, once.
+            before = F.filter("bands", lambda key, i: i < F.array_position("bands", F.col("band")) - 1)
+            open_, open_path = write_stage(open_.join(nodes.select("node", "bands"), "node").withColumn("earlier", before).drop("bands"), "open-buckets")
+            written.append(open_path)
+            columns.append("earlier")
             x = open_.filter("comp <> main")
+            once &= (F.col("comp_b") == F.col("main")) | (F.col("node") < F.col("node_b"))
         else:
             # In later turns every bucket draws its own leader, so a node meets as many leaders as it has bands.
             order = F.col("node") if turn == "low" else F.xxhash64("node", "band", F.lit(turn))
-            lead = open_.groupBy("band").agg(F.min(F.struct(order.alias("o"), "node", "comp", "n", *bits)).alias("l"))
+            lead = open_.groupBy("band").agg(F.min(F.struct(order.alias("o"), *columns)).alias("l"))
             x = lead.select("band", "l.*")
+        y = open_.select("band", *[F.col(c).alias(f"{c}_b") for c in columns])
         differ = " + ".join(f"bit_count({c} ^ {c}_b)" for c in bits)
         fits = (F.least("n", "n_b") >= threshold * F.greatest("n", "n_b")) & (
             (1 + threshold) * F.expr(differ) <= (1 - threshold) * (F.col("n") + F.col("n_b")) + 1e-6
         )
-        pairs = x.join(y, "band").filter("comp <> comp_b").filter(fits)
+        if turn == "rest":
+            fits &= ~F.arrays_overlap("earlier", "earlier_b")
+        pairs = x.join(y, "band").filter(once & fits)
         pairs = pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs, _ = write_stage(pairs, "candidates")
-        if pairs.isEmpty():
+        pairs, path = write_stage(pairs, "candidates")
+        written.append(path)
+        idle = pairs.isEmpty()
+        if idle:
             continue
         done = pairs if done is None else done.unionByName(pairs)
-        links, _ = write_stage(_verified(pairs, texts, threshold), "links")
-        if links.isEmpty():
+        links, path = write_stage(_verified(pairs, texts, threshold), "links")
+        written.append(path)
+        idle = links.isEmpty()
+        if idle:
             continue
         edges = links if edges is None else edges.unionByName(links)
         joined = connected_components(edges)
-        comp, _ = write_stage(
+        comp, path = write_stage(
             buckets.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")),
             "components",
         )
+        if comp_path is not None:
+            drop_stage(spark, comp_path)
+        comp_path = path
+    if comp_path is None:
+        comp, _ = write_stage(comp, "components")
+    for path in written:
+        drop_stage(spark, path)
     placed = sketches.drop("bands", *bits).join(comp.filter("comp <> node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = placed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("class_id"))
     classed = placed.join(least, "comp", "left")
