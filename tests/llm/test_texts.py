@@ -353,6 +353,22 @@ def test_page_edge_cases(spark):
     assert html_blocks.extract_main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("key", [None, 1, 3])
+def test_what_models_learn_from_is_bounded_when_ids_are_null_or_repeat(spark, key):
+    texts = spark.range(3000).select(
+        F.lit(key).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id") % 2000).alias("text"),
+        F.when(F.col("id") % 3 == 0, "en").otherwise("de").alias("lang"),
+    )
+    if key is None or zlib.crc32(str(key).encode()) % 4 != 2:
+        n = language_id.learnable(texts, 50, 2, "doc_id", "text", "lang").count()
+        assert 50 < n <= 200
+        labels = spark.createDataFrame([(key, 1)], "doc_id long, quality int")
+        rows = quality_model.labelled_rows(texts, labels, 40, "doc_id", "text", "quality")
+        assert rows.count() == (0 if key is None else 80)
+    pages = html_blocks.training_pages(texts, 30, "doc_id", "text")
+    assert 10 < pages.count() <= 60 and pages.distinct().count() == pages.count()
+
+
 # ---- queries and pipeline
 
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .words import chunks, cut, mix
 
@@ -462,23 +462,41 @@ _WEIGHTS = T.StructType([T.StructField("weights", T.BinaryType())])
 
 
 def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches), ignore_index=True)
+    held = [b for b in batches if len(b)]
+    if not held:
+        return
+    rows = pd.concat(held, ignore_index=True)
     yield pd.DataFrame({"weights": [train(rows["html"].tolist()).to_bytes()]})
 
 
+def training_pages(pages: DataFrame, max_pages: int, id_col: str, html_col: str) -> DataFrame:
+    """``_i, html``: about ``max_pages`` distinct pages, picked by a hash of the id, or of the page where the id is null.
+
+    At most twice ``max_pages`` rows, however many rows share an id; of more, those of the smallest page hash.
+    Where no id is picked, because few ids repeat over all rows, pages are picked by their own hash.
+    """
+    rows = pages.filter(F.col(html_col).isNotNull()).select(F.col(id_col).alias("_i"), F.col(html_col).alias("html"))
+    bound = F.lit(float(max_pages) / max(pages.count(), 1))
+    own = F.xxhash64("html")
+
+    def drawn(key: Column) -> DataFrame:
+        share = F.pmod(key, F.lit(1 << 30)) / F.lit(float(1 << 30))
+        return rows.filter(share < bound).distinct().orderBy(own, "_i").limit(2 * max_pages)
+
+    picked = drawn(F.when(F.col("_i").isNull(), own).otherwise(F.xxhash64("_i")))
+    return drawn(own) if picked.isEmpty() else picked
+
+
 def extract_main_text(pages: DataFrame, max_pages: int = 150, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Add ``text``, the main text of every page; all blocks that the network takes for it, whole.
 
-    About ``max_pages`` pages, picked by a hash of their id, teach the network (in one task; a
+    About ``max_pages`` pages, picked by :func:`training_pages`, teach the network (in one task; a
     training page longer than 400 blocks is learned from in part, extraction always reads all).
     Null and empty pages and pages without text give the empty string; rows that repeat are all
     answered; other columns pass through; an empty table gives an empty result.
     """
-    share = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    total = max(pages.count(), 1)
-    picked = pages.filter(F.col(html_col).isNotNull() & (share < float(max_pages) / total))
-    sample = picked.select(F.col(id_col).alias("_i"), F.col(html_col).alias("html")).repartition(1).sortWithinPartitions("_i", "html")
-    row = sample.mapInPandas(_fit, _WEIGHTS).first() if not picked.isEmpty() else None
+    sample = training_pages(pages, max_pages, id_col, html_col).repartition(1).sortWithinPartitions("_i", "html")
+    row = sample.mapInPandas(_fit, _WEIGHTS).first()
     shared = pages.sparkSession.sparkContext.broadcast(row.weights if row else Labeller().to_bytes())
 
     @F.pandas_udf(T.StringType())

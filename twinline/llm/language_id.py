@@ -163,17 +163,19 @@ def predict(filters: Filters, texts: list[str | None]) -> tuple[list[str], np.nd
     return names, scores
 
 
-def learnable(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """About ``per_language`` texts of each language, picked by a hash of the id; held-out rows never.
+def learnable(docs: DataFrame, per_language: int, kinds: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """About ``per_language`` distinct texts of each language, picked by a hash of id and text; held-out rows never.
 
     The picked share follows from the language's count, so no window gathers a language in one task.
+    At most twice as many rows as asked in all, whatever ids and texts repeat or are null.
     """
     rows = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n"))
-    share = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(F.broadcast(counts), F.col(lang_col) == F.col("_lang")).filter(
-        share < F.lit(float(per_language)) / F.col("_n")
-    ).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = rows.select(F.col(id_col).alias("_i"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+    share = F.pmod(F.xxhash64("_i", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = rows.join(F.broadcast(counts), "lang").filter(share < F.lit(float(per_language)) / F.col("_n"))
+    wanted = 2 * per_language * max(kinds, 1)
+    return picked.select("text", "lang").distinct().orderBy(F.xxhash64("text"), "lang").limit(wanted)
 
 
 def identify_languages(
@@ -187,7 +189,7 @@ def identify_languages(
     """Add ``lang_pred`` and ``score`` to every row, learning from the table's own labelled rows.
 
     ``per_language`` and ``max_texts`` bound what is learned from (texts picked by a hash of
-    the id, the same share of each language). Null and
+    id and text, the same share of each language). Null and
     letterless texts give ``und`` and 0. Repeated rows are all answered; other columns pass
     through. An empty table, or one without labels, gives ``und`` everywhere.
     """
@@ -195,7 +197,7 @@ def identify_languages(
     if kinds > max_texts:
         raise ValueError(f"more than {max_texts} languages; pass a larger max_texts")
     per_language = min(per_language, max_texts // max(kinds, 1))
-    sample = learnable(docs, per_language, id_col, text_col, lang_col).collect()  # bounded by per_language
+    sample = learnable(docs, per_language, kinds, id_col, text_col, lang_col).collect()  # at most 2 * max_texts rows
     sample.sort(key=lambda r: (r.lang, r.text))
     filters = learn([r.text for r in sample], [r.lang for r in sample])
     shared = docs.sparkSession.sparkContext.broadcast(filters)

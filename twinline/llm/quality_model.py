@@ -114,13 +114,28 @@ _MODEL = T.StructType([T.StructField("margins", T.BinaryType()), T.StructField("
 
 
 def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches), ignore_index=True)
+    held = [b for b in batches if len(b)]
+    if not held:
+        return
+    rows = pd.concat(held, ignore_index=True)
     margins, bias = train(rows["text"].fillna("").tolist(), rows["label"].astype(int).tolist()).folded()
     yield pd.DataFrame({"margins": [margins.astype(np.float32).tobytes()], "bias": [bias]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str, text_col: str, label_col: str) -> tuple[np.ndarray, float]:
-    """Train in one task on about ``max_rows`` labelled rows, picked by a hash of the id."""
+    """Train in one task on the rows of :func:`labelled_rows`."""
+    picked = labelled_rows(docs, labels, max_rows, id_col, text_col, label_col)
+    row = picked.repartition(1).sortWithinPartitions("_i", "text").mapInPandas(_fit, _MODEL).first()
+    if row is None:
+        return np.zeros(BUCKETS), 0.0
+    return np.frombuffer(row.margins, np.float32).astype(np.float64), row.bias
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """``_i, text, label``: distinct texts of about ``max_rows`` labelled ids, picked by a hash of the id.
+
+    At most twice ``max_rows`` rows, however many texts an id repeats; of more, those of the smallest text hash.
+    """
     known = labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("_i"), F.col(label_col).cast("int").alias("label")
     ).dropDuplicates(["_i"])
@@ -128,12 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str, text_col
     picked = known.filter(share < float(max_rows) / max(known.count(), 1))
     # At most about max_rows ids, so the side of this broadcast is bounded by a parameter.
     rows = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("text")).join(F.broadcast(picked), "_i")
-    sample = rows.select("_i", "text", "label").repartition(1).sortWithinPartitions("_i", "text")
-    found = sample.mapInPandas(_fit, _MODEL) if not picked.isEmpty() else None
-    row = found.first() if found is not None else None
-    if row is None:
-        return np.zeros(BUCKETS), 0.0
-    return np.frombuffer(row.margins, np.float32).astype(np.float64), row.bias
+    return rows.select("_i", "text", "label").distinct().orderBy(F.xxhash64("text"), "_i", "label").limit(2 * max_rows)
 
 
 def score_quality(
