@@ -275,6 +275,37 @@ def test_chains_equal_quadratic_search():
         assert sum(len(c) for c in found) == len(rows)
 
 
+@pytest.mark.parametrize("block", [1, 7, 64, 4096])
+def test_gaps_are_matched_in_order_whatever_their_length(monkeypatch, block):
+    def by_table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    for _ in range(60):
+        a, b = (rng.integers(0, rng.integers(1, 30), rng.integers(0, 90)).astype(np.uint64) for _ in "ab")
+        assert substring_dedup._matched(a, b) == by_table(a.tolist(), b.tolist())
+    assert substring_dedup._matched(np.arange(450), np.arange(1, 451)) == 449
+    mixed = rng.permutation(1199)
+    assert substring_dedup._matched(np.arange(1199), mixed) == substring_dedup._matched(mixed, np.arange(1199)) < 100
+
+
+def test_a_long_gap_is_matched_in_bounded_time_and_memory():
+    import time
+
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 40_000, 20_000).astype(np.uint64)
+    start = time.time()
+    assert substring_dedup._matched(a, np.delete(a, [5, 77, 9_000])) == len(a) - 3
+    assert time.time() - start < 10
+
+
 def test_equal_runs_share_seeds():
     rng = random.Random(8)
     need = substring_dedup.K + substring_dedup.GUARD - 1
