@@ -296,6 +296,21 @@ def test_gaps_are_matched_in_order_whatever_their_length(monkeypatch, block):
     assert substring_dedup._matched(np.arange(1199), mixed) == substring_dedup._matched(mixed, np.arange(1199)) < 100
 
 
+def test_first_places():
+    owner, hashes = np.array([0, 0, 0, 1, 1, 1]), np.array([7, 8, 7, 7, 9, 9], np.uint64)
+    assert substring_dedup.first_places(owner, hashes).tolist() == [True, True, False, True, True, False]
+    assert not substring_dedup.first_places(owner[:0], hashes[:0]).size
+
+
+def test_a_passage_that_stands_twice_is_named_by_its_first_place(spark):
+    rng = random.Random(8)
+    passage, other = words(rng, 60), words(rng, 30)
+    rows = [(1, " ".join(other + passage + other + passage)), (2, " ".join(words(rng, 20) + passage + words(rng, 20)))]
+    for parts in (1, 5):
+        got = substring_dedup.repeated_passages(frame(spark, rows).repartition(parts)).filter("doc_id = 2").collect()
+        assert [(r.start_word, r.end_word, r.source_start, r.source_end) for r in got] == [(20, 80, 30, 90)]
+
+
 def test_a_long_gap_is_matched_in_bounded_time_and_memory():
     import time
 
