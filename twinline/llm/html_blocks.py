@@ -408,9 +408,10 @@ class Labeller:
         return float(-np.mean(np.log(np.where(y > 0, p, 1 - p) + 1e-9)))
 
 
-def train(pages: list[str], copies: int = 4, epochs: int = 10, batch: int = 16, seed: int = 5) -> Labeller:
+def train(pages: list[str], max_blocks: int = 400, copies: int = 4, epochs: int = 10, batch: int = 16, seed: int = 5) -> Labeller:
+    """A network taught by the first ``max_blocks`` blocks of each page, as they are and in ``copies`` other wrappers."""
     rng, model, memory = np.random.default_rng(seed), Labeller(seed), []
-    real = [[(b, teacher(b.path)) for b in blocks_of(p)][:400] for p in pages]
+    real = [[(b, teacher(b.path)) for b in blocks_of(p)][:max_blocks] for p in pages]
     real = [p for p in real if p]
     for epoch in range(epochs if real else 0):
         data = real + [_rewrapped(p, rng) for p in real for _ in range(copies)]
@@ -461,12 +462,12 @@ def extract(model: Labeller, pages: list[str | None]) -> list[str]:
 _WEIGHTS = T.StructType([T.StructField("weights", T.BinaryType())])
 
 
-def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fit(batches: Iterator[pd.DataFrame], max_blocks: int) -> Iterator[pd.DataFrame]:
     held = [b for b in batches if len(b)]
     if not held:
         return
     rows = pd.concat(held, ignore_index=True)
-    yield pd.DataFrame({"weights": [train(rows["html"].tolist()).to_bytes()]})
+    yield pd.DataFrame({"weights": [train(rows["html"].tolist(), max_blocks).to_bytes()]})
 
 
 def training_pages(pages: DataFrame, max_pages: int, id_col: str, html_col: str) -> DataFrame:
@@ -487,16 +488,18 @@ def training_pages(pages: DataFrame, max_pages: int, id_col: str, html_col: str)
     return drawn(own) if picked.isEmpty() else picked
 
 
-def extract_main_text(pages: DataFrame, max_pages: int = 150, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def extract_main_text(
+    pages: DataFrame, max_pages: int = 150, id_col: str = "page_id", html_col: str = "html", max_blocks: int = 400
+) -> DataFrame:
     """Add ``text``, the main text of every page; all blocks that the network takes for it, whole.
 
     About ``max_pages`` pages, picked by :func:`training_pages`, teach the network (in one task; a
-    training page longer than 400 blocks is learned from in part, extraction always reads all).
+    training page longer than ``max_blocks`` blocks is learned from in part, extraction always reads all).
     Null and empty pages and pages without text give the empty string; rows that repeat are all
     answered; other columns pass through; an empty table gives an empty result.
     """
     sample = training_pages(pages, max_pages, id_col, html_col).repartition(1).sortWithinPartitions("_i", "html")
-    row = sample.mapInPandas(_fit, _WEIGHTS).first()
+    row = sample.mapInPandas(lambda batches: _fit(batches, max_blocks), _WEIGHTS).first()
     shared = pages.sparkSession.sparkContext.broadcast(row.weights if row else Labeller().to_bytes())
 
     @F.pandas_udf(T.StringType())
