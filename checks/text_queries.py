@@ -433,6 +433,40 @@ def e5(spark, sf):
     return batch.select("split", "pair_id", joined("ids").alias("ids"), joined("attention_mask").alias("attention_mask"))
 
 
+_BY_64 = f"SELECT pair_id, batch, {sql_join('ids')} AS ids, {sql_join('[(x<>0)::INTEGER for x in ids]')} AS attention_mask FROM wide"
+
+
+def _batch_of_64(spark, sf, max_len=None):
+    """Batches of 64 consecutive pair ids, each padded to its own longest row."""
+    rows = views.pairs(spark, sf).withColumn("batch", F.floor(F.col("pair_id") / 64))
+    batch = codec.encode_batch(rows, views.toy_vocabulary(spark, sf), "src", ["batch"], max_len)
+    return batch.select("pair_id", "batch", joined("ids").alias("ids"), joined("attention_mask").alias("attention_mask"))
+
+
+@check(
+    "b5_encode_batch_by_64_max_length",
+    with_views(*_TOY, more={
+        "cut": "SELECT pair_id, pair_id // 64 AS batch, CASE WHEN len(src_all)>48 THEN list_concat(src_all[1:47],[3]) ELSE src_all END AS ids FROM toy_pairs",
+        "wide": "SELECT pair_id, batch, list_concat(ids, [0 for i in range(max(len(ids)) OVER (PARTITION BY batch) - len(ids))]) AS ids FROM cut",
+    })
+    + _BY_64,
+)
+def b5_by_64(spark, sf):
+    return _batch_of_64(spark, sf, max_len=48)
+
+
+@check(
+    "e5_encode_batch_by_64",
+    with_views(*_TOY, more={
+        "wide": """SELECT pair_id, pair_id // 64 AS batch, list_concat(src_all, [0 for i in range(max(len(src_all)) OVER (PARTITION BY pair_id // 64) - len(src_all))]) AS ids
+                   FROM toy_pairs""",
+    })
+    + _BY_64,
+)
+def e5_by_64(spark, sf):
+    return _batch_of_64(spark, sf)
+
+
 @check(
     "b6_strip_special_ids",
     with_views(*_TOY) + f"SELECT pair_id, {sql_join('[x for x in tgt_all if x>3]')} AS ids FROM toy_pairs",
