@@ -339,3 +339,34 @@ def test_words_do_not_depend_on_the_chunk(monkeypatch):
     assert one[0] == one[3][:4] and one[4] == one[3][1:2]
     monkeypatch.setattr("twinline.llm.words.CHUNK_CHARS", 5)
     assert [(i, list(c)) for i, c in chunks(texts)] == [(0, ["Ab c-d é"]), (1, ["", ""]), (3, ["ab C d É x"]), (4, ["C"])]
+
+
+def test_changed_passage_whose_runs_all_stand_in_earlier_documents(spark):
+    rng = np.random.default_rng(5)
+    word = iter(f"w{i}" for i in rng.permutation(100_000))
+    take = lambda n: [next(word) for _ in range(n)]
+    passage = take(60)
+    changed = [next(word) if i % 5 == 4 else w for i, w in enumerate(passage)]
+    # Documents 1 to 12 hold one unchanged run of four words each, so every seed has another earliest holder.
+    thieves = [(i + 1, " ".join(take(30) + passage[5 * i : 5 * i + 4] + take(30))) for i in range(12)]
+    rows = [*thieves, (50, " ".join(take(40) + passage + take(40))), (70, " ".join(take(25) + changed + take(25)))]
+    got = substring_dedup.repeated_passages(frame(spark, rows)).collect()
+    assert [(r.doc_id, r.source_doc_id, r.start_word, r.end_word, r.source_start, r.source_end) for r in got] == [(70, 50, 25, 84, 40, 99)]
+    assert got[0].identity == pytest.approx(48 / 59)
+
+
+def test_places_are_alike_as_the_words_around_them_are(spark):
+    rng = np.random.default_rng(6)
+    for n_changed in range(0, 11):
+        text = [f"a{x}" for x in rng.integers(0, 10**9, 50)]
+        other = [f"b{x}" if i in set(rng.choice(50, n_changed, False)) else w for i, (w, x) in enumerate(zip(text, rng.integers(0, 10**9, 50)))]
+        words = substring_dedup.cut([" ".join(text), " ".join(other)])
+        at = np.arange(47)
+        bits = [substring_dedup.around(words, side)[k].view(np.int64).tolist() for side in (at, at + 50) for k in range(4)]
+        rows = spark.createDataFrame(list(zip(*bits)), " long, ".join("abcdefgh") + " long")
+        assert rows.filter(~substring_dedup.alike(list(zip("abcd", "efgh")))).count() == 0
+    # Unlike words around the same four.
+    words = substring_dedup.cut([" ".join([f"{s}{i}" if not 23 <= i < 27 else f"k{i}" for i in range(50)]) for s in "xy"])
+    bits = [substring_dedup.around(words, np.array([at]))[k].view(np.int64).tolist() for at in (23, 73) for k in range(4)]
+    rows = spark.createDataFrame(list(zip(*bits)), " long, ".join("abcdefgh") + " long")
+    assert rows.filter(substring_dedup.alike(list(zip("abcd", "efgh")))).count() == 0
