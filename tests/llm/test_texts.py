@@ -290,6 +290,32 @@ def test_copies_are_numbered_by_ranges_that_can_cut_a_group(spark, tmp_path, mon
     assert sorted(map(tuple, written), key=key) == sorted(map(tuple, expected), key=key)
 
 
+@pytest.mark.parametrize("shards", [6, 4])
+def test_the_layout_after_the_rewrite_is_that_of_the_files(spark, tmp_path, shards):
+    rows = [*ODD, (None, "same"), (None, "same"), (7, "same"), (7, "same"), *[(i, "x" * (i % 37)) for i in range(100)]]
+    docs = frame(spark, rows)
+    placed = sharding.reshard(docs, shards=shards, old_shards=4)
+    sharding.rewrite_affected(docs, placed, str(tmp_path / "out"))
+    after = sharding.after_rewrite(docs, placed, str(tmp_path / "out"))
+    assert after.columns == placed.columns
+    key = lambda r: (r[0] if r[0] is not None else -1, *r[1:])
+    assert sorted(map(tuple, after.collect()), key=key) == sorted(map(tuple, placed.collect()), key=key)
+    none = docs.limit(0)
+    sharding.rewrite_affected(none, sharding.reshard(none), str(tmp_path / "none"))
+    assert sharding.after_rewrite(none, sharding.reshard(none), str(tmp_path / "none")).count() == 0
+
+
+def test_the_sharding_query_rewrites_the_affected_shards(spark, tmp_path, monkeypatch):
+    from twinline.llm import queries
+
+    frame(spark, [(i, f"text {i}" * (i % 5)) for i in range(300)]).write.parquet(str(tmp_path / "documents.parquet"))
+    paths, rewrite = [], sharding.rewrite_affected
+    monkeypatch.setattr(sharding, "rewrite_affected", lambda docs, placed, path: (rewrite(docs, placed, path), paths.append(path)))
+    got = {(r.doc_id, r.shard, r.slot) for r in queries.QUERIES["op9_sharding"](spark, str(tmp_path)).collect()}
+    assert len(got) == 300 and len(paths) == 1
+    assert {(r.doc_id, r.shard, r.slot) for r in spark.read.parquet(paths[0]).collect()} <= got
+
+
 # ---- pages
 
 

@@ -11,16 +11,25 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..plans.row_index import with_row_index
 from ..plans.sizing import small_side
-from ..plans.stages import write_stage
+from ..plans.stages import drop_stage, write_stage
 
 ROW_OVERHEAD = 8
 BLOCKS = 32  # per old shard
 
 
+def size_of(text_col: str) -> Column:
+    """Bytes of a row: its text in UTF-8 (null: none) plus ``ROW_OVERHEAD``."""
+    return (F.coalesce(F.octet_length(text_col), F.lit(0)) + ROW_OVERHEAD).cast("long")
+
+
+def text_crc32(text_col: str) -> Column:
+    return F.crc32(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
+
+
 def old_shard(n: int) -> Column:
     """The old layout: rows dealt by key; null ids spread by their text."""
     return F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_crc32"))), F.lit(n)).cast("int")
@@ -96,10 +105,8 @@ def reshard(docs: DataFrame, shards: int = 24, old_shards: int = 16, id_col: str
     third of all rows. Rows that repeat are placed each on its own; null ids are spread by
     text. Works for fewer rows than shards; an empty table gives an empty result.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
-        F.crc32(text).cast("long").alias("text_crc32"),
+        F.col(id_col).alias("doc_id"), size_of(text_col).alias("size"), text_crc32(text_col).alias("text_crc32"),
     ).withColumn("old_shard", old_shard(old_shards))
     # Narrow rows only: 28 bytes each, whatever the texts weigh.
     ranked, _ = write_stage(with_row_index(rows, ["size", "doc_id", "text_crc32"], ["old_shard"], "rank", "total"), "ranked")
@@ -142,11 +149,28 @@ def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, id_col: str
     their group in turn.
     """
     key = ["_i", "_c"]
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_i"), F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("_c"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_i"), text_crc32(text_col).alias("_c"))
+    # The texts are written with a number each; only these numbers are sorted and meet their places.
+    wide, wide_path = write_stage(rows.withColumn("_n", F.monotonically_increasing_id()), "numbered-rows")
     every = placed.select(F.col("doc_id").alias("_i"), F.col("text_crc32").alias("_c"), "shard", "slot")
     # Copies of one row are numbered over all shards, by range partitions: a group of them may hold a third of all rows.
-    rows = with_row_index(rows.withColumn("_n", F.monotonically_increasing_id()), ["_n"], key, "_k")
+    copies = with_row_index(wide.select(*key, "_n"), ["_n"], key, "_k")
     places = with_row_index(every, ["shard", "slot"], key, "_k").select(F.col("_i").alias("_i2"), F.col("_c").alias("_c2"), F.col("_k").alias("_k2"), "shard", "slot")
     places = places.join(small_side(affected_shards(placed), "affected"), "shard", "left_semi")
-    joined = rows.join(places, F.col("_i").eqNullSafe(F.col("_i2")) & (F.col("_c") == F.col("_c2")) & (F.col("_k") == F.col("_k2")))
-    joined.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in ("shard", "slot")], "shard", "slot").write.partitionBy("shard").parquet(path)
+    found = copies.join(places, F.col("_i").eqNullSafe(F.col("_i2")) & (F.col("_c") == F.col("_c2")) & (F.col("_k") == F.col("_k2")))
+    joined = wide.join(small_side(found.select("_n", "shard", "slot"), "row-places"), "_n")
+    files = joined.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
+    files.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    drop_stage(docs.sparkSession, wide_path)
+
+
+def after_rewrite(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of :func:`reshard` as the layout now lies: affected shards from their new files, the others as placed."""
+    fields = [*[f for f in docs.schema.fields if f.name not in ("shard", "slot")], T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())]
+    files = docs.sparkSession.read.schema(T.StructType(fields)).parquet(path)
+    old = placed.select("old_shard", "shard", "slot").withColumnsRenamed({"shard": "_s", "slot": "_p"})
+    written = files.select(F.col(id_col).alias("doc_id"), size_of(text_col).alias("size"), text_crc32(text_col).alias("text_crc32"), "shard", "slot")
+    known = written.join(small_side(old, "old-shards"), (F.col("shard") == F.col("_s")) & (F.col("slot") == F.col("_p")))
+    kept = placed.join(small_side(affected_shards(placed), "affected"), "shard", "left_anti")
+    columns = ["doc_id", "size", "text_crc32", "old_shard", "shard", "slot", (F.col("shard") != F.col("old_shard")).alias("moved")]
+    return known.select(*columns).unionByName(kept.select(*columns))
