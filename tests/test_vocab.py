@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,3 +245,15 @@ def test_words_that_are_frequent_only_in_the_text_are_shared(spark):
         assert {r.i: r.ids for r in coded.collect()} == {i if i else None: expected(t) for i, t in enumerate(texts)}
         plan = coded._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Generate ") == 1 and "explode(others" in plan
+
+
+def test_a_worker_holds_the_ids_of_a_slice_only(spark, small):
+    lines = ["ab ba <unk> " * (i % 7) for i in range(2 * codec.SLICE_ROWS + 5)]
+    cut = codec.word_encoder(small).func
+    parts = list(cut(iter([pa.array(lines), pa.array(lines[:3])])))
+    assert [len(p) for p in parts] == [codec.SLICE_ROWS, codec.SLICE_ROWS, 5, 3]
+    whole = [ids for p in parts for ids in p.to_pylist()]
+    assert whole[: len(lines)] == [next(iter(cut(iter([pa.array([line])])))).to_pylist()[0] for line in lines] and whole[len(lines) :] == whole[:3]
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, t string").coalesce(1)
+    got = codec.encode(rows, small, {"t": "ids"}, add_special=False).collect()
+    assert [r.ids for r in sorted(got)] == whole[: len(lines)]

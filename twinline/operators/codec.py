@@ -17,7 +17,8 @@ from ..plans.sizing import small_side
 from ..plans.stages import drop_stage, write_stage
 from .vocab import Vocabulary
 
-WORD_CACHE = 500_000
+WORD_CACHE = 100_000
+SLICE_ROWS = 512  # rows that are turned into ids at once: bounds a worker's memory, whatever Arrow batches hold
 LONGEST_CACHED = 64
 LONGEST_SHARED = 1024  # bytes of a word that is shared with all tasks
 
@@ -36,7 +37,7 @@ def word_encoder(vocabulary: Vocabulary) -> Callable[[Column], Column]:
     for rank, (left, right, new) in enumerate(vocabulary.merge_rules()):
         rules.setdefault((left, right), (rank, new))
     shared = vocabulary.vocab.sparkSession.sparkContext.broadcast((characters, rules, specials))
-    limit, longest, unknown = WORD_CACHE, LONGEST_CACHED, UNK
+    limit, longest, rows, unknown = WORD_CACHE, LONGEST_CACHED, SLICE_ROWS, UNK
 
     def encode_word(word, characters, rules):
         # Best rule first, leftmost first; a queue keeps very long words from being slow.
@@ -67,16 +68,16 @@ def word_encoder(vocabulary: Vocabulary) -> Callable[[Column], Column]:
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         characters, rules, specials = shared.value
-        met = {token: [i] for token, i in specials.items()}
-        for lines in batches:
+        met = {token: array("i", [i]) for token, i in specials.items()}
+        for lines in (batch.slice(at, rows) for batch in batches for at in range(0, len(batch), rows)):
             flat, ends = array("i"), array("i", [0])
             for line in lines.to_pylist():
                 for word in line.split(" ") if line else ():
                     ids = met.get(word)
                     if ids is None:
-                        ids = encode_word(word, characters, rules)
+                        ids = array("i", encode_word(word, characters, rules))
                         if len(met) > limit:
-                            met = {token: [i] for token, i in specials.items()}
+                            met = {token: array("i", [i]) for token, i in specials.items()}
                         if len(word) <= longest:
                             met[word] = ids
                     flat.extend(ids)
@@ -137,11 +138,11 @@ def _placer(known: dict[str, list[int]], spark) -> Callable[[Column], Column]:
 
     The k-th other word stands in ``ids`` as ``-k`` (from 1), wherever it occurs.
     """
-    shared = spark.sparkContext.broadcast(known)
+    shared, rows = spark.sparkContext.broadcast(known), SLICE_ROWS
 
     def place(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = shared.value
-        for lines in batches:
+        for lines in (batch.slice(at, rows) for batch in batches for at in range(0, len(batch), rows)):
             flat, ends, cold, cold_ends = array("i"), array("i", [0]), [], array("i", [0])
             for line in lines.to_pylist():
                 others: dict[str, int] = {}
