@@ -9,6 +9,7 @@ import re
 import zlib
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,20 @@ def test_encoding_edge_cases(spark, path):
     assert bpe.encode_texts(frame(spark, ODD).limit(0), path).count() == 0
 
 
+def test_a_worker_encodes_slices_of_a_batch():
+    class Plain:
+        def encode(self, text):
+            return [len(text)]
+
+        def decode(self, ids):
+            return str(ids[0])
+
+    texts = pd.Series(["x" * (i % 9) for i in range(2 * bpe.SLICE_ROWS + 7)])
+    parts = list(bpe._encoded(Plain(), iter([texts, texts[:2]])))
+    assert [len(p) for p in parts] == [bpe.SLICE_ROWS, bpe.SLICE_ROWS, 7, 2]
+    assert [i for p in parts for i in p["ids"]] == [[len(t)] for t in [*texts, *texts[:2]]]
+
+
 # ---- benchmark windows
 
 
