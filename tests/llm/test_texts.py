@@ -168,6 +168,27 @@ def test_small_vocabularies_equal_plain_merging():
             assert list(codec.encode_piece(piece.encode())) == [vocabulary[p] for p in parts]
 
 
+def test_merging_pair_by_pair_equals_the_search_over_prefixes(path):
+    codec = bpe.Codec.from_json(Path(path).read_text(encoding="utf-8"))
+    rng = random.Random(7)
+    for _ in range(3000):
+        piece = rng.randbytes(rng.randint(0, 9)) if rng.random() < 0.3 else bytes(rng.choice(b"aeehinorst ") for _ in range(rng.randint(1, 40)))
+        assert tuple(codec.merge_piece(piece)) == codec.encode_piece(piece)
+    with pytest.raises(ValueError):
+        bpe.Codec({"a": 0}, [], {}).encode("b")
+
+
+def test_pieces_met_again_are_encoded_once_in_bounded_room(path, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 8)
+    codec, made = bpe.Codec.from_json(Path(path).read_text(encoding="utf-8")), []
+    for name in ("merge_piece", "encode_piece"):
+        plain = getattr(codec, name)
+        monkeypatch.setattr(codec, name, lambda piece, plain=plain: made.append(piece) or plain(piece))
+    codec.encode("".join(f" often{chr(97 + i // 26) * 3}{chr(97 + i % 26)}" if i % 3 else " often" for i in range(200)))
+    assert made.count(b" often") == 1 and len(made) > 100
+    assert len(codec.ids) + len(codec.ids.before) <= 8
+
+
 def test_encoding_edge_cases(spark, path):
     got = bpe.digests(bpe.encode_texts(frame(spark, ODD), path), "doc_id", "text").collect()
     assert len(got) == len(ODD)
