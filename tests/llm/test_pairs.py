@@ -96,6 +96,19 @@ def test_a_large_family_at_the_threshold_loses_no_link(spark):
     assert got == {i: expected[i] for i, _ in rows}
 
 
+@pytest.mark.parametrize("few", [-1, 4])
+def test_few_pairs_left_are_compared_without_further_leaders(spark, monkeypatch, few):
+    names, plain = [], minhash_dedup.write_stage
+    monkeypatch.setattr(minhash_dedup, "write_stage", lambda df, name: names.append(name) or plain(df, name))
+    monkeypatch.setattr(minhash_dedup, "FEW", few)
+    rng = random.Random(29)
+    bases = [words(rng, 100) for _ in range(16)]
+    rows = [(i, " ".join(edited(rng, bases[i // 4], rng.randint(1, 4)))) for i in range(64)]
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicate_classes(frame(spark, rows)).collect()}
+    assert got == brute_classes(rows)
+    assert names.count("candidates") <= 2 if few > 0 else names.count("candidates") > 2
+
+
 def test_parities_never_rule_out_a_similar_pair():
     rng = random.Random(23)
     for _ in range(80):
@@ -133,6 +146,14 @@ def test_signatures_estimate_weighted_similarity():
     assert abs(shared / total - sum(exact) / len(exact)) < 0.03
 
 
+def test_stars_take_no_round(spark, monkeypatch):
+    names, plain = [], components.write_stage
+    monkeypatch.setattr(components, "write_stage", lambda df, name: names.append(name) or plain(df, name))
+    edges = [("a", "c"), ("b", "a"), ("a", "c"), ("d", "e"), ("f", "f")]
+    got = {(r.node, r.comp) for r in components.connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d")} and len(names) == 1
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(f"{i:03d}", f"{i + 1:03d}") for i in range(40)] + [(f"{i:03d}", "200") for i in range(201, 260)]

@@ -7,17 +7,19 @@ from pyspark.sql import DataFrame, functions as F
 from ..plans.stages import drop_stage, write_stage
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Order-free fingerprint of an edge table."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node either hangs on one smaller node or has only larger ones hang on it."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above"))
+    )
+    return ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below + above > 1").isEmpty()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Neighbours at or below a node hang on the smallest of them."""
-    down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    hung = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return hung.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
+def _small_star(down: DataFrame) -> DataFrame:
+    """Smaller neighbours of a node hang on the smallest of them. Edges are distinct, with ``b < a``."""
+    low = down.groupBy("a").agg(F.min("b").alias("m"))
+    hung = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return hung.unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,25 +31,27 @@ def _large_star(edges: DataFrame) -> DataFrame:
     return both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """``(node, comp)`` for every node of the edges ``(a, b)``; ``comp`` is its smallest node.
+def stars(edges: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, str]:
+    """``(a, b)``: every node of the edges but a component's smallest, with that smallest node; and the stage's path.
 
-    Alternates the large-star and small-star steps until nothing changes; every round is
+    Alternates the large-star and small-star steps until only stars are left; every round is
     written to the shared folder. A hub costs no more than its edges: stars are aggregates
     and joins, which Spark can split. No edges give an empty result.
     """
-    current, path = write_stage(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    before = _mark(current)
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
+    current, path = write_stage(down.distinct(), "edges")
     for _ in range(max_rounds):
+        if _are_stars(current):
+            return current, path
         following, next_path = write_stage(_small_star(_large_star(current)), "edges")
         drop_stage(edges.sparkSession, path)
         current, path = following, next_path
-        now = _mark(current)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
+    raise RuntimeError("components did not settle")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """``(node, comp)`` for every node of the edges ``(a, b)``; ``comp`` is its smallest node. See :func:`stars`."""
+    current, _ = stars(edges, max_rounds)
     return current.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(
         current.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
     )

@@ -19,15 +19,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..plans.sizing import small_side
-from ..plans.stages import drop_stage, write_stage
-from .components import connected_components
+from ..plans.sizing import BROADCAST_BYTES, small_side
+from ..plans.stages import drop_stage, stage_bytes, write_stage
+from .components import stars
 from .words import chunks, cut, grams, mix
 
 SHINGLE = 5
 BANDS, ROWS = 20, 4
 SIGNATURE = BANDS * ROWS
 LEADERS = 6
+FEW = 0.1  # pairs a bucket row: when no more are left, they are compared without further leaders
 PARITIES = 16  # 64-bit words of parity bits a document
 LOW_RANK = -4  # ranks below 2**LOW_RANK form one strip; above it strips grow fourfold
 _SKETCH = T.StructType([
@@ -227,9 +228,9 @@ def near_duplicate_classes(
     the text, ``same_id`` the number of rows that are kept under the same id in the class.
 
     Documents with the same shingles are one node from the start, so copies are never paired.
-    In a bucket, nodes are first compared with one leader; while a bucket still holds several
-    components, up to ``LEADERS`` more rounds compare its nodes with another leader of that bucket,
-    which differs from band to band. In buckets that are still mixed, every node outside the
+    In a bucket, nodes are first compared with one leader; while the buckets that still hold several
+    components hold more than ``FEW`` pairs a bucket row, up to ``LEADERS`` more rounds compare their nodes with
+    another leader of the bucket, which differs from band to band. In buckets that are still mixed, every node outside the
     bucket's largest component then meets all nodes of other components, so no pair of a bucket
     is left out, while nodes that are already joined never meet; a pair that shares several bands
     is taken up in the first of them alone. Sizes and parity bits rule most
@@ -258,17 +259,26 @@ def near_duplicate_classes(
     found = docs.select(F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).join(members, "text_hash")
     texts, texts_path = write_stage(found.dropDuplicates(["node"]).select("node", "text"), "member-texts")
 
-    comp, comp_path = buckets.select("node", F.col("node").alias("comp")).distinct(), None
+    comp = comp_path = None  # nodes of a component named by another node
     edges, done = None, None
     written = [nodes_path, buckets_path, texts_path]
-    idle = False
-    for turn in ("low", *range(LEADERS), "rest"):
-        if idle and turn != "rest":
-            continue
-        placed = buckets.join(comp, "node")
-        parts = placed.groupBy("band", "comp").agg(F.count("*").alias("m"))
-        mixed = parts.groupBy("band").agg(F.max(F.struct("m", "comp")).alias("main"), F.count("*").alias("k")).filter("k > 1")
-        open_ = placed.join(mixed.select("band", F.col("main.comp").alias("main")), "band")
+    n_rows = buckets.count()
+    turns = ["low", *range(LEADERS), "rest"]
+    while turns:
+        turn = turns.pop(0)
+        placed = buckets.withColumn("comp", F.col("node"))
+        if comp is not None:
+            placed = buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        open_ = placed  # at first every node is a component, and every bucket is mixed
+        if turn != "low":
+            parts = placed.groupBy("band", "comp").agg(F.count("*").alias("m"))
+            sized = parts.groupBy("band").agg(F.max(F.struct("m", "comp")).alias("main"), F.count("*").alias("k"), F.sum("m").alias("size"))
+            mixed = small_side(sized.filter("k > 1").select("band", "main", "size"), "mixed-buckets")
+            if turn != "rest":
+                pairs_left = mixed.agg(F.sum((F.col("size") - F.col("main.m")) * F.col("size").cast("double"))).first()[0] or 0.0
+                if pairs_left <= FEW * n_rows:
+                    turn, turns = "rest", []
+            open_ = placed.join(mixed.select("band", F.col("main.comp").alias("main")), "band")
         columns = ["node", "comp", "n", *bits]
         once = F.col("comp") != F.col("comp_b")
         if turn == "rest":
@@ -297,29 +307,28 @@ def near_duplicate_classes(
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs, path = write_stage(pairs, "candidates")
         written.append(path)
-        idle = pairs.isEmpty()
-        if idle:
+        if pairs.isEmpty():
+            turns = turns[-1:]
             continue
         done = pairs if done is None else done.unionByName(pairs)
-        links, path = write_stage(_verified(pairs, texts, threshold), "links")
+        few = F.broadcast(pairs) if stage_bytes(spark, path) <= BROADCAST_BYTES else pairs
+        links, path = write_stage(_verified(few, texts, threshold), "links")
         written.append(path)
-        idle = links.isEmpty()
-        if idle:
+        if links.isEmpty():
+            turns = turns[-1:]
             continue
         edges = links if edges is None else edges.unionByName(links)
-        joined = connected_components(edges)
-        comp, path = write_stage(
-            buckets.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")),
-            "components",
-        )
+        joined, path = stars(edges)
+        comp = joined.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        comp = F.broadcast(comp) if stage_bytes(spark, path) <= BROADCAST_BYTES else comp
         if comp_path is not None:
             drop_stage(spark, comp_path)
         comp_path = path
-    if comp_path is None:
-        comp, _ = write_stage(comp, "components")
     for path in written:
         drop_stage(spark, path)
-    placed = sketches.drop("bands", *bits).join(comp.filter("comp <> node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = sketches.drop("bands", *bits).withColumn("comp", F.col("node"))
+    if comp is not None:
+        placed = placed.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = placed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("class_id"))
     classed = placed.join(least, "comp", "left")
     lone = F.col("node").isNull()
