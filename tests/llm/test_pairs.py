@@ -109,6 +109,19 @@ def test_few_pairs_left_are_compared_without_further_leaders(spark, monkeypatch,
     assert names.count("candidates") <= 2 if few > 0 else names.count("candidates") > 2
 
 
+def test_components_are_settled_once_and_turns_are_few(spark, monkeypatch):
+    names, settled, plain, stars = [], [], minhash_dedup.write_stage, minhash_dedup.stars
+    monkeypatch.setattr(minhash_dedup, "write_stage", lambda df, name: names.append(name) or plain(df, name))
+    monkeypatch.setattr(minhash_dedup, "stars", lambda edges: settled.append(1) or stars(edges))
+    monkeypatch.setattr(minhash_dedup, "FEW", -1)  # no turn is left out
+    rng = random.Random(31)
+    base = words(rng, 100)
+    rows = [(i, " ".join(edited(rng, base, rng.randint(2, 5)))) for i in range(120)]
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicate_classes(frame(spark, rows)).collect()}
+    assert got == brute_classes(rows)
+    assert len(settled) == 1 and names.count("candidates") <= 4
+
+
 def test_parities_never_rule_out_a_similar_pair():
     rng = random.Random(23)
     for _ in range(80):

@@ -27,7 +27,7 @@ from .words import chunks, cut, grams, mix
 SHINGLE = 5
 BANDS, ROWS = 20, 4
 SIGNATURE = BANDS * ROWS
-LEADERS = 6
+LEADERS = (3, 3)  # of every mixed bucket, drawn in each turn between the first and the last
 FEW = 0.1  # pairs a bucket row: when no more are left, they are compared without further leaders
 PARITIES = 16  # 64-bit words of parity bits a document
 LOW_RANK = -4  # ranks below 2**LOW_RANK form one strip; above it strips grow fourfold
@@ -217,6 +217,44 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return scored.filter(F.col("_s") >= threshold).select("a", "b")
 
 
+def _if_small(stage: DataFrame, path: str) -> DataFrame:
+    return F.broadcast(stage) if stage_bytes(stage.sparkSession, path) <= BROADCAST_BYTES else stage
+
+
+def _named(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """``la, lb``: the components that the two ends of the pairs are known to lie in, so far."""
+    if comp is None:
+        return pairs.withColumns({"la": F.col("a"), "lb": F.col("b")})
+    for end in "ab":
+        known = comp.select(F.col("node").alias(end), F.col("comp").alias(f"l{end}"))
+        pairs = pairs.join(known, end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
+    return pairs
+
+
+def _joined_on(links: DataFrame, comp: DataFrame | None) -> tuple[DataFrame, str]:
+    """``(node, comp)`` after the links: ``comp`` is a smaller node of the same component, not always its smallest.
+
+    Twice every end of a link, and what it hung on, hangs on the smaller of the two names. That joins most of what the
+    links join at a fixed cost; the components themselves are settled once, when all links are known.
+    """
+    spark = links.sparkSession
+    old_path = None
+    for _ in range(2):
+        ends = _named(links, comp).withColumn("low", F.least("la", "lb"))
+        told = ends.select(F.explode(F.array("a", "b", "la", "lb")).alias("node"), F.col("low").alias("comp"))
+        told = told if comp is None else told.unionByName(comp.select("node", "comp"))
+        stage, path = write_stage(told.groupBy("node").agg(F.min("comp").alias("comp")), "labels")
+        comp = _if_small(stage, path)
+        if old_path is not None:
+            drop_stage(spark, old_path)
+        old_path = path
+    further = comp.select(F.col("node").alias("comp"), F.col("comp").alias("_next"))
+    hung = comp.join(further, "comp", "left").select("node", F.coalesce("_next", "comp").alias("comp")).filter("node <> comp")
+    out = write_stage(hung, "labels")
+    drop_stage(spark, old_path)
+    return out
+
+
 def near_duplicate_classes(
     docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -228,13 +266,14 @@ def near_duplicate_classes(
     the text, ``same_id`` the number of rows that are kept under the same id in the class.
 
     Documents with the same shingles are one node from the start, so copies are never paired.
-    In a bucket, nodes are first compared with one leader; while the buckets that still hold several
-    components hold more than ``FEW`` pairs a bucket row, up to ``LEADERS`` more rounds compare their nodes with
-    another leader of the bucket, which differs from band to band. In buckets that are still mixed, every node outside the
+    In a bucket, nodes are first compared with its smallest one; while the buckets that still hold several
+    components hold more than ``FEW`` pairs a bucket row, their nodes are compared with ``LEADERS`` other nodes of the
+    bucket a turn, which differ from band to band. In buckets that are still mixed, every node outside the
     bucket's largest component then meets all nodes of other components, so no pair of a bucket
     is left out, while nodes that are already joined never meet; a pair that shares several bands
-    is taken up in the first of them alone. Sizes and parity bits rule most
-    pairs out inside these joins; what passes is verified.
+    is taken up in one of them alone. Sizes and parity bits rule most
+    pairs out inside these joins; what passes is verified. Until all links are known, the components in
+    this are partial ones (``_joined_on``), so that a turn takes few shuffles; a node known to be in one is.
 
     Null, empty and wordless texts are classes of their own and kept. Rows that repeat an id
     and a text are equal members of a class (each is returned). A null id never names a class
@@ -252,83 +291,98 @@ def near_duplicate_classes(
     # Twenty rows a node: they carry nothing but the node, until the bands of a single node are gone.
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    held, held_path = write_stage(banded.join(shared, "band"), "held-bands")
-    members = small_side(nodes.join(held.select("node").distinct(), "node", "left_semi").select("node", "text_hash"), "members")
-    buckets, buckets_path = write_stage(held.join(nodes.select("node", "n", *bits), "node"), "buckets")
-    drop_stage(spark, held_path)
-    found = docs.select(F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).join(members, "text_hash")
+    held = banded.join(shared.select("band", "low"), "band").groupBy("node").agg(F.collect_set(F.struct("band", "low")).alias("held"))
+    # One row a node, with its bands that others share and the smallest node of each.
+    members, members_path = write_stage(nodes.select("node", "text_hash", "n", *bits).join(held, "node"), "members")
+    drop_stage(spark, nodes_path)
+    known = _if_small(members, members_path)
+    found = docs.select(F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).join(known.select("node", "text_hash"), "text_hash")
     texts, texts_path = write_stage(found.dropDuplicates(["node"]).select("node", "text"), "member-texts")
+    n_rows, text_bytes = members.agg(F.sum(F.size("held"))).first()[0] or 0, texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    near_texts = F.broadcast(texts) if text_bytes <= BROADCAST_BYTES else texts
 
+    columns = ["n", *bits]
+    differ = " + ".join(f"bit_count({c} ^ {c}_b)" for c in bits)
+    fits = (F.least("n", "n_b") >= threshold * F.greatest("n", "n_b")) & (
+        (1 + threshold) * F.expr(differ) <= (1 - threshold) * (F.col("n") + F.col("n_b")) + 1e-6
+    )
     comp = comp_path = None  # nodes of a component named by another node
-    edges, done = None, None
-    written = [nodes_path, buckets_path, texts_path]
-    n_rows = buckets.count()
-    turns = ["low", *range(LEADERS), "rest"]
+    edges, done, done_bytes = None, None, 0
+    written = [members_path, texts_path]
+    turns = ["low", *LEADERS, "rest"]
     while turns:
         turn = turns.pop(0)
-        placed = buckets.withColumn("comp", F.col("node"))
+        placed = members.withColumn("comp", F.col("node"))
         if comp is not None:
-            placed = buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = placed  # at first every node is a component, and every bucket is mixed
-        if turn != "low":
-            parts = placed.groupBy("band", "comp").agg(F.count("*").alias("m"))
-            sized = parts.groupBy("band").agg(F.max(F.struct("m", "comp")).alias("main"), F.count("*").alias("k"), F.sum("m").alias("size"))
-            mixed = small_side(sized.filter("k > 1").select("band", "main", "size"), "mixed-buckets")
+            placed = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        if turn == "low":  # at first every node is a component, and every bucket is mixed
+            met = members.withColumn("lead", F.explode(F.array_distinct(F.col("held.low")))).filter("node <> lead")
+        else:
+            buckets = placed.withColumn("band", F.explode("held.band"))
+            drawn = [F.min(F.struct(F.xxhash64("node", "band", F.lit(turn * len(turns) + i)).alias("o"), "node")) for i in range(0 if turn == "rest" else turn)]
+            parts = buckets.groupBy("band", "comp").agg(F.count("*").alias("m"), *[c.alias(f"l{i}") for i, c in enumerate(drawn)])
+            sized = parts.groupBy("band").agg(
+                F.max(F.struct("m", "comp")).alias("main"), F.count("*").alias("k"), F.sum("m").alias("size"),
+                F.array_distinct(F.array(*[F.min(f"l{i}")["node"] for i in range(len(drawn))])).cast("array<binary>").alias("leads"),
+            )
+            mixed, path = write_stage(sized.filter("k > 1").select("band", "main", "size", "leads"), "mixed-buckets")
+            written.append(path)
             if turn != "rest":
                 pairs_left = mixed.agg(F.sum((F.col("size") - F.col("main.m")) * F.col("size").cast("double"))).first()[0] or 0.0
                 if pairs_left <= FEW * n_rows:
                     turn, turns = "rest", []
-            open_ = placed.join(mixed.select("band", F.col("main.comp").alias("main")), "band")
-        columns = ["node", "comp", "n", *bits]
-        once = F.col("comp") != F.col("comp_b")
+            open_ = buckets.join(_if_small(mixed, path).select("band", F.col("main.comp").alias("main"), "leads"), "band")
         if turn == "rest":
-            # A pair is taken up in the first band it shares; of two nodes outside the main component, once.
-            before = F.filter("bands", lambda key, i: i < F.array_position("bands", F.col("band")) - 1)
-            open_, open_path = write_stage(open_.join(nodes.select("node", "bands"), "node").withColumn("earlier", before).drop("bands"), "open-buckets")
-            written.append(open_path)
-            columns.append("earlier")
-            x = open_.filter("comp <> main")
-            once &= (F.col("comp_b") == F.col("main")) | (F.col("node") < F.col("node_b"))
+            # A pair is taken up in the smallest band it shares; of two nodes outside the main component, once.
+            before = F.filter("held.band", lambda key: key < F.col("band"))
+            open_, path = write_stage(open_.select("node", "comp", "main", "band", *columns, before.alias("earlier")), "open-buckets")
+            written.append(path)
+            x, sides = open_.filter("comp <> main"), ["node", "comp", *columns, "earlier"]
+            y = open_.select("band", *[F.col(c).alias(f"{c}_b") for c in sides])
+            once = (F.col("comp") != F.col("comp_b")) & ((F.col("comp_b") == F.col("main")) | (F.col("node") < F.col("node_b")))
+            pairs = x.join(y, "band").filter(once & fits & ~F.arrays_overlap("earlier", "earlier_b"))
         else:
-            # In later turns every bucket draws its own leader, so a node meets as many leaders as it has bands.
-            order = F.col("node") if turn == "low" else F.xxhash64("node", "band", F.lit(turn))
-            lead = open_.groupBy("band").agg(F.min(F.struct(order.alias("o"), *columns)).alias("l"))
-            x = lead.select("band", "l.*")
-        y = open_.select("band", *[F.col(c).alias(f"{c}_b") for c in columns])
-        differ = " + ".join(f"bit_count({c} ^ {c}_b)" for c in bits)
-        fits = (F.least("n", "n_b") >= threshold * F.greatest("n", "n_b")) & (
-            (1 + threshold) * F.expr(differ) <= (1 - threshold) * (F.col("n") + F.col("n_b")) + 1e-6
-        )
-        if turn == "rest":
-            fits &= ~F.arrays_overlap("earlier", "earlier_b")
-        pairs = x.join(y, "band").filter(once & fits)
-        pairs = pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
+            if turn != "low":
+                met = open_.withColumn("lead", F.explode("leads"))
+            lead = members.select(F.col("node").alias("lead"), *[F.col(c).alias(f"{c}_b") for c in columns])
+            if turn != "low":
+                lead = placed.select(F.col("node").alias("lead"), F.col("comp").alias("comp_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+            lead = F.broadcast(lead) if stage_bytes(spark, members_path) <= BROADCAST_BYTES else lead
+            pairs = met.join(lead, "lead").withColumnRenamed("lead", "node_b")
+            pairs = pairs.filter(fits if turn == "low" else (F.col("comp") != F.col("comp_b")) & fits)
+        pairs = pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
+        if turn not in ("low", "rest"):  # in those no pair comes twice
+            pairs = pairs.distinct()
         if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+            pairs = pairs.join(F.broadcast(done) if done_bytes <= BROADCAST_BYTES else done, ["a", "b"], "left_anti")
         pairs, path = write_stage(pairs, "candidates")
         written.append(path)
-        if pairs.isEmpty():
+        if not pairs.count():
             turns = turns[-1:]
             continue
-        done = pairs if done is None else done.unionByName(pairs)
-        few = F.broadcast(pairs) if stage_bytes(spark, path) <= BROADCAST_BYTES else pairs
-        links, path = write_stage(_verified(few, texts, threshold), "links")
+        done, done_bytes = pairs if done is None else done.unionByName(pairs), done_bytes + stage_bytes(spark, path)
+        links, path = write_stage(_verified(_if_small(pairs, path), near_texts, threshold), "links")
         written.append(path)
-        if links.isEmpty():
+        if not links.count():
             turns = turns[-1:]
             continue
         edges = links if edges is None else edges.unionByName(links)
-        joined, path = stars(edges)
-        comp = joined.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-        comp = F.broadcast(comp) if stage_bytes(spark, path) <= BROADCAST_BYTES else comp
-        if comp_path is not None:
-            drop_stage(spark, comp_path)
-        comp_path = path
-    for path in written:
-        drop_stage(spark, path)
+        if turns:
+            hung, path = _joined_on(links, comp)
+            comp = _if_small(hung, path)
+            if comp_path is not None:
+                drop_stage(spark, comp_path)
+            comp_path = path
     placed = sketches.drop("bands", *bits).withColumn("comp", F.col("node"))
     if comp is not None:
         placed = placed.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    if edges is not None:
+        # The partial components are joined to whole ones by the links between them.
+        settled, path = stars(_named(edges, comp).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        whole = _if_small(settled, path).select(F.col("a").alias("comp"), F.col("b").alias("_whole"))
+        placed = placed.join(whole, "comp", "left").withColumn("comp", F.coalesce("_whole", "comp")).drop("_whole")
+    for path in written:
+        drop_stage(spark, path)
     least = placed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("class_id"))
     classed = placed.join(least, "comp", "left")
     lone = F.col("node").isNull()
