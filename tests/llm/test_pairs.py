@@ -231,6 +231,15 @@ def test_lines_are_removed_as_by_brute_force(spark, monkeypatch, dense):
     assert line_dedup.remove_later_lines(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_codes_of_a_line_are_sorted_as_plain_numbers(spark):
+    ranks = F.array(*[F.lit(1 + i % 40).cast("bigint") for i in range(8)])
+    rows = spark.createDataFrame([("b a  a c",), ("",), (None,)], "line string")
+    got = rows.select(line_dedup._coded(line_dedup.words_of(F.col("line")), ranks).alias("set"))
+    assert not got.schema["set"].dataType.containsNull  # else every number is boxed and compared as an object
+    sets = [r.set for r in got.collect()]
+    assert [s and len(s) for s in sets] == [3, [], None] and sets[0] == sorted(sets[0])
+
+
 def test_repeated_rows_are_one_document(spark):
     rows = [(1, "a b\nc d"), (1, "a b\nc d"), (2, "c d\ne")]
     got = sorted((r.doc_id, r.text, r.n_lines) for r in line_dedup.remove_later_lines(frame(spark, rows)).collect())

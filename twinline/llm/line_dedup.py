@@ -45,6 +45,14 @@ def _rarity(docs: DataFrame, text_col: str) -> Column:
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
+def _coded(words: Column, ranks: Column) -> Column:
+    """The set of words of a line, as sorted codes: the rarest words first."""
+    # Two steps, or each word would be hashed twice; and codes that cannot be null are sorted as plain numbers.
+    rank = lambda h: F.coalesce(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("bigint"))
+    code = lambda h: F.shiftleft(rank(h), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), code)))
+
+
 def _hashed(words: Column) -> Column:
     """The set of words of a line, as sorted 64-bit hashes."""
     return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
@@ -168,12 +176,9 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # The hash stands below the explode, or each line would hash the whole text again.
     whole = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.split(F.col(text_col), "\n").alias("_lines"))
     lines = whole.select("doc_id", "text_hash", F.posexplode_outer("_lines").alias("line_no", "line"))
-    rank = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), _HASH_BITS)
-    code = lambda h: rank(h).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
-    coded = F.sort_array(F.array_distinct(F.transform(words_of(F.col("line")), lambda w: code(F.xxhash64(w)))))
     # One word more than the prefix, for keys of two words.
     kept = F.when(F.col("size") >= 4, F.slice("set", F.lit(1), F.col("size") - _needed("size").cast("int") + 2))
-    keyed = lines.select("doc_id", "text_hash", "line_no", coded.alias("set")).withColumn("size", F.size("set")).select(
+    keyed = lines.select("doc_id", "text_hash", "line_no", _coded(words_of(F.col("line")), ranks).alias("set")).withColumn("size", F.size("set")).select(
         "doc_id", "text_hash", "line_no", F.xxhash64("set").alias("key"), "size", _parity("set", True).alias("parity"), _parity("set", False).alias("parity2"), kept.alias("prefix")
     )
     written, wide = write_stage(keyed, "lines")
