@@ -240,6 +240,29 @@ def test_codes_of_a_line_are_sorted_as_plain_numbers(spark):
     assert [s and len(s) for s in sets] == [3, [], None] and sets[0] == sorted(sets[0])
 
 
+def test_a_class_is_found_in_the_band_above_at_few_places(spark):
+    prefix = lambda n: list(range(n - (4 * n + 4) // 5 + 2))
+    rows = spark.createDataFrame([(n, n, 0, 0, prefix(n)) for n in (33, 51, 60)], "id long, size int, parity long, parity2 long, prefix array<bigint>")
+    got = sorted((r.id, r.own, r["count"]) for r in line_dedup._postings(rows).groupBy("id", "own").count().collect())
+    # 33 words, a band's lower end, need no second key; 60 have 8 that a partner of 64 or more may not share.
+    assert got == [(33, True, 7), (51, True, 11), (60, False, 5), (60, True, 13)]
+
+
+@pytest.mark.parametrize("dense", [200, 1])
+def test_lines_are_found_across_size_bands(spark, monkeypatch, dense):
+    monkeypatch.setattr(line_dedup, "DENSE", dense)
+    rng = random.Random(dense)
+    rows = []
+    for n in (8, 16, 33, 64, 65, 70, 78):
+        base = words(rng, n, 9)
+        for left in ((4 * n + 4) // 5, (4 * n + 4) // 5 - 1):  # just enough words, and one too few
+            part = rng.sample(base, left)
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(part)), (len(rows) + 2, " ".join(part[1:] + ["new"]))][:: rng.choice([1, -1])]
+    rows = list(enumerate(text for _, text in rows))
+    got = line_dedup.remove_later_lines(frame(spark, rows))
+    assert sorted(((r.doc_id, r.text, r.n_removed) for r in got.collect()), key=repr) == brute_lines(rows)
+
+
 def test_repeated_rows_are_one_document(spark):
     rows = [(1, "a b\nc d"), (1, "a b\nc d"), (2, "c d\ne")]
     got = sorted((r.doc_id, r.text, r.n_lines) for r in line_dedup.remove_later_lines(frame(spark, rows)).collect())

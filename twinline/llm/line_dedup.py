@@ -47,10 +47,11 @@ def _rarity(docs: DataFrame, text_col: str) -> Column:
 
 def _coded(words: Column, ranks: Column) -> Column:
     """The set of words of a line, as sorted codes: the rarest words first."""
-    # Two steps, or each word would be hashed twice; and codes that cannot be null are sorted as plain numbers.
+    # Two steps, or each word would be hashed twice; words that come again get no code, and codes that cannot be null
+    # are sorted as plain numbers.
     rank = lambda h: F.coalesce(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("bigint"))
     code = lambda h: F.shiftleft(rank(h), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
-    return F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), code)))
+    return F.sort_array(F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), code))
 
 
 def _hashed(words: Column) -> Column:
@@ -107,8 +108,10 @@ _FITS = (
     "nb * 5 >= na * 4 AND na * 5 >= nb * 4 AND 9 * ({shared} + least(na - pa - 1, nb - pb - 1)) >= 4 * (na + nb)"
     " AND 9 * (bit_count(ya ^ yb) + bit_count(ya ^ yb ^ za ^ zb)) <= na + nb"
 )
-#: Places at which the ``shared``-th common word with any partner of at least the same size stands.
-_INDEXED = "own AND place < size - ((size * 8 + 8) div 9) + {shared}"
+#: Places at which the ``shared``-th common word with any partner of at least ``partner`` words stands.
+_PLACES = "(size - ((4 * (size + {partner}) + 8) div 9) + {shared})"
+#: 1 for a class that asks under the key, and 2 for one that is found by it.
+_ROLE = "int(own) + 2 * int(NOT own OR place < " + _PLACES.format(partner="size", shared="{shared}") + ")"
 _SIDE = {"id": "", "size": "n", "place": "p", "parity": "y", "parity2": "z"}
 
 
@@ -119,39 +122,41 @@ def _side(postings: DataFrame, name: str, *more: str) -> DataFrame:
 def _postings(classes: DataFrame) -> DataFrame:
     """One row per class and prefix word, keyed by the word and the class's size band (sizes that double).
 
-    Partners are at most a fifth smaller, so they lie in the same band or, for sizes at a
-    band's lower end, in the one below, where the class then asks too (``own`` is false).
+    Partners are at most a quarter larger, so they lie in the same band or, for sizes at a
+    band's upper end, in the one above, where the class is then found too (``own`` is false), at the few
+    places that partners so large leave. ``last`` is the place of the one word more that a key of two words may take.
     """
     band = lambda size: F.length(F.bin(size))
-    held = classes.filter("prefix IS NOT NULL").select(
-        "id", "size", "parity", "parity2", "prefix", F.posexplode_outer(F.slice("prefix", F.lit(1), F.size("prefix") - 1)).alias("place", "word")
-    )
-    keyed = lambda rows, size, own: rows.withColumn("code", F.xxhash64("word", band(size))).withColumn("own", F.lit(own)).drop("word")
-    below = held.filter(band(_needed("size")) < band(F.col("size")))
-    return keyed(held, F.col("size"), True).unionByName(keyed(below, _needed("size"), False))
+    held = classes.filter("prefix IS NOT NULL").select("id", "size", "parity", "parity2", "prefix")
+    own = held.withColumn("last", F.size("prefix") - 1).withColumn("_band", band(F.col("size")))
+    above = held.filter(band(F.expr("size * 5 div 4")) > band(F.col("size"))).withColumn("_band", band(F.col("size")) + 1)
+    above = above.withColumn("last", F.expr(_PLACES.format(partner="shiftleft(1, _band - 1)", shared=1)).cast("int")).filter("last > 0")
+    keyed = lambda rows, own: rows.select(
+        "id", "size", "parity", "parity2", "last", "_band", F.posexplode_outer(F.slice("prefix", F.lit(1), F.col("last"))).alias("place", "word")
+    ).select("id", "size", "parity", "parity2", "last", F.lit(own).alias("own"), "place", F.xxhash64("word", "_band").alias("code"))
+    return keyed(own, True).unionByName(keyed(above, False))
 
 
 def _crowded(postings: DataFrame, shared: int) -> DataFrame:
     """Keys that more than ``DENSE`` classes can be found by."""
-    found = postings.filter(_INDEXED.format(shared=shared)).groupBy("code").agg(F.count("*").alias("m"))
+    found = postings.filter(_ROLE.format(shared=shared) + " > 1").groupBy("code").agg(F.count("*").alias("m"))
     return small_side(found.filter(f"m > {DENSE}").select("code"), "dense-words")
 
 
-def _longer(postings: DataFrame) -> DataFrame:
+def _longer(postings: DataFrame, classes: DataFrame) -> DataFrame:
     """Keys of two words: each later place of a prefix longer by one follows the first."""
-    last = F.size("prefix") - 1
-    rows = postings.filter(F.col("place") < last).withColumn("next", F.explode(F.sequence(F.col("place") + 1, last)))
-    return rows.select(
-        "id", "size", "parity", "parity2", "own", F.col("next").alias("place"), F.xxhash64("code", F.get("prefix", F.col("next"))).alias("code")
-    )
+    # Prefixes come only now; beside all postings they would be most of the bytes.
+    rows = small_side(postings, "crowded-places").join(classes.select("id", "prefix"), "id")
+    rows = rows.filter("place < last").withColumn("next", F.explode(F.sequence(F.col("place") + 1, F.col("last"))))
+    return rows.select("id", "size", "parity", "parity2", "own", F.col("next").alias("place"), F.xxhash64("code", F.get("prefix", F.col("next"))).alias("code"))
 
 
 def _pairs(postings: DataFrame, shared: int) -> DataFrame:
-    indexed = postings.withColumn("indexed", F.expr(_INDEXED.format(shared=shared)))
-    x, y = _side(indexed, "a", "indexed"), _side(indexed, "b", "indexed")
+    roles = postings.withColumn("role", F.expr(_ROLE.format(shared=shared)))
+    x, y = _side(roles, "a", "role"), _side(roles, "b", "role")
     # The smaller set is found through its shorter index prefix; of equal sizes, the one with the smaller id.
-    # The part after OR (never true) names both sides, so the test stays in the join and both sides share one shuffle.
-    found = x.join(y, "code").filter("(nb < na OR (nb = na AND b < a)) AND (indexed_b OR (indexed_a AND pa < 0))").filter(_FITS.format(shared=shared))
+    # The roles are tested as one sum over both sides, so the test stays in the join and both sides share one shuffle.
+    found = x.join(y, "code").filter("(nb < na OR (nb = na AND b < a)) AND (role_a & 1) + (role_b & 2) = 3").filter(_FITS.format(shared=shared))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -195,8 +200,8 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     postings = _postings(classes)
     places = classes.select("id", "at")
     dense = _crowded(postings, 1)
-    pairs, _ = write_stage(_pairs(postings.join(dense, "code", "left_anti").drop("prefix"), 1), "line-pairs")
-    longer, long_path = write_stage(_longer(postings.join(dense, "code")), "long-postings")
+    pairs, _ = write_stage(_pairs(postings.join(dense, "code", "left_anti"), 1), "line-pairs")
+    longer, long_path = write_stage(_longer(postings.join(dense, "code"), classes), "long-postings")
     dense = _crowded(longer, 2)
     asked, _ = write_stage(_pairs(longer.join(dense, "code", "left_anti"), 2), "line-pairs")
     crowded, _ = write_stage(longer.join(dense, "code").join(places, "id"), "dense-postings")
