@@ -189,6 +189,26 @@ def test_pieces_met_again_are_encoded_once_in_bounded_room(path, monkeypatch):
     assert len(codec.ids) + len(codec.ids.before) <= 8
 
 
+def test_every_piece_is_encoded_over_its_prefixes_whatever_its_length(path, monkeypatch):
+    codec, made = bpe.Codec.from_json(Path(path).read_text(encoding="utf-8")), []
+    plain = codec.encode_piece
+    monkeypatch.setattr(codec, "encode_piece", lambda piece: made.append(piece) or plain(piece))
+    pieces = ["a", " short", " words", " " + "x" * 30, " " + "y" * 31, " " + "z" * 32, "=" * 300]
+    ids = codec.encode("".join(pieces))
+    assert made == [p.encode() for p in pieces]
+    assert ids == [i for p in pieces for i in codec.merge_piece(p.encode())]
+
+
+def test_pair_tests_are_forgotten_without_changing_ids(path, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_PAIRS", 3)
+    codec = bpe.Codec.from_json(Path(path).read_text(encoding="utf-8"))
+    rng = random.Random(11)
+    for _ in range(300):
+        piece = bytes(rng.choice(b"aeehinorst ") for _ in range(rng.randint(1, 60)))
+        assert codec.encode_piece(piece) == tuple(codec.merge_piece(piece))
+        assert sum(map(len, codec._after.values())) <= 3
+
+
 def test_encoding_edge_cases(spark, path):
     got = bpe.digests(bpe.encode_texts(frame(spark, ODD), path), "doc_id", "text").collect()
     assert len(got) == len(ODD)
