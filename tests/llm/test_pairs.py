@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -362,6 +363,39 @@ def test_gaps_are_matched_in_order_whatever_their_length(monkeypatch, block):
     assert substring_dedup._matched(np.arange(1199), mixed) == substring_dedup._matched(mixed, np.arange(1199)) < 100
 
 
+def test_packed_seeds_give_back_every_shared_place(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BUCKET_CHARS", 600)
+    rng = random.Random(31)
+    text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    rows = [(i, text(rng.randint(0, 60))) for i in (5, -7, 2**62, 9, 1, 12, -(2**62))] + [(9, text(40)), (20, "..."), (21, "")]
+    rows += [rows[0], (30, "only here once and never again")]
+    firsts, places = {}, []
+    for row, (doc, t) in enumerate(rows):
+        owner, hashes, pos = substring_dedup.seeds([t])
+        for seed, at, first in zip(hashes.view(np.int64).tolist(), pos.tolist(), substring_dedup.first_places(owner, hashes)):
+            places.append((seed, doc, at))
+            if first:
+                firsts.setdefault(seed, []).append((doc, at))
+    want = sorted((seed, doc, at, *min(firsts[seed])) for seed, doc, at in places if len(firsts[seed]) > 1)
+    got = substring_dedup._shared_places(frame(spark, rows).select("doc_id", "text").repartition(3))
+    assert len(want) > 100 and sorted(map(tuple, got.collect())) == want
+
+
+def test_packed_seeds_take_little_room(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PACKED_SEEDS", 2_000)
+    rng = random.Random(32)
+    batch = pd.DataFrame({"doc_id": range(100, 150), "text": [" ".join(str(rng.random()) for _ in range(400)) for _ in range(50)]})
+    parts = list(substring_dedup._packed_seeds(4)(iter([batch, batch[:0]])))
+    assert len(parts) > 1
+    packed = pd.concat(parts)
+    n = sum(len(substring_dedup.seeds([t])[0]) for t in batch["text"])
+    assert packed["n"].sum() == n
+    assert sum(map(len, packed["seeds"])) + sum(map(len, packed["places"])) < 11 * n
+    opened = [substring_dedup.unpack(*row) for row in zip(packed["n"], packed["n_texts"], packed["places"])]
+    got = sorted(zip(np.concatenate([o[1] for o in opened]).tolist(), np.concatenate([o[2] for o in opened]).tolist()))
+    assert got == sorted((100 + i, at) for i, t in enumerate(batch["text"]) for at in substring_dedup.seeds([t])[2].tolist())
+
+
 def test_first_places():
     owner, hashes = np.array([0, 0, 0, 1, 1, 1]), np.array([7, 8, 7, 7, 9, 9], np.uint64)
     assert substring_dedup.first_places(owner, hashes).tolist() == [True, True, False, True, True, False]
